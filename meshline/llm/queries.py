@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from meshline.llm.decontaminate import ORACLE as OP3_SQL, op3_decontaminate
+from meshline.llm.fingerprint import op4_fingerprints
 from meshline.llm.language import op7_language_id
+from meshline.llm.licenses import op8_license_scan, oracle as op8_sql
 from meshline.llm.packing import op1_packing
 from meshline.llm.quality import op6_quality_knn
 from meshline.llm.simhash import op10_simhash_near_dedup
@@ -11,11 +14,14 @@ from meshline.llm.toxicity import op9_toxicity_crf
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_fingerprints": op4_fingerprints,
     "op5_token_binary": op5_token_binary,
     "op6_quality_knn": op6_quality_knn,
     "op7_language_id": op7_language_id,
+    "op8_license_scan": op8_license_scan,
     "op9_toxicity_crf": op9_toxicity_crf,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op8_license_scan": op8_sql()}
