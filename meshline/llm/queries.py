@@ -10,10 +10,12 @@ from meshline.llm.packing import op1_packing
 from meshline.llm.quality import op6_quality_knn
 from meshline.llm.simhash import op10_simhash_near_dedup
 from meshline.llm.simple8b import op5_token_binary
+from meshline.llm.suffixes import op2_suffix_dedup
 from meshline.llm.toxicity import op9_toxicity_crf
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_fingerprints": op4_fingerprints,
     "op5_token_binary": op5_token_binary,
