@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from meshline.llm.shared import materialize, slices, table
-from meshline.llm.tokens import END_ID, WordTokenizer, text_or_empty
+from meshline.llm.tokens import END_ID, text_or_empty, word_tokenizer
 
 WINDOW, STEP, CLASS = 2048, 32, 8
 #: Rests per shard: bounds what one task holds.
@@ -72,7 +72,7 @@ def pieces(df: DataFrame, vocabulary: str | None = None, window: int = WINDOW) -
     """Full windows and a rest of every document's ids (end id included); a rest carries crcs at every ``STEP``."""
 
     def run(batches):
-        tokens = WordTokenizer(vocabulary)
+        tokens = word_tokenizer(vocabulary)
         for batch in batches:
             for part in slices(batch):
                 ids, ends = tokens.encode(text_or_empty(part), END_ID)

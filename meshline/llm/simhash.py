@@ -22,7 +22,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from meshline.llm.graph import connected_components
 from meshline.llm.shared import materialize, slices, table
@@ -211,3 +211,97 @@ def near_duplicates(df: DataFrame, shingle: int = 3, radius: int = 2, seed: int
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+# --- documents that are similar as wholes -------------------------------------------------------------------------
+
+
+BANDS, LEAST = 16, 3
+
+
+def band_fingerprints(hashes: np.ndarray, bands: int = BANDS, least: int = LEAST) -> list[int]:
+    """SimHashes of small samples of a text's distinct shingles: per band, of its ``least`` smallest hashes.
+
+    Two texts with shingle similarity s agree on a band with about s ** least; a text with too few shingles for
+    a band has it from what there is.
+    """
+    distinct = np.unique(hashes)
+    band = (distinct >> np.uint64(64 - bands.bit_length() + 1)).astype(np.int64)
+    mixed = distinct * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+    out = []
+    for b in range(bands):
+        own = np.sort(mixed[band == b])[:least]
+        if len(own):
+            bits = np.unpackbits(own.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+            fp = int.from_bytes(np.packbits(bits * 2 > len(own)).tobytes(), "big")
+            out.append((fp & ~(2 * bands - 1)) | (2 * b) | 1)
+    return out
+
+
+def similar_documents(df: DataFrame, shingle: int = 5, similar: float = 0.8) -> DataFrame:
+    """``doc_id`` and ``component_id`` of each distinct id of ``df``: documents linked by shingle similarity.
+
+    Candidates share the SimHash of a band of their shingles; they are linked if the Jaccard similarity of their sets
+    of ``shingle``-word shingles, counted exactly, is at least ``similar``. Equal texts (after lower-casing A-Z and
+    joining words with one blank) are linked first and compared once. All texts of a band are compared with its first
+    one and each with the one before it (in order of size), so a band's links grow with its rows, not their square.
+    Texts without words are equal to each other. Null ids are left out; a repeated id takes part with its smallest text.
+    """
+
+    def marks(batches):
+        for batch in batches:
+            for part in slices(batch, size=1_000_000):
+                rows = []
+                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    words = (text or "").encode().lower().split()
+                    h = np.unique(shingle_hashes(text or "", shingle))
+                    rows.append((doc, xxhash.xxh3_128_digest(b" ".join(words)), len(h), [int(x) for x in np.array(band_fingerprints(h), np.uint64).view(np.int64)]))
+                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "same", "n", "bands"]
+                )
+
+    def sets(batches):
+        for batch in batches:
+            for part in slices(batch, size=1_000_000):
+                got = [np.unique(shingle_hashes(t or "", shingle)).view(np.int64) for t in part.column("text").to_pylist()]
+                ends = np.cumsum([0, *map(len, got)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*got, np.empty(0, np.int64)])))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["doc_id", "h"])
+
+    docs = df.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
+    marked = materialize(docs.mapInArrow(marks, "doc_id long, same binary, n long, bands array<long>"))
+    first = materialize(marked.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    banded = first.select("rep", "n", F.explode("bands").alias("band"))
+    hubs = materialize(banded.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("k")).filter("k > 1"))
+    shared = materialize(banded.join(hubs, "band").select("band", "hub", "rep", "n", "k"))
+    to_hub = shared.filter("rep > hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    # neighbours in order of size; crowded bands are walked in slices, so that no task gets a whole one
+    walk = shared.withColumn("slice", F.when(F.col("k") <= 64, F.lit(0)).otherwise(F.pmod(F.xxhash64("rep"), F.ceil(F.col("k") / 64))))
+    step = Window.partitionBy("band", "slice").orderBy("n", "rep")
+    beside = walk.select(F.lag("rep").over(step).alias("a"), F.col("rep").alias("b")).filter("a IS NOT NULL")
+    beside = beside.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = materialize(to_hub.unionByName(beside).distinct())
+    ends = materialize(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    texts = docs.join(ends, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, h array<long>")
+    texts = materialize(texts.dropDuplicates(["doc_id"]) if _repeated(marked) else texts)
+    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("h").alias("ha")), "a")
+    both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("h").alias("hb")), "b")
+    shares = F.size(F.array_intersect("ha", "hb"))
+    linked = both.filter(shares >= F.lit(similar) * (F.size("ha") + F.size("hb") - shares)).select("a", "b")
+    labels = connected_components(materialize(linked))
+    labelled = materialize(first.join(labels, first.rep == labels.id, "left").select("same", F.coalesce("component", "rep").alias("component_id")))
+    return marked.join(labelled, "same").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+
+
+def _repeated(marked: DataFrame) -> bool:
+    return bool(marked.groupBy("doc_id").count().filter("count > 1").head(1))
+
+
+def without_near_duplicates(df: DataFrame, shingle: int = 5, similar: float = 0.8) -> DataFrame:
+    """The rows of ``df`` whose id is the smallest of its group; a repeated id stays once, null ids stay."""
+    groups = similar_documents(df, shingle, similar)
+    gone = materialize(groups.filter("component_id < doc_id").select(F.col("doc_id").alias("_gone")))
+    kept = df.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    twice = df.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").head(1)
+    return kept.dropDuplicates(["doc_id"]) if twice else kept

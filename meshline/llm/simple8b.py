@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from meshline.llm.shared import materialize, shared_dir, slices, table
-from meshline.llm.tokens import END_ID, WordTokenizer, text_or_empty
+from meshline.llm.tokens import END_ID, text_or_empty, word_tokenizer
 
 #: How many values of how many bits each selector packs.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -152,7 +152,7 @@ def write_ids(df: DataFrame, path: str, vocabulary: str | None = None, end_id: i
     """
 
     def run(batches):
-        tokens = WordTokenizer(vocabulary)
+        tokens = word_tokenizer(vocabulary)
         for batch in batches:
             for part in slices(batch, size=1_000_000):
                 ids, ends = tokens.encode(text_or_empty(part), end_id)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +90,12 @@ class WordTokenizer:
         return ids, ends[bounds]
 
 
+@lru_cache(maxsize=2)
+def word_tokenizer(path: str | None = None) -> WordTokenizer:
+    """One for all tasks of a Python worker: the vocabulary is read once, and the memo goes on growing to its bound."""
+    return WordTokenizer(path)
+
+
 def crc_of(ids: np.ndarray) -> int:
     """Unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4"))

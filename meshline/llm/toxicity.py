@@ -1,8 +1,7 @@
 """Toxic spans by a linear-chain conditional random field (operator 9).
 
 Labels mark documents; tokens get theirs from a bounded sample of labelled documents (``per_class`` of each, by
-hash): words whose smoothed log odds of standing in a toxic rather than another document are high, and that stand
-in several, are toxic tokens there. On the sample's sentences a two-tag chain is trained with features of the
+hash): words, and words with starts, nearly all of whose contexts are toxic documents, far beyond chance, are toxic tokens there. On the sample's sentences a two-tag chain is trained with features of the
 word, its affixes and its neighbours. Every document is tagged over its whole text; forward-backward marginals
 give the offending spans and, as the chance that at least one token is toxic, the document's score.
 """
@@ -20,7 +19,8 @@ from meshline.llm.quality import balanced_sample
 from meshline.llm.shared import remainder, slices, table, words_of
 from meshline.llm.tokens import text_or_empty
 
-SLOTS, PER_CLASS, THRESHOLD, SURE = 1 << 16, 1500, 0.7, 0.05
+SLOTS, PER_CLASS, THRESHOLD, SURE = 1 << 16, 800, 0.7, 0.8
+STARTS = (4, 5, 6, 7)
 _EDGE = re.compile(r"^\W+|\W+$")
 
 
@@ -37,10 +37,19 @@ def slot(kind: str, value: str) -> int:
     return zlib.crc32(f"{kind}={value}".encode("utf-8", "replace")) % SLOTS
 
 
-def word_slots(word: str) -> tuple[int, int, int, int, int]:
-    """Slots of: the word, its start and end, and the word as left and as right neighbour."""
+def units(word: str) -> list[str]:
+    """A plain word and its starts."""
+    return [word, *(f"{word[:k]}-" for k in STARTS if len(word) > k)]
+
+
+#: Features of a token itself; two more are of its neighbours.
+OWN = 6
+
+
+def word_slots(word: str) -> list[int]:
+    """Slots of: the word, its starts and its end, and the word as left and as right neighbour."""
     w = plain(word)
-    return slot("w", w), slot("p", w[:4]), slot("s", w[-4:]), slot("l", w), slot("r", w)
+    return [slot("w", w), *(slot("p", w[:k]) for k in STARTS), slot("s", w[-4:]), slot("l", w), slot("r", w)]
 
 
 class Chain:
@@ -60,7 +69,7 @@ class Chain:
                 self.scores.clear()
             a = word_slots(word)
             e = self.emit
-            found = self.scores[word] = (float(e[a[0]] + e[a[1]] + e[a[2]]), float(e[a[3]]), float(e[a[4]]))
+            found = self.scores[word] = (float(e[a[:OWN]].sum()), float(e[a[OWN]]), float(e[a[OWN + 1]]))
         return found
 
     def potentials(self, words: list[str], codes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -112,30 +121,50 @@ def sentence_starts(words: list[str], codes: np.ndarray, bounds: np.ndarray) ->
     return np.flatnonzero(first), first
 
 
-def train(texts: list[str], y: list[int], rounds: int = 60, rate: float = 0.5, least: int = 3) -> Chain | None:
-    """A chain from document labels; None if they mark no words (the score is then 0)."""
-    seen: list[set[str]] = [{plain(w) for w in t.split()} for t in texts]
+def telling_units(texts: list[str], y: list[int], share: float = 0.9, chance: float = 0.01) -> set[str]:
+    """Words, and starts of words, that mark toxic texts: at least ``share`` of their contexts are toxic, beyond chance.
+
+    A context is a word with its left neighbour, so that copies of a text count once. Against a word's number of
+    contexts and the toxic share of all contexts, the bound on the binomial tail has to lie under ``chance`` spread
+    over all words.
+    """
+    contexts: list[set[tuple[str, str]]] = [set(), set()]
+    for t, k in zip(texts, y, strict=True):
+        w = [plain(x) for x in t.split()]
+        contexts[k].update(zip(["", *w], w, strict=False))
     count: list[dict[str, int]] = [{}, {}]
-    for words, k in zip(seen, y, strict=True):
-        for w in words:
-            count[k][w] = count[k].get(w, 0) + 1
-    docs = [max(1, y.count(0)), max(1, y.count(1))]
-    odds = lambda w: np.log((count[1][w] + 0.5) / docs[1]) - np.log((count[0].get(w, 0) + 0.5) / docs[0])
-    # against chance: a word of ordinary texts has few toxic documents or some others too
-    toxic = {w for w, c in count[1].items() if w and c >= max(least, 0.01 * docs[1]) and odds(w) > np.log(20)}
+    for k in (0, 1):
+        for _, w in contexts[k]:
+            for u in units(w):
+                count[k][u] = count[k].get(u, 0) + 1
+    p = len(contexts[1]) / max(1, len(contexts[0]) + len(contexts[1]))
+    need = np.log((len(count[0].keys() | count[1].keys()) + 1) / chance)
+
+    def beyond(w: str, c: int) -> bool:
+        n = c + count[0].get(w, 0)
+        q = c / n
+        other = (1 - q) * np.log((1 - q) / (1 - p)) if q < 1 else 0.0
+        return q >= share and q > p and n * (q * np.log(q / p) + other) > need
+
+    return {w for w, c in count[1].items() if w and 0 < p < 1 and beyond(w, c)}
+
+
+def train(texts: list[str], y: list[int], rounds: int = 50, rate: float = 1.0) -> Chain | None:
+    """A chain from document labels; None if they mark no words (the score is then 0)."""
+    toxic = telling_units(texts, y)
     if not toxic:
         return None
     words, codes, bounds = words_of(pa.array(texts, pa.string()))
-    marks = np.fromiter((plain(w) in toxic for w in words), np.bool_, len(words))
+    marks = np.fromiter((any(u in toxic for u in units(plain(w))) for w in words), np.bool_, len(words))
     label = marks[codes] & np.repeat(np.array(y, bool), np.diff(bounds))
     starts, first = sentence_starts(words, codes, bounds)
     number = np.cumsum(first) - 1
     hit = np.zeros(len(starts), bool)
     hit[number[label]] = True
-    # all sentences with a toxic token, and an equal share of the others
+    # all sentences with a toxic token, and up to 24 others for each
     others = np.flatnonzero(~hit)
     keep = hit.copy()
-    keep[others[:: max(1, len(others) // (3 * max(1, int(hit.sum())) + 1))]] = True
+    keep[others[:: max(1, len(others) // (24 * max(1, int(hit.sum())) + 1))]] = True
     use = keep[number]
     codes, label, first = codes[use], label[use], first[use]
     starts = np.flatnonzero(first)
@@ -144,24 +173,24 @@ def train(texts: list[str], y: list[int], rounds: int = 60, rate: float = 0.5, l
     grad2, bias2, move2 = np.full(SLOTS, 1e-8), 1e-8, np.full((2, 2), 1e-8)
     pair = np.flatnonzero(~first[1:])
     for _ in range(rounds):
-        e = chain.emit[slots[codes, :3]].sum(axis=1) + chain.bias
-        e[pair + 1] += chain.emit[slots[codes[pair], 3]]
-        e[pair] += chain.emit[slots[codes[pair + 1], 4]]
+        e = chain.emit[slots[codes, :OWN]].sum(axis=1) + chain.bias
+        e[pair + 1] += chain.emit[slots[codes[pair], OWN]]
+        e[pair] += chain.emit[slots[codes[pair + 1], OWN + 1]]
         p, z = chain.marginals(e, starts)
         d = label - p
         g = np.zeros(SLOTS)
-        for k in range(3):
+        for k in range(OWN):
             g += np.bincount(slots[codes, k], d, minlength=SLOTS)
-        g += np.bincount(slots[codes[pair], 3], d[pair + 1], minlength=SLOTS)
-        g += np.bincount(slots[codes[pair + 1], 4], d[pair], minlength=SLOTS)
-        g -= 0.05 * chain.emit
+        g += np.bincount(slots[codes[pair], OWN], d[pair + 1], minlength=SLOTS)
+        g += np.bincount(slots[codes[pair + 1], OWN + 1], d[pair], minlength=SLOTS)
+        g -= 0.01 * chain.emit
         zs = z[np.cumsum(first) - 1][pair]
         gm = np.zeros((2, 2))
         for a in (0, 1):
             for b in (0, 1):
                 lp = chain._ahead[pair, a] + chain.move[a, b] + (e[pair + 1] if b else 0) + chain._behind[pair + 1, b] - zs
                 gm[a, b] = ((label[pair] == a) & (label[pair + 1] == b)).sum() - np.exp(lp).sum()
-        gm -= 0.05 * chain.move
+        gm -= 0.01 * chain.move
         grad2 += g * g
         bias2 += d.sum() ** 2
         move2 += gm * gm
