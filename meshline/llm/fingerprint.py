@@ -47,7 +47,7 @@ def draw(term: Column, log_weight: Column, round_no: int) -> tuple[Column, Colum
 
 def signatures(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """``keys`` and ``fingerprint`` of each group of rows; rows of a key should already be in one partition."""
-    shingled = texts.select(*keys, F.inline(terms(F.col(text))))
+    shingled = texts.select(*keys, F.inline_outer(terms(F.col(text))))
     hashed = shingled.select(*keys, F.xxhash64(*[F.col(f"w{i}") for i in range(SHINGLE)]).alias("term"))
     weighted = hashed.groupBy(*keys, "term").agg(F.ln(F.count("*").cast("double")).alias("log_weight"))
     drawn = weighted
