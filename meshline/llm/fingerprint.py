@@ -19,11 +19,26 @@ SHINGLE, ROUNDS, BINS, DIGITS = 5, 8, 8, 4
 OFFSET, UNIT = 64.0, float(1 << 38)
 
 
-def terms(text: Column, shingle: int = SHINGLE) -> Column:
-    """Array of structs of a text's word shingles; fewer words make one shingle, none make one of nulls."""
-    words = F.filter(F.split(text, r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
-    n = F.greatest(F.size(words) - (shingle - 1), F.lit(1))
-    return F.arrays_zip(*[F.slice(words, i + 1, n).alias(f"w{i}") for i in range(shingle)])
+BLANKS = " \t\n\x0b\f\r"
+
+
+def words(text: Column) -> Column:
+    """A text's words; a text without any has one empty word."""
+    return F.split(F.btrim(text, F.lit(BLANKS)), r"[ \t\n\x0B\f\r]+")
+
+
+def n_shingles(w: Column) -> Column:
+    """Fewer words than a shingle has make one shingle."""
+    return F.greatest(F.size(w) - (SHINGLE - 1), F.lit(1))
+
+
+def shingles(w: Column, first: Column, count: Column) -> Column:
+    """Array of structs of ``count`` consecutive word shingles from number ``first`` on."""
+    return F.arrays_zip(*[F.slice(w, first + (i + 1), F.greatest(count, F.lit(0))).alias(f"w{i}") for i in range(SHINGLE)])
+
+
+def term() -> Column:
+    return F.xxhash64(*[F.col(f"w{i}") for i in range(SHINGLE)])
 
 
 def _unit_interval(h: Column, shift: int, bits: int) -> Column:
@@ -45,26 +60,27 @@ def draw(term: Column, log_weight: Column, round_no: int) -> tuple[Column, Colum
     return bin_no, F.shiftleft(place, 16).bitwiseOR(name)
 
 
-def signatures(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """``keys`` and ``fingerprint`` of each group of rows; rows of a key should already be in one partition."""
-    shingled = texts.select(*keys, F.inline_outer(terms(F.col(text))))
-    hashed = shingled.select(*keys, F.xxhash64(*[F.col(f"w{i}") for i in range(SHINGLE)]).alias("term"))
-    weighted = hashed.groupBy(*keys, "term").agg(F.ln(F.count("*").cast("double")).alias("log_weight"))
+PLACES = [(i, b) for i in range(ROUNDS) for b in range(BINS)]
+
+
+def sampled(weighted: DataFrame, keys: list[str]) -> DataFrame:
+    """The least draw of each sample over the rows (``term``, ``log_weight``) of a key, as columns ``m<round>_<bin>``."""
     drawn = weighted
     for i in range(ROUNDS):
         at, packed = draw(F.col("term"), F.col("log_weight"), i)
         drawn = drawn.withColumn(f"at{i}", at).withColumn(f"s{i}", packed)
-    least = [
-        F.min(F.when(F.col(f"at{i}") == b, F.col(f"s{i}"))).alias(f"m{i}_{b}") for i in range(ROUNDS) for b in range(BINS)
-    ]
-    found = drawn.groupBy(*keys).agg(*least)
+    least = [F.min(F.when(F.col(f"at{i}") == b, F.col(f"s{i}"))).alias(f"m{i}_{b}") for i, b in PLACES]
+    return drawn.groupBy(*keys).agg(*least)
+
+
+def printed(sample: dict[tuple[int, int], Column]) -> Column:
+    """The fingerprint's digits; an empty sample takes the next full one of its round."""
 
-    def sample(i: int, b: int) -> Column:
-        full = F.coalesce(*[F.col(f"m{i}_{(b + k) % BINS}") for k in range(BINS)])
+    def one(i: int, b: int) -> Column:
+        full = F.coalesce(*[sample[i, (b + k) % BINS] for k in range(BINS)])
         return F.lpad(F.lower(F.hex(full.bitwiseAND(F.lit(0xFFFF)))), DIGITS, "0")
 
-    digits = F.concat(*[sample(i, b) for i in range(ROUNDS) for b in range(BINS)])
-    return found.select(*keys, digits.alias("fingerprint"))
+    return F.concat(*[one(i, b) for i, b in PLACES])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -87,7 +103,10 @@ def fingerprints(df: DataFrame) -> DataFrame:
     docs = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("doc_hash", F.xxhash64("text"))
     parts = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = signatures(docs.dropDuplicates(["doc_hash"]).repartition(parts, "doc_hash"), ["doc_hash"])
+    w = docs.dropDuplicates(["doc_hash"]).repartition(parts, "doc_hash").select("doc_hash", words(F.col("text")).alias("words"))
+    rows = w.select("doc_hash", F.inline(shingles(F.col("words"), F.lit(0), n_shingles(F.col("words"))))).select("doc_hash", term().alias("term"))
+    weighted = rows.groupBy("doc_hash", "term").agg(F.ln(F.count("*").cast("double")).alias("log_weight"))
+    found = sampled(weighted, ["doc_hash"]).select("doc_hash", printed({p: F.col(f"m{p[0]}_{p[1]}") for p in PLACES}).alias("fingerprint"))
     return docs.select("doc_id", "doc_hash").join(found, "doc_hash").select("doc_id", "fingerprint")
 
 
@@ -141,17 +160,34 @@ def with_edits(df: DataFrame) -> DataFrame:
         F.col("for_id").alias("id"), F.col("for_hash").alias("doc_hash"), "need",
         F.col("text").substr(F.lit(1), F.col("need")).alias("head"),
     )
-    both = unique.join(heads, ["id", "doc_hash"]).select(
-        "id", "doc_hash", "text",
-        F.concat(F.col("text").substr(F.lit(1), F.char_length("text") - F.col("need")), F.col("head")).alias("edited"),
-    )
-    kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))
+    prefix = F.col("text").substr(F.lit(1), F.char_length("text") - F.col("need"))
+    both = unique.join(heads, ["id", "doc_hash"]).select("id", "doc_hash", "text", prefix.alias("prefix"), F.concat(prefix, "head").alias("edited"))
     digests = both.select("id", "doc_hash", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    signed = signatures(both.select("id", "doc_hash", F.inline(kinds)), ["id", "doc_hash", "kind"])
-    signed = signed.groupBy("id", "doc_hash").agg(
-        F.max(F.when(F.col("kind") == 0, F.col("fingerprint"))).alias("fingerprint"),
-        F.max(F.when(F.col("kind") == 1, F.col("fingerprint"))).alias("edited_fingerprint"),
+
+    # what lies wholly in the kept words is the same in both texts, and is drawn for once
+    w = both.select("id", "doc_hash", words(F.col("text")).alias("own"), words(F.col("edited")).alias("new"), (F.size(words(F.col("prefix"))) - 1).alias("kept"))
+    whole = (F.size("own") >= SHINGLE) & (F.size("new") >= SHINGLE)
+    w = w.withColumn("same", F.when(whole, F.greatest(F.col("kept") - (SHINGLE - 1), F.lit(0))).otherwise(0))
+    w = w.withColumn("kind", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    of = F.when(F.col("kind") == 2, F.col("new")).otherwise(F.col("own"))
+    first = F.when(F.col("kind") == 0, 0).otherwise(F.col("same"))
+    count = F.when(F.col("kind") == 0, F.col("same")).otherwise(n_shingles(F.col("words")) - F.col("same"))
+    w = w.select("id", "doc_hash", "kind", "same", of.alias("words")).select("id", "doc_hash", "kind", F.inline(shingles(F.col("words"), first, count)))
+    rows = w.select("id", "doc_hash", "kind", term().alias("term"))
+    times = rows.groupBy("id", "doc_hash", "term").agg(
+        F.count(F.when(F.col("kind") != 2, 1)).alias("in_own"), F.count(F.when(F.col("kind") != 1, 1)).alias("in_new")
     )
+    part = lambda kind, n: F.struct(F.lit(kind).alias("kind"), F.ln(F.col(n).cast("double")).alias("log_weight"))
+    parts_of = (
+        F.when(F.col("in_own") == F.col("in_new"), F.array(part(0, "in_own"))).when(F.col("in_new") == 0, F.array(part(1, "in_own")))
+        .when(F.col("in_own") == 0, F.array(part(2, "in_new"))).otherwise(F.array(part(1, "in_own"), part(2, "in_new")))
+    )
+    least = sampled(times.select("id", "doc_hash", "term", F.inline(parts_of)), ["id", "doc_hash", "kind"])
+    for_text = lambda other: [F.min(F.when(F.col("kind") != other, F.col(f"m{i}_{b}"))).alias(f"{'on'[other % 2]}{i}_{b}") for i, b in PLACES]
+    signed = least.groupBy("id", "doc_hash").agg(*for_text(2), *for_text(1)).select(
+        "id", "doc_hash", printed({p: F.col(f"o{p[0]}_{p[1]}") for p in PLACES}).alias("fingerprint"),
+        printed({p: F.col(f"n{p[0]}_{p[1]}") for p in PLACES}).alias("edited_fingerprint"),
+    )
     done = materialize(signed.join(digests, ["id", "doc_hash"]))
     after = done.select(F.col("id").alias("next_id"), F.col("doc_hash").alias("next_hash"), F.col("fingerprint").alias("next_fingerprint"))
     result = done.join(chain, ["id", "doc_hash"]).join(after, ["next_id", "next_hash"])
