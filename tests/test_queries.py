@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+import meshline.plans.layout_queries  # noqa: F401  (registers)
 from meshline.plans.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
