@@ -35,11 +35,20 @@ MARK = np.uint64((1 << 60) - 1)
 DOC = np.dtype([("doc_id", "<i8"), ("values", "<u8"), ("has_id", "u1")])
 
 
-def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words, escapes and the block index of ``values`` (unsigned 64-bit).
-
-    Every block takes its next word at the same time: a step packs one word of each block that still has values.
-    """
+def encode(values: np.ndarray, blocks: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, escapes and the block index of ``values`` (unsigned 64-bit), some blocks at a time."""
+    parts, w, e = [], 0, 0
+    for at in range(0, len(values), blocks * BLOCK):
+        words, escapes, index = _encode(values[at : at + blocks * BLOCK])
+        parts.append((words, escapes, index + np.array([w, e], "<u4")))
+        w, e = w + len(words), e + len(escapes)
+    if not parts:
+        return _encode(values)
+    return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+
+
+def _encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every block takes its next word at the same time: a step packs one word of each block that still has values."""
     values = np.ascontiguousarray(values, dtype=np.uint64)
     n, blocks = len(values), -(-len(values) // BLOCK)
     escaped = values >= MARK
@@ -154,7 +163,7 @@ def write_ids(df: DataFrame, path: str, vocabulary: str | None = None, end_id: i
     def run(batches):
         tokens = word_tokenizer(vocabulary)
         for batch in batches:
-            for part in slices(batch, size=1_000_000):
+            for part in slices(batch):
                 ids, ends = tokens.encode(text_or_empty(part), end_id)
                 record = to_record(part.column("doc_id").to_pylist(), np.diff(ends), ids)
                 yield pa.RecordBatch.from_arrays([pa.array([record[:-1]], pa.binary())], names=["record"])
@@ -164,7 +173,7 @@ def write_ids(df: DataFrame, path: str, vocabulary: str | None = None, end_id: i
         F.col("doc_id").asc_nulls_first(), "text"
     )
     binary = ranged.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    binary.write.option("lineSep", "\n").option("compression", "none").option("maxRecordsPerFile", 24).text(path)
+    binary.write.option("lineSep", "\n").option("compression", "none").option("maxRecordsPerFile", 8).text(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
