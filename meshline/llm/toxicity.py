@@ -3,7 +3,7 @@
 Labels mark documents; tokens get theirs from a bounded sample of labelled documents (``per_class`` of each, by
 hash): words, and words with starts, nearly all of whose contexts are toxic documents, far beyond chance, are toxic tokens there. On the sample's sentences a two-tag chain is trained with features of the
 word, its affixes and its neighbours. Every document is tagged over its whole text; forward-backward marginals
-give the offending spans and, as the chance that at least one token is toxic, the document's score.
+give the offending spans and, added up as evidence and calibrated on the sample, the document's score.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from meshline.llm.quality import balanced_sample
 from meshline.llm.shared import remainder, slices, table, words_of
 from meshline.llm.tokens import text_or_empty
 
-SLOTS, PER_CLASS, THRESHOLD, SURE = 1 << 16, 800, 0.7, 0.8
+SLOTS, PER_CLASS, THRESHOLD, SURE = 1 << 16, 800, 0.7, 0.3
 STARTS = (4, 5, 6, 7)
 _EDGE = re.compile(r"^\W+|\W+$")
 
@@ -57,10 +57,32 @@ class Chain:
 
     def __init__(self):
         self.emit, self.bias, self.move = np.zeros(SLOTS), 0.0, np.zeros((2, 2))
+        self.slope, self.base = 4.0, -4.0
         self.scores: dict[str, tuple[float, float, float]] = {}
 
     def __getstate__(self):
-        return {"emit": self.emit.astype(np.float32), "bias": self.bias, "move": self.move, "scores": {}}
+        kept = {k: v for k, v in vars(self).items() if k in ("bias", "move", "slope", "base")}
+        return kept | {"emit": self.emit.astype(np.float32), "scores": {}}
+
+    @staticmethod
+    def evidence(p: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Per text the logarithm of 1 + its tokens' -log(1 - p), over tokens with a marginal of at least ``SURE``."""
+        doubt = np.where(p >= SURE, np.minimum(-np.log1p(-np.minimum(p, 1 - 1e-9)), 5.0), 0.0)
+        total = np.concatenate([[0], np.cumsum(doubt)])
+        return np.log1p(np.maximum(total[bounds[1:]] - total[bounds[:-1]], 0))
+
+    def of_text(self, evidence: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * evidence + self.base, -30, 30)))
+
+    def calibrate(self, evidence: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
+        """Logistic regression of text labels on their evidence (Newton steps with a small ridge)."""
+        x, theta = np.stack([evidence, np.ones(len(y))], axis=1), np.array([self.slope, self.base])
+        for _ in range(50):
+            q = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
+            grad = x.T @ (weight * (y - q)) - 0.1 * theta
+            theta = theta + np.linalg.solve((x * (weight * q * (1 - q))[:, None]).T @ x + 0.1 * np.eye(2), grad).clip(-2, 2)
+        if theta[0] > 0:
+            self.slope, self.base = float(theta[0]), float(theta[1])
 
     def of_word(self, word: str) -> tuple[float, float, float]:
         found = self.scores.get(word)
@@ -149,24 +171,29 @@ def telling_units(texts: list[str], y: list[int], share: float = 0.9, chance: fl
     return {w for w, c in count[1].items() if w and 0 < p < 1 and beyond(w, c)}
 
 
-def train(texts: list[str], y: list[int], rounds: int = 50, rate: float = 1.0) -> Chain | None:
-    """A chain from document labels; None if they mark no words (the score is then 0)."""
+def train(texts: list[str], y: list[int], rounds: int = 50, rate: float = 1.0, others: float = 1.0) -> Chain | None:
+    """A chain from document labels; None if they mark no words (the score is then 0).
+
+    A sentence of the texts that aren't toxic counts ``others`` times: as often as the sample has too few of them.
+    """
     toxic = telling_units(texts, y)
     if not toxic:
         return None
     words, codes, bounds = words_of(pa.array(texts, pa.string()))
     marks = np.fromiter((any(u in toxic for u in units(plain(w))) for w in words), np.bool_, len(words))
+    all_codes = codes
     label = marks[codes] & np.repeat(np.array(y, bool), np.diff(bounds))
     starts, first = sentence_starts(words, codes, bounds)
     number = np.cumsum(first) - 1
     hit = np.zeros(len(starts), bool)
-    hit[number[label]] = True
-    # all sentences with a toxic token, and up to 24 others for each
-    others = np.flatnonzero(~hit)
+    hit[number[marks[codes]]] = True
+    # all sentences with a marked token, toxic or not, and up to 24 others for each
+    rest = np.flatnonzero(~hit)
     keep = hit.copy()
-    keep[others[:: max(1, len(others) // (24 * max(1, int(hit.sum())) + 1))]] = True
+    keep[rest[:: max(1, len(rest) // (24 * max(1, int(hit.sum())) + 1))]] = True
+    weight = np.where(np.repeat(np.array(y, bool), np.diff(bounds)), 1.0, others)
     use = keep[number]
-    codes, label, first = codes[use], label[use], first[use]
+    codes, label, first, weight = codes[use], label[use], first[use], weight[use]
     starts = np.flatnonzero(first)
     slots = np.array([word_slots(w) for w in words])
     chain = Chain()
@@ -177,7 +204,7 @@ def train(texts: list[str], y: list[int], rounds: int = 50, rate: float = 1.0) -
         e[pair + 1] += chain.emit[slots[codes[pair], OWN]]
         e[pair] += chain.emit[slots[codes[pair + 1], OWN + 1]]
         p, z = chain.marginals(e, starts)
-        d = label - p
+        d = (label - p) * weight
         g = np.zeros(SLOTS)
         for k in range(OWN):
             g += np.bincount(slots[codes, k], d, minlength=SLOTS)
@@ -189,7 +216,7 @@ def train(texts: list[str], y: list[int], rounds: int = 50, rate: float = 1.0) -
         for a in (0, 1):
             for b in (0, 1):
                 lp = chain._ahead[pair, a] + chain.move[a, b] + (e[pair + 1] if b else 0) + chain._behind[pair + 1, b] - zs
-                gm[a, b] = ((label[pair] == a) & (label[pair + 1] == b)).sum() - np.exp(lp).sum()
+                gm[a, b] = (weight[pair] * ((label[pair] == a) & (label[pair + 1] == b)) - weight[pair] * np.exp(lp)).sum()
         gm -= 0.01 * chain.move
         grad2 += g * g
         bias2 += d.sum() ** 2
@@ -197,20 +224,27 @@ def train(texts: list[str], y: list[int], rounds: int = 50, rate: float = 1.0) -
         chain.emit += rate * g / np.sqrt(grad2)
         chain.bias += rate * d.sum() / np.sqrt(bias2)
         chain.move += rate * gm / np.sqrt(move2)
+    _, first = sentence_starts(words, all_codes, bounds)
+    p, _ = chain.marginals(chain.potentials(words, all_codes, first), np.flatnonzero(first))
     del chain._ahead, chain._behind
+    chain.calibrate(chain.evidence(p, bounds), np.array(y, float), np.where(np.array(y, bool), 1.0, others))
     return chain
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> Chain | None:
     rows = balanced_sample(docs, labels, label, per_class).orderBy("doc_id").collect()  # bounded by per_class
-    return train([r["text"] for r in rows], [r["y"] for r in rows]) if rows else None
+    y = [r["y"] for r in rows]
+    n = {r[label]: r["count"] for r in labels.groupBy(label).count().collect() if r[label] in (0, 1)}
+    if not (y.count(0) and y.count(1)):
+        return None
+    return train([r["text"] for r in rows], y, others=n[0] / n[1] * y.count(1) / y.count(0))
 
 
 def tag(df: DataFrame, chain: Chain | None, sure: float = 0.5) -> DataFrame:
     """``doc_id``, ``score`` and ``spans`` (code point ``start``, ``end``, mean marginal ``p``) of each whole ``text``.
 
-    A span is a run of tokens with marginals of at least ``sure``. ``score`` is the chance that at least one token is
-    toxic, over tokens with a marginal of at least ``SURE``. Null and empty texts, or no chain: score 0, no spans.
+    A span is a run of tokens with marginals of at least ``sure``. ``score`` is the calibrated chance given the evidence of
+    all tokens with a marginal of at least ``SURE``. Null and empty texts, or no chain: score 0, no spans.
     """
     sent = df.sparkSession.sparkContext.broadcast(chain)
 
@@ -236,9 +270,7 @@ def tag(df: DataFrame, chain: Chain | None, sure: float = 0.5) -> DataFrame:
                 if c is not None and len(codes):
                     starts, first = sentence_starts(words, codes, bounds)
                     p, _ = c.marginals(c.potentials(words, codes, first), starts)
-                    doubt = np.where(p >= SURE, np.log1p(-np.minimum(p, 1 - 1e-9)), 0)
-                    total = np.concatenate([[0], np.cumsum(doubt)])
-                    scores = np.clip(-np.expm1(total[bounds[1:]] - total[bounds[:-1]]), 0, 1)
+                    scores = c.of_text(c.evidence(p, bounds))
                     hits = np.concatenate([[0], np.cumsum(p >= sure)])
                     for i in np.flatnonzero(hits[bounds[1:]] > hits[bounds[:-1]]):
                         found = spans_of(texts[int(i)].as_py(), p[bounds[i] : bounds[i + 1]])
