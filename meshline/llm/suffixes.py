@@ -30,7 +30,7 @@ SPAN, GRAM = 400, 128
 #: Bytes a shard should hold, and the most that packed triples of ranks allow.
 SHARD_BYTES, MOST_BYTES = 700_000, (1 << 21) - 8
 #: Spans to look up are broadcast up to this many, and joined by shuffle beyond.
-BROADCAST_SPANS = 500_000
+BROADCAST_SPANS = 50_000
 
 
 # --- suffix sorting ---------------------------------------------------------------------------------------------
