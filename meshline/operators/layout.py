@@ -1,4 +1,4 @@
-"""Placement, merging and painting steps of schematic maps over many networks' tables."""
+"""Placement, merging and painting steps of network maps over many networks' tables."""
 
 from __future__ import annotations
 

@@ -169,3 +169,27 @@ def crop(stepped: DataFrame, inside: DataFrame) -> DataFrame:
     ends = stepped.join(inside.select(F.col("grp").alias("a")), "a", "left_semi")
     more = stepped.join(inside.select(F.col("grp").alias("b")), "b", "left_semi")
     return ends.unionByName(more).distinct()
+
+
+#: Known tile schemas in order of preference, the layers that mean water, and those that tell the schema.
+SCHEMAS = (
+    ("general_tiles", ("water", "ocean_foundations"), ("parks", "ocean_foundations")),
+    ("protomaps", ("water",), ("natural",)),
+    ("openmaptiles", ("water",), ("landcover", "park")),
+    ("mapbox", ("water",), ("landuse", "landcover")),
+)
+
+
+def probe(layers: DataFrame) -> DataFrame:
+    """The first known schema that each ``source`` has a water layer and a telling layer of; one pass over the layers."""
+    has = lambda names: F.bool_or(F.col("name").isin(*names))
+    flags = [(has(water) & has(need)).alias(f"_{name}") for name, water, need in SCHEMAS]
+    first = F.coalesce(*[F.when(F.col(f"_{name}"), F.lit(name)) for name, _, _ in SCHEMAS])
+    return layers.groupBy("source").agg(*flags).select("source", first.alias("schema")).filter(F.col("schema").isNotNull())
+
+
+def padded_bounds(points: DataFrame, key: str, share: float) -> DataFrame:
+    """Bounding box per key, widened on each side by a share of its extent."""
+    b = points.groupBy(key).agg(F.min("x").alias("a0"), F.min("y").alias("b0"), F.max("x").alias("a1"), F.max("y").alias("b1"))
+    w, h = (F.col("a1") - F.col("a0")) * share, (F.col("b1") - F.col("b0")) * share
+    return b.select(key, (F.col("a0") - w).alias("x0"), (F.col("b0") - h).alias("y0"), (F.col("a1") + w).alias("x1"), (F.col("b1") + h).alias("y1"))

@@ -392,7 +392,7 @@ def projected_stations(spark, d):
     return st.crossJoin(F.broadcast(box)).select("id", F.round(x, 4).alias("px"), F.round(y, 4).alias("py"))
 
 
-@query("""SELECT event_id, CASE WHEN event_type = 'view' THEN 'water' WHEN event_type = 'click' THEN 'green' WHEN lower(k) = 'water' THEN 'water' WHEN lower(k) IN ('park','forest') THEN 'green' END AS category
+@query("""SELECT event_id, CASE WHEN event_type = 'view' THEN 'water' WHEN event_type = 'click' THEN 'green' WHEN lower(k) IN ('park','forest') THEN 'green' END AS category
 FROM (SELECT *, CASE user_id % 4 WHEN 0 THEN 'Park' WHEN 1 THEN 'WATER' WHEN 2 THEN 'road' ELSE 'forest' END AS k FROM events)""")
 def feature_categories(spark, d):
     e = V.table(spark, d, "events")
@@ -401,6 +401,39 @@ def feature_categories(spark, d):
     return e.select("event_id", S.feature_category(layer, F.create_map(F.lit("kind"), kind)).alias("category"))
 
 
+KEYS = "CASE WHEN {0} % 5 = 0 THEN NULL WHEN {0} % 5 < 3 THEN 's:' || {0} % 3 ELSE 'm:' || {0} % 3 END"
+
+
+@query(f"""SELECT event_id, CASE WHEN q THEN 'restore' WHEN b IS NULL OR b = n THEN 'keep' WHEN n LIKE 's:%' AND b LIKE 'm:%' AND s THEN 'restore' ELSE 'clear' END AS action FROM
+ (SELECT event_id, value < 10 AS q, {KEYS.format('user_id')} AS b, coalesce({KEYS.format('event_id')}, 's:0') AS n, event_type = 'click' AS s FROM events)""")
+def area_lifecycle(spark, d):
+    e = V.table(spark, d, "events")
+    key = lambda c: F.when(F.col(c) % 5 == 0, F.lit(None)).when(F.col(c) % 5 < 3, F.concat(F.lit("s:"), F.col(c) % 3)).otherwise(F.concat(F.lit("m:"), F.col(c) % 3))
+    return e.select("event_id", S.lifecycle(F.col("value") < 10, key("user_id"), F.coalesce(key("event_id"), F.lit("s:0")), F.col("event_type") == "click").alias("action"))
+
+
+LAYERS = ("water", "parks", "landuse", "natural", "landcover", "park", "ocean_foundations", "road", "label", "building", "rail")
+
+
+@query(f"""WITH layer AS (SELECT DISTINCT p_partkey % 97 AS source, (ARRAY{list(LAYERS)!r})[p_size % 11 + 1] AS name FROM part),
+sig(rank, schema, water, need) AS (VALUES (1, 'general_tiles', ['water','ocean_foundations'], ['parks','ocean_foundations']), (2, 'protomaps', ['water'], ['natural']),
+ (3, 'openmaptiles', ['water'], ['landcover','park']), (4, 'mapbox', ['water'], ['landuse','landcover'])),
+m AS (SELECT source, rank, schema FROM layer, sig GROUP BY ALL HAVING bool_or(list_contains(water, name)) AND bool_or(list_contains(need, name)))
+SELECT source, arg_min(schema, rank) AS schema FROM m GROUP BY source""")
+def schema_probe(spark, d):
+    names = F.array(*[F.lit(x) for x in LAYERS])
+    layers = V.table(spark, d, "part").select((F.col("p_partkey") % 97).alias("source"), F.get(names, F.col("p_size") % 11).alias("name"))
+    return N.probe(layers.distinct())
+
+
+@query("""SELECT c_nationkey::BIGINT AS city, round(min(x)-0.1e0*(max(x)-min(x)), 6) AS x0, round(min(y)-0.1e0*(max(y)-min(y)), 6) AS y0, round(max(x)+0.1e0*(max(x)-min(x)), 6) AS x1,
+ round(max(y)+0.1e0*(max(y)-min(y)), 6) AS y1 FROM (SELECT c_nationkey, c_acctbal/1000e0 AS x, c_custkey%180/10e0 AS y FROM customer) GROUP BY 1 HAVING max(x)-min(x) <= 12 AND max(y)-min(y) <= 15""")
+def harvest_bounds(spark, d):
+    c = V.table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("city"), (F.col("c_acctbal") / 1000.0).alias("x"), (F.col("c_custkey") % 180 / 10.0).alias("y"))
+    b = N.padded_bounds(c, "city", 0.1).filter("x1 - x0 <= 12 * 1.2 AND y1 - y0 <= 15 * 1.2")
+    return b.select("city", *[r6(k) for k in ("x0", "y0", "x1", "y1")])
+
+
 @query("""SELECT o_orderpriority AS k, list_sort(list(o_totalprice))[count(*)//2 + 1] AS upper_median, median(o_totalprice) AS median FROM orders GROUP BY 1""")
 def medians(spark, d):
     o = V.table(spark, d, "orders")
