@@ -9,7 +9,7 @@ give the offending spans and, added up as evidence and calibrated on the sample,
 from __future__ import annotations
 
 import re
-import zlib
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -19,50 +19,44 @@ from meshline.llm.quality import balanced_sample
 from meshline.llm.shared import remainder, slices, table, words_of
 from meshline.llm.tokens import text_or_empty
 
-SLOTS, PER_CLASS, THRESHOLD, SURE = 1 << 16, 800, 0.7, 0.3
+PER_CLASS, THRESHOLD, SURE, SEEN = 800, 0.7, 0.3, 3
 STARTS = (4, 5, 6, 7)
-_EDGE = re.compile(r"^\W+|\W+$")
 
 
 def plain(word: str) -> str:
-    low = word.lower()
-    return low if low.isalpha() else _EDGE.sub("", low)
+    return word.lower().strip(string.punctuation)
 
 
 def ends_sentence(word: str) -> bool:
     return word[-1:] in ".!?"
 
 
-def slot(kind: str, value: str) -> int:
-    return zlib.crc32(f"{kind}={value}".encode("utf-8", "replace")) % SLOTS
-
-
 def units(word: str) -> list[str]:
     """A plain word and its starts."""
     return [word, *(f"{word[:k]}-" for k in STARTS if len(word) > k)]
 
 
-#: Features of a token itself; two more are of its neighbours.
-OWN = 6
+#: Features of a token: its word, its starts, its end; and of its left and its right neighbour.
+KINDS = ("word", *(f"start{k}" for k in STARTS), "end", "left", "right")
+OWN = len(KINDS) - 2
 
 
-def word_slots(word: str) -> list[int]:
-    """Slots of: the word, its starts and its end, and the word as left and as right neighbour."""
-    w = plain(word)
-    return [slot("w", w), *(slot("p", w[:k]) for k in STARTS), slot("s", w[-4:]), slot("l", w), slot("r", w)]
+def values(w: str) -> list[str]:
+    """A plain word's value of each kind; a start that is the whole word is none."""
+    return [w, *(w[:k] if len(w) > k else "" for k in STARTS), w[-4:], w, w]
 
 
 class Chain:
-    """Weights: ``emit`` (of the toxic tag against the other, per slot), ``bias``, ``move`` (2 x 2 log weights)."""
+    """``weights`` (of the toxic tag against the other, per kind of feature and value), ``bias``, ``move`` (2 x 2 log weights)."""
 
     def __init__(self):
-        self.emit, self.bias, self.move = np.zeros(SLOTS), 0.0, np.zeros((2, 2))
+        self.weights: list[dict[str, float]] = [{} for _ in KINDS]
+        self.bias, self.move = 0.0, np.zeros((2, 2))
         self.slope, self.base = 4.0, -4.0
         self.scores: dict[str, tuple[float, float, float]] = {}
 
     def __getstate__(self):
-        kept = {k: v for k, v in vars(self).items() if k in ("bias", "move", "slope", "base")}
-        return kept | {"emit": self.emit.astype(np.float32), "scores": {}}
+        return {k: v for k, v in vars(self).items() if k in ("weights", "bias", "move", "slope", "base")} | {"scores": {}}
 
     @staticmethod
     def evidence(p: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -89,9 +83,8 @@ class Chain:
         if found is None:
             if len(self.scores) > 200_000:
                 self.scores.clear()
-            a = word_slots(word)
-            e = self.emit
-            found = self.scores[word] = (float(e[a[:OWN]].sum()), float(e[a[OWN]]), float(e[a[OWN + 1]]))
+            each = [d.get(v, 0.0) for d, v in zip(self.weights, values(plain(word)), strict=True)]
+            found = self.scores[word] = (sum(each[:OWN]), each[OWN], each[OWN + 1])
         return found
 
     def potentials(self, words: list[str], codes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -195,22 +188,33 @@ def train(texts: list[str], y: list[int], rounds: int = 50, rate: float = 1.0, o
     use = keep[number]
     codes, label, first, weight = codes[use], label[use], first[use], weight[use]
     starts = np.flatnonzero(first)
-    slots = np.array([word_slots(w) for w in words])
-    chain = Chain()
-    grad2, bias2, move2 = np.full(SLOTS, 1e-8), 1e-8, np.full((2, 2), 1e-8)
+    # features that occur SEEN times have a weight of their own, at 0 is one that stays 0
+    times = np.bincount(codes, minlength=len(words)).tolist()
+    counted: list[dict[str, int]] = [{} for _ in KINDS]
+    for w, n in zip(words, times, strict=True):
+        if n:
+            for d, v in zip(counted, values(plain(w)), strict=True):
+                d[v] = d.get(v, 0) + n
+    known, size = [], 1
+    for d in counted:
+        known.append({v: size + i for i, v in enumerate(v for v, n in d.items() if v and n >= SEEN)})
+        size += len(known[-1])
+    slots = np.array([[d.get(v, 0) for d, v in zip(known, values(plain(w)), strict=True)] for w in words])
+    chain, emit = Chain(), np.zeros(size)
+    grad2, bias2, move2 = np.full(size, 1e-8), 1e-8, np.full((2, 2), 1e-8)
     pair = np.flatnonzero(~first[1:])
     for _ in range(rounds):
-        e = chain.emit[slots[codes, :OWN]].sum(axis=1) + chain.bias
-        e[pair + 1] += chain.emit[slots[codes[pair], OWN]]
-        e[pair] += chain.emit[slots[codes[pair + 1], OWN + 1]]
+        e = emit[slots[codes, :OWN]].sum(axis=1) + chain.bias
+        e[pair + 1] += emit[slots[codes[pair], OWN]]
+        e[pair] += emit[slots[codes[pair + 1], OWN + 1]]
         p, z = chain.marginals(e, starts)
         d = (label - p) * weight
-        g = np.zeros(SLOTS)
+        g = np.zeros(size)
         for k in range(OWN):
-            g += np.bincount(slots[codes, k], d, minlength=SLOTS)
-        g += np.bincount(slots[codes[pair], OWN], d[pair + 1], minlength=SLOTS)
-        g += np.bincount(slots[codes[pair + 1], OWN + 1], d[pair], minlength=SLOTS)
-        g -= 0.01 * chain.emit
+            g += np.bincount(slots[codes, k], d, minlength=size)
+        g += np.bincount(slots[codes[pair], OWN], d[pair + 1], minlength=size)
+        g += np.bincount(slots[codes[pair + 1], OWN + 1], d[pair], minlength=size)
+        g -= 0.01 * emit
         zs = z[np.cumsum(first) - 1][pair]
         gm = np.zeros((2, 2))
         for a in (0, 1):
@@ -218,12 +222,14 @@ def train(texts: list[str], y: list[int], rounds: int = 50, rate: float = 1.0, o
                 lp = chain._ahead[pair, a] + chain.move[a, b] + (e[pair + 1] if b else 0) + chain._behind[pair + 1, b] - zs
                 gm[a, b] = (weight[pair] * ((label[pair] == a) & (label[pair + 1] == b)) - weight[pair] * np.exp(lp)).sum()
         gm -= 0.01 * chain.move
+        g[0] = 0
         grad2 += g * g
         bias2 += d.sum() ** 2
         move2 += gm * gm
-        chain.emit += rate * g / np.sqrt(grad2)
+        emit += rate * g / np.sqrt(grad2)
         chain.bias += rate * d.sum() / np.sqrt(bias2)
         chain.move += rate * gm / np.sqrt(move2)
+    chain.weights = [{v: float(emit[i]) for v, i in d.items()} for d in known]
     _, first = sentence_starts(words, all_codes, bounds)
     p, _ = chain.marginals(chain.potentials(words, all_codes, first), np.flatnonzero(first))
     del chain._ahead, chain._behind
