@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from meshline.llm.shared import remainder, slices, table
+from meshline.llm.shared import materialize, remainder, slices, table
 from meshline.llm.tokens import text_or_empty
 
 GRAMS, EXTRA, RANK, NEIGHBOURS, PER_CLASS = 4096, 4, 64, 15, 800
@@ -57,7 +57,8 @@ def balanced_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         return docs.select("doc_id", "text", F.lit(0).alias("y")).limit(0)
     share = F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, min(1.0, per_class / n))])
     drawn = y.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.element_at(share, F.col("y")) * 1_000_000)
-    return docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(drawn, "doc_id")
+    # about per_class ids of each of two classes, whatever the input: small enough to send to every task
+    return docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(materialize(drawn)), "doc_id")
 
 
 class Neighbours:
