@@ -171,9 +171,8 @@ def links(fps: DataFrame, radius: int = 2, sample_rows: int = 4096, dense: int =
         .distinct()
     )
     near = materialize(probed.join(crowded, meets, "left_semi").select("fp").distinct())
-    one_off = [0, *(_mask([b]) for b in range(BITS))] if radius == 2 else [0, *(_mask([b]) for b in range(0))]
+    one_off = [0, *(_mask([b]) for b in range(BITS))]
     if radius == 1:  # neighbours at one bit are listed outright
-        one_off = [_mask([b]) for b in range(BITS)]
         direct = near.select("fp", F.explode(F.array(*[F.lit(f) for f in one_off])).alias("flip"))
         direct = direct.select(F.col("fp").alias("a"), F.col("fp").bitwiseXOR(F.col("flip")).alias("b"))
         found = direct.join(near.select(F.col("fp").alias("b")), "b", "left_semi").filter("a < b").select("a", "b")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import zlib
 from array import array
 from functools import lru_cache
 
@@ -96,10 +95,5 @@ def word_tokenizer(path: str | None = None) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def crc_of(ids: np.ndarray) -> int:
-    """Unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
-    return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4"))
-
-
 def text_or_empty(batch) -> pa.Array:
     return pc.fill_null(batch.column("text"), "")
