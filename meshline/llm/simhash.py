@@ -260,13 +260,24 @@ def similar_documents(df: DataFrame, shingle: int = 5, similar: float = 0.8) ->
                     [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "same", "n", "bands"]
                 )
 
-    def sets(batches):
+    def alike(batches):
+        sets: dict[str, np.ndarray] = {}  # a hub's text comes up again and again
+
+        def of(text: str) -> np.ndarray:
+            if text not in sets:
+                if len(sets) > 256:
+                    sets.clear()
+                sets[text] = np.unique(shingle_hashes(text, shingle))
+            return sets[text]
+
         for batch in batches:
-            for part in slices(batch, size=1_000_000):
-                got = [np.unique(shingle_hashes(t or "", shingle)).view(np.int64) for t in part.column("text").to_pylist()]
-                ends = np.cumsum([0, *map(len, got)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*got, np.empty(0, np.int64)])))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["doc_id", "h"])
+            for part in slices(batch, "text_b"):
+                keep = []
+                for x, y in zip(part.column("text_a").to_pylist(), part.column("text_b").to_pylist(), strict=True):
+                    x, y = of(x or ""), of(y or "")
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(both >= similar * (len(x) + len(y) - both))
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     docs = df.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
     marked = materialize(docs.mapInArrow(marks, "doc_id long, same binary, n long, bands array<long>"))
@@ -282,12 +293,11 @@ def similar_documents(df: DataFrame, shingle: int = 5, similar: float = 0.8) ->
     beside = beside.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = materialize(to_hub.unionByName(beside).distinct())
     ends = materialize(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    texts = docs.join(ends, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, h array<long>")
-    texts = materialize(texts.dropDuplicates(["doc_id"]) if _repeated(marked) else texts)
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("h").alias("ha")), "a")
-    both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("h").alias("hb")), "b")
-    shares = F.size(F.array_intersect("ha", "hb"))
-    linked = both.filter(shares >= F.lit(similar) * (F.size("ha") + F.size("hb") - shares)).select("a", "b")
+    texts = docs.join(ends, "doc_id", "left_semi")
+    texts = materialize(texts.groupBy("doc_id").agg(F.min("text").alias("text")) if _repeated(marked) else texts)
+    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    linked = both.select("a", "b", "text_a", "text_b").mapInArrow(alike, "a long, b long")
     labels = connected_components(materialize(linked))
     labelled = materialize(first.join(labels, first.rep == labels.id, "left").select("same", F.coalesce("component", "rep").alias("component_id")))
     return marked.join(labelled, "same").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
