@@ -32,6 +32,8 @@ COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 BLOCK, MAGIC, HEAD = 1024, b"MS8B", struct.Struct("<4sIIIIQ")
 MARK = np.uint64((1 << 60) - 1)
+#: By bit length: the narrowest of the widths that holds it.
+_NARROWEST = np.array([next((w for w in sorted(set(WIDTHS.tolist())) if w >= b), 60) for b in range(66)], np.uint8)
 DOC = np.dtype([("doc_id", "<i8"), ("values", "<u8"), ("has_id", "u1")])
 
 
@@ -53,23 +55,19 @@ def _encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, blocks = len(values), -(-len(values) // BLOCK)
     escaped = values >= MARK
     plain = np.where(escaped, MARK, values)
-    width = np.zeros(n, np.uint8)
-    for w in WIDTHS[2:]:  # the smallest width of a selector that holds the value
-        width[(width == 0) & (plain < (np.uint64(1) << np.uint64(w)))] = w
-    width[plain == 0] = 0
-    width[escaped] = 60
-    # how far from each value all are at most so wide, within the block
-    at = np.arange(n)
-    end = np.minimum((at // BLOCK + 1) * BLOCK, n)
-    chosen, taken = np.full(n, 15, np.uint8), np.ones(n, np.int64)
-    done = np.zeros(n, bool)
-    for s in range(16):
-        wide = np.where(width > WIDTHS[s], at, n)
-        stop = np.minimum(np.minimum.accumulate(wide[::-1])[::-1], end) if n else wide
-        fits = ~done & ((stop - at >= COUNTS[s]) | ((stop == end) & (stop - at > 0) & (s >= 2)))
-        chosen[fits] = s
-        taken[fits] = np.minimum(COUNTS[s], (stop - at)[fits])
-        done |= fits
+    # the narrowest width that holds each value; blocks lie in rows, with room for a word that runs over the end
+    width = np.zeros((blocks, BLOCK + COUNTS[0]), np.uint8)
+    flat = np.zeros(blocks * BLOCK, np.uint8)
+    flat[:n] = _NARROWEST[np.frexp(plain.astype(np.float64))[1]]
+    width[:, :BLOCK] = flat.reshape(blocks, BLOCK)
+    chosen = np.empty((blocks, BLOCK), np.uint8)
+    before = np.zeros((blocks, width.shape[1] + 1), np.int32)
+    for s in range(15, -1, -1):  # the selector with most values wins
+        np.cumsum(width <= WIDTHS[s], axis=1, out=before[:, 1:])
+        k = COUNTS[s]
+        np.putmask(chosen, before[:, k : k + BLOCK] - before[:, :BLOCK] == k, s)
+    chosen = chosen.ravel()[:n]
+    taken = np.minimum(COUNTS[chosen], np.minimum((np.arange(n) // BLOCK + 1) * BLOCK, n) - np.arange(n))
     firsts, cursor = [], np.arange(blocks) * BLOCK
     last = np.minimum(cursor + BLOCK, n)
     while len(cursor):
