@@ -27,8 +27,9 @@ from meshline.llm.anchors import anchors, digests, gram_hashes
 from meshline.llm.shared import materialize, slices, table
 
 SPAN, GRAM = 400, 128
-#: Bytes a shard should hold, and the most that packed triples of ranks allow.
-SHARD_BYTES, MOST_BYTES = 700_000, (1 << 21) - 8
+#: Bytes a shard should hold and that are sorted at once (about 100 bytes of memory each), and the most that packed
+#: triples of ranks allow; a hash with more than half of the latter goes string by string.
+SHARD_BYTES, MOST_BYTES = 500_000, (1 << 21) - 8
 #: Spans to look up are broadcast up to this many, and joined by shuffle beyond.
 BROADCAST_SPANS = 50_000
 
@@ -108,7 +109,7 @@ def _anchored(docs: DataFrame, span: int, gram: int, whole: bool) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, size=2_000_000):
+            for part in slices(batch, size=1_000_000):
                 texts = [t.encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()]
                 data, ends = b"".join(texts), np.cumsum([len(t) for t in texts])
                 t, first, last, h = anchors(np.frombuffer(data, np.uint8), ends, span, gram)
@@ -127,7 +128,7 @@ def _anchored(docs: DataFrame, span: int, gram: int, whole: bool) -> DataFrame:
 def _cut_out(batches):
     """The bytes of the asked-for spans of each text."""
     for batch in batches:
-        for part in slices(batch, size=2_000_000):
+        for part in slices(batch, size=1_000_000):
             hs, ds, bs, ns = [], [], [], []
             for text, asked in zip(part.column("text").to_pylist(), part.column("asked").to_pylist(), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
@@ -165,7 +166,7 @@ def _sorted_shard(span: int):
         first, total, rows = 0, 0, 0
         counts = pdf.groupby("h", sort=False).size()
         for size, count in zip(sizes.tolist(), counts.tolist(), strict=True):
-            if total and total + size > MOST_BYTES:
+            if total and total + size > min(SHARD_BYTES, MOST_BYTES):
                 solve(pdf.iloc[first:rows])
                 first, total = rows, 0
             total, rows = total + size, rows + count
