@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -53,6 +54,14 @@ def remainder(column: str, m: int):
     return F.coalesce(F.crc32(F.col(column).cast("string")) % m, F.lit(0))
 
 
+def give_back() -> None:
+    """Return this worker's freed memory to the system: workers outlive their tasks, and both allocators keep what they had."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch | pa.Table, text: str = "text", size: int = SLICE_BYTES):
     """Cut a batch so that each part has about ``size`` bytes of text, at least one row."""
     lens = pc.fill_null(pc.binary_length(batch.column(text)), 0)
@@ -63,6 +72,7 @@ def slices(batch: pa.RecordBatch | pa.Table, text: str = "text", size: int = SLI
         to = max(at + 1, int(np.searchsorted(ends, base + size, side="right")))
         yield batch.slice(at, to - at)
         at = to
+    give_back()
 
 
 def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:

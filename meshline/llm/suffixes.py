@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from meshline.llm.anchors import anchors, digests, gram_hashes
-from meshline.llm.shared import materialize, slices, table
+from meshline.llm.shared import give_back, materialize, slices, table
 
 SPAN, GRAM = 400, 128
 #: Bytes a shard should hold and that are sorted at once (about 100 bytes of memory each), and the most that packed
@@ -172,6 +172,7 @@ def _sorted_shard(span: int):
             total, rows = total + size, rows + count
         if rows > first:
             solve(pdf.iloc[first:rows])
+        give_back()
         return pd.DataFrame(out, columns=["digest", "found"])
 
     return run
