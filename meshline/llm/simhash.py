@@ -237,13 +237,52 @@ def band_fingerprints(hashes: np.ndarray, bands: int = BANDS, least: int = LEAST
     return out
 
 
+#: Documents whose shingles are counted, shingles kept of them, and rows of a shingle and size that meet in one task.
+SAMPLE_DOCS, FREQUENT, TOGETHER = 8_000, 200_000, 1_000
+
+
+def frequent_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes (ascending) that a bounded sample of documents holds more than once, and their counts in it.
+
+    They decide only which shingles count as rare, so how much work the search does, never its result.
+    """
+
+    def hashes(batches):
+        for batch in batches:
+            for part in slices(batch, size=1_000_000):
+                each = [np.unique(shingle_hashes(t or "", shingle)) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(each).view(np.int64))], names=["h"])
+
+    every = max(1, docs.count() // SAMPLE_DOCS)
+    counts = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).mapInArrow(hashes, "h long").groupBy("h").count()
+    rows = counts.filter("count > 1").orderBy(F.desc("count"), "h").limit(FREQUENT).toPandas()
+    h, n = rows["h"].to_numpy(np.int64).view(np.uint64), rows["count"].to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def rare_prefix(distinct: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similar: float) -> np.ndarray:
+    """The rarest of a text's ``distinct`` (ascending) shingles, rarest first, in an order common to all texts.
+
+    Two texts whose similarity is at least ``similar`` share one of these; the smaller of them has it so early that
+    it and what follows is at least ``2 * similar / (1 + similar)`` of its shingles.
+    """
+    known, counts = frequent
+    weight = np.zeros(len(distinct), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
+        weight = np.where(known[at] == distinct, counts[at], 0)
+    return distinct[np.argsort(weight, kind="stable")][: int(len(distinct) * (1 - similar) + 1e-6) + 1]
+
+
 def similar_documents(df: DataFrame, shingle: int = 5, similar: float = 0.8) -> DataFrame:
     """``doc_id`` and ``component_id`` of each distinct id of ``df``: documents linked by shingle similarity.
 
-    Candidates share the SimHash of a band of their shingles; they are linked if the Jaccard similarity of their sets
-    of ``shingle``-word shingles, counted exactly, is at least ``similar``. Equal texts (after lower-casing A-Z and
-    joining words with one blank) are linked first and compared once. All texts of a band are compared with its first
-    one and each with the one before it (in order of size), so a band's links grow with its rows, not their square.
+    Documents are linked if the Jaccard similarity of their sets of ``shingle``-word shingles, counted exactly, is at
+    least ``similar``. Equal texts (after lower-casing A-Z and joining words with one blank) are linked first and
+    compared once. Texts that share the SimHash of a band of their shingles are compared with the band's first one and
+    with a neighbour by size, which links most groups at a cost that grows with rows. What these leave apart is then
+    joined on the rarest shingles of each text (``rare_links``), which misses no pair, and compared too.
     Texts without words are equal to each other. Null ids are left out; a repeated id takes part with its smallest text.
     """
 
@@ -251,13 +290,15 @@ def similar_documents(df: DataFrame, shingle: int = 5, similar: float = 0.8) ->
         for batch in batches:
             for part in slices(batch, size=1_000_000):
                 rows = []
+                common = sent.value
                 for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                     words = (text or "").encode().lower().split()
                     h = np.unique(shingle_hashes(text or "", shingle))
-                    rows.append((doc, xxhash.xxh3_128_digest(b" ".join(words)), len(h), [int(x) for x in np.array(band_fingerprints(h), np.uint64).view(np.int64)]))
-                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64())]
+                    bands = np.array(band_fingerprints(h), np.uint64).view(np.int64)
+                    rows.append((doc, xxhash.xxh3_128_digest(b" ".join(words)), len(h), bands, rare_prefix(h, common, similar).view(np.int64)))
+                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "same", "n", "bands"]
+                    [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "same", "n", "bands", "rare"]
                 )
 
     def alike(batches):
@@ -280,7 +321,18 @@ def similar_documents(df: DataFrame, shingle: int = 5, similar: float = 0.8) ->
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     docs = df.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
-    marked = materialize(docs.mapInArrow(marks, "doc_id long, same binary, n long, bands array<long>"))
+    sent = df.sparkSession.sparkContext.broadcast(frequent_shingles(docs, shingle))
+    marked = materialize(docs.mapInArrow(marks, "doc_id long, same binary, n long, bands array<long>, rare array<long>"))
+    repeated = _repeated(marked)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        ends = materialize(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+        texts = docs.join(ends, "doc_id", "left_semi")
+        texts = materialize(texts.groupBy("doc_id").agg(F.min("text").alias("text")) if repeated else texts)
+        both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+        both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+        return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(alike, "a long, b long"))
+
     first = materialize(marked.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     banded = first.select("rep", "n", F.explode("bands").alias("band"))
     hubs = materialize(banded.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("k")).filter("k > 1"))
@@ -292,17 +344,48 @@ def similar_documents(df: DataFrame, shingle: int = 5, similar: float = 0.8) ->
     beside = walk.select(F.lag("rep").over(step).alias("a"), F.col("rep").alias("b")).filter("a IS NOT NULL")
     beside = beside.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = materialize(to_hub.unionByName(beside).distinct())
-    ends = materialize(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    texts = docs.join(ends, "doc_id", "left_semi")
-    texts = materialize(texts.groupBy("doc_id").agg(F.min("text").alias("text")) if _repeated(marked) else texts)
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    linked = both.select("a", "b", "text_a", "text_b").mapInArrow(alike, "a long, b long")
-    labels = connected_components(materialize(linked))
-    labelled = materialize(first.join(labels, first.rep == labels.id, "left").select("same", F.coalesce("component", "rep").alias("component_id")))
+    labels = connected_components(verified(pairs))
+    labelled = materialize(first.join(labels, first.rep == labels.id, "left").select("same", "rep", F.coalesce("component", "rep").alias("part")))
+    rare = materialize(marked.join(labelled.withColumnRenamed("rep", "doc_id"), ["same", "doc_id"]).select(F.col("doc_id").alias("rep"), "part", "n", "rare"))
+    more = verified(rare_links(rare, similar))
+    parts = labelled.groupBy("rep").agg(F.min("part").alias("part"))
+    ends = more.join(parts.select(F.col("rep").alias("a"), F.col("part").alias("part_a")), "a")
+    ends = ends.join(parts.select(F.col("rep").alias("b"), F.col("part").alias("part_b")), "b")
+    wider = connected_components(materialize(ends.select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))))
+    labelled = materialize(labelled.join(wider, F.col("part") == wider.id, "left").select("same", F.coalesce("component", "part").alias("component_id")))
     return marked.join(labelled, "same").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
 
 
+def rare_links(rare: DataFrame, similar: float) -> DataFrame:
+    """Pairs ``a``, ``b`` of different parts of ``rare(rep, part, n, rare)`` that may be similar; misses none that are.
+
+    The first shingle two texts share in the common order has at most ``left`` shingles from it on in either, and a
+    similarity of ``similar`` needs ``similar / (1 + similar)`` of both sizes in common: so the smaller text has it
+    among its first few, and a text looks only for smaller sizes that leave enough. Sizes are cut to classes that the
+    larger text names outright, and what is left of a crowded shingle and class is dealt out by row.
+    """
+    need, slack = similar / (1 + similar), 1e-6
+    rows = rare.select("rep", "part", "n", F.posexplode("rare").alias("at", "token"))
+    spread = rows.groupBy("token").agg(F.min("part").alias("least"), F.max("part").alias("top")).filter("least < top").select("token")
+    live = materialize(rows.join(materialize(spread), "token").withColumn("left", F.col("n") - F.col("at")))
+    size = lambda n: F.floor(F.log(n.cast("double")) * 20)  # noqa: E731  (classes 5 % wide; rises with n)
+    small = live.filter(F.col("left") + slack >= F.col("n") * 2 * need).withColumn("size", size(F.col("n")))
+    held = small.groupBy("token", "size").agg(F.ceil(F.count("*") / TOGETHER).alias("deals"))
+    most = F.floor(F.least(F.col("n").cast("double"), (F.col("left") + slack) / need - F.col("n")))
+    least = F.greatest(F.lit(1), F.ceil(F.col("n") * similar - slack))
+    large = live.withColumn("most", most).filter(F.col("most") >= least)
+    large = large.withColumn("size", F.explode(F.sequence(size(least), size(F.col("most")))))
+    held = materialize(held)
+    large = large.join(held, ["token", "size"]).withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)))
+    small = small.join(held, ["token", "size"]).withColumn("deal", F.pmod(F.xxhash64("rep"), F.col("deals")))
+    x = small.select("token", "size", "deal", F.col("rep").alias("x"), F.col("part").alias("part_x"), F.col("n").alias("n_x"), F.col("left").alias("left_x"))
+    y = large.select("token", "size", "deal", F.col("rep").alias("y"), F.col("part").alias("part_y"), F.col("n").alias("n_y"), F.col("left").alias("left_y"))
+    apart = (F.col("part_x") != F.col("part_y")) & (F.col("n_x") <= F.col("n_y"))
+    enough = F.least("left_x", "left_y") + slack >= (F.col("n_x") + F.col("n_y")) * need
+    met = x.join(y, ["token", "size", "deal"]).filter(apart & enough)
+    return materialize(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+
+
 def _repeated(marked: DataFrame) -> bool:
     return bool(marked.groupBy("doc_id").count().filter("count > 1").head(1))
 

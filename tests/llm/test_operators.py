@@ -405,3 +405,42 @@ def test_whole_documents_that_are_similar(spark, docs):
     assert kept.columns == docs.columns
     ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
     assert ids == [*range(21), 23, *([25] if 25 in ids else []), 26, 27, 28]
+
+
+def brute_groups(texts, similar=0.8):
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, w in ((d, t.split()) for d, t in texts)}
+    parent = {d: d for d in sets}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and both >= similar * (len(sets[a]) + len(sets[b]) - both):
+                a_, b_ = root(a), root(b)
+                parent[max(a_, b_)] = min(a_, b_)
+    return {d: root(d) for d in sets}
+
+
+def test_similar_documents_under_a_template(spark):
+    """A template that a third of the rows hold, pairs and revisions over it, against all pairs."""
+    rng = np.random.default_rng(11)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    template, rows = fresh(170), []
+    for _ in range(40):  # strangers at under 0.8 and one partner each at a little over it
+        own = fresh(30)
+        rows += [own + template, own[:21] + fresh(9) + template]
+    for _ in range(10):  # revisions: each near the one before, ends far apart
+        words = fresh(25) + template
+        for k in range(4):
+            rows.append(list(words))
+            words[175 - 11 * k : 186 - 11 * k] = fresh(11)
+    rows += [fresh(int(rng.integers(1, 200))) for _ in range(240)]
+    order = rng.permutation(len(rows))
+    texts = [(int(d), " ".join(r)) for d, r in zip(order, rows, strict=True)]
+    got = simhash.similar_documents(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    want = brute_groups(texts)
+    assert {r.doc_id: r.component_id for r in got} == want and len(set(want.values())) < len(texts) - 40
