@@ -127,6 +127,16 @@ class Chain:
         return p, z
 
 
+def tokens_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """``words_of`` without the empty words that white space at a text's ends brings."""
+    words, codes, bounds = words_of(texts)
+    if "" in words:
+        some = codes != words.index("")
+        bounds = np.concatenate([[0], np.cumsum(some)])[bounds]
+        codes = codes[some]
+    return words, codes, bounds
+
+
 def sentence_starts(words: list[str], codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where sentences start, and the same as flags: at a text's start and after a word that ends one."""
     stop = np.fromiter(map(ends_sentence, words), np.bool_, len(words))
@@ -172,7 +182,7 @@ def train(texts: list[str], y: list[int], rounds: int = 50, rate: float = 1.0, o
     toxic = telling_units(texts, y)
     if not toxic:
         return None
-    words, codes, bounds = words_of(pa.array(texts, pa.string()))
+    words, codes, bounds = tokens_of(pa.array(texts, pa.string()))
     marks = np.fromiter((any(u in toxic for u in units(plain(w))) for w in words), np.bool_, len(words))
     all_codes = codes
     label = marks[codes] & np.repeat(np.array(y, bool), np.diff(bounds))
@@ -272,7 +282,7 @@ def tag(df: DataFrame, chain: Chain | None, sure: float = 0.5) -> DataFrame:
                 texts = text_or_empty(part)
                 n = len(texts)
                 scores, spans = np.zeros(n), [[] for _ in range(n)]
-                words, codes, bounds = words_of(texts)
+                words, codes, bounds = tokens_of(texts)
                 if c is not None and len(codes):
                     starts, first = sentence_starts(words, codes, bounds)
                     p, _ = c.marginals(c.potentials(words, codes, first), starts)

@@ -278,6 +278,16 @@ def test_toxic_spans(spark, docs, empty):
     assert toxicity.tag(empty, chain).count() == 0 and toxicity.tag(d, None).filter("score > 0").count() == 0
 
 
+def test_toxic_spans_after_blanks(spark):
+    chain = toxicity.Chain()
+    chain.weights[0]["vile"], chain.bias = 12.0, -6.0
+    rows = [(1, " \nthe river vile"), (2, "the river vile\t "), (3, " "), (4, "  vile the"), (5, "the river vile")]
+    got = {r.doc_id: r for r in toxicity.tag(spark.createDataFrame(rows, "doc_id long, text string"), chain).collect()}
+    spans = {d: [(s.start, s.end) for s in r.spans] for d, r in got.items()}
+    assert spans == {1: [(12, 16)], 2: [(10, 14)], 3: [], 4: [(2, 6)], 5: [(10, 14)]}
+    assert got[1].score == got[2].score == got[5].score
+
+
 def test_chain_marginals_match_enumeration():
     chain = toxicity.Chain()
     chain.move = np.array([[0.3, -0.7], [0.2, 0.9]])
