@@ -80,7 +80,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, span: int, k: int):
     return t[first], p[first], p[last], h[a[first]]
 
 
-def digests(data: bytes, first: np.ndarray, last: np.ndarray, span: int) -> list[bytes]:
-    """128-bit digests of the bytes that an anchor's strings cover."""
+def digests(data: bytes, first: np.ndarray, stop: np.ndarray) -> list[bytes]:
+    """128-bit digests of the bytes from ``first`` to ``stop``."""
     digest = xxhash.xxh3_128_digest
-    return [digest(data[a : b + span]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+    return [digest(data[a:b]) for a, b in zip(first.tolist(), stop.tolist(), strict=True)]

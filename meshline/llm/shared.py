@@ -38,6 +38,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it (names are compared without regard to case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def in_order(keys: DataFrame, *order: str, rows_per_range: int = 100_000) -> DataFrame:
     """Add ``range_no`` to ``keys``: ranges in ascending order of ``order``, each of bounded size, stored.
 
@@ -54,6 +62,11 @@ def remainder(column: str, m: int):
     return F.coalesce(F.crc32(F.col(column).cast("string")) % m, F.lit(0))
 
 
+def row_key(df: DataFrame):
+    """A key of a row by its ``doc_id`` and ``text``: rows that share an id but not a text have keys of their own."""
+    return F.xxhash64("doc_id", F.col("doc_id").isNull(), F.coalesce("text", F.lit("")), F.col("text").isNull())
+
+
 def give_back() -> None:
     """Return this worker's freed memory to the system: workers outlive their tasks, and both allocators keep what they had."""
     pa.default_memory_pool().release_unused()

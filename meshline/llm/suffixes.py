@@ -7,8 +7,11 @@ grouping anchors instead of all suffixes:
 * all the bytes that its strings cover occur again around another anchor: all of them repeat;
 * the rest, each text once, is suffix-sorted in shards of bounded size that hold all strings of an anchor hash:
   triples at two of three places are sorted and named, the names sorted by recursion, the remaining suffixes merged
-  in, and neighbours in the order compared over ``SPAN`` bytes. A hash with more text than a shard takes is instead
-  dealt out string by string.
+  in, and neighbours in the order compared by the bytes of their prefixes. A hash with more text than a shard takes is
+  instead dealt out string by string.
+
+Repeats of several lengths are found together: anchors stand for strings of the least length, the text around them
+is long enough for the greatest, and neighbours in the order are compared over each length.
 
 Spans of text travel once per distinct text, whole documents once, at the end.
 """
@@ -24,9 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from meshline.llm.anchors import anchors, digests, gram_hashes
-from meshline.llm.shared import give_back, materialize, slices, table
+from meshline.llm.shared import free_name, give_back, materialize, slices, table
 
 SPAN, GRAM = 400, 128
+#: Passages: repeated strings of so many bytes (fewer than nearly all runs of ``PASSAGE_WORDS`` words have), which
+#: count where they join to a run of at least so many words.
+PASSAGE, PASSAGE_GRAM, PASSAGE_WORDS = 200, 48, 50
 #: Bytes a shard should hold and that are sorted at once (about 100 bytes of memory each), and the most that packed
 #: triples of ranks allow; a hash with more than half of the latter goes string by string.
 SHARD_BYTES, MOST_BYTES = 500_000, (1 << 21) - 8
@@ -77,17 +83,31 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_starts(data: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
+def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, span: int) -> np.ndarray:
+    """Where the ``span`` bytes at ``a`` and ``b`` are the same."""
+    if span < 8:
+        return np.all([data[a + i] == data[b + i] for i in range(span)], axis=0)
+    eights = np.lib.stride_tricks.as_strided(np.ascontiguousarray(data)[: len(data) - 7].view(np.uint8), (len(data) - 7, 8), (1, 1))
+    eights = np.ascontiguousarray(eights).view(np.uint64).ravel()
+    same = np.ones(len(a), bool)
+    for i in [*range(0, span - 8, 8), span - 8]:
+        same &= eights[a + i] == eights[b + i]
+    return same
+
+
+def repeated_starts(data: np.ndarray, starts: np.ndarray, span: int, order: np.ndarray | None = None) -> np.ndarray:
     """Flags of those ``starts`` in ``data`` whose ``span`` bytes also start at another of them."""
     wanted = np.zeros(len(data), bool)
     wanted[starts] = True
-    order = suffix_array(data.astype(np.int64) + 1)
+    order = suffix_array(data.astype(np.int64) + 1) if order is None else order
     order = order[wanted[order]]
     h = gram_hashes(data, span)
-    same = h[order[1:]] == h[order[:-1]]
+    # a hash tells most neighbours apart; what it doesn't is compared byte by byte
+    near = np.flatnonzero(h[order[1:]] == h[order[:-1]])
+    near = near[_equal(data, order[near], order[near + 1], span)]
     found = np.zeros(len(data), bool)
-    found[order[1:][same]] = True
-    found[order[:-1][same]] = True
+    found[order[near + 1]] = True
+    found[order[near]] = True
     return found[starts]
 
 
@@ -104,25 +124,28 @@ def runs(flags: np.ndarray, span: int) -> list[tuple[int, int]]:
 # --- the operator ------------------------------------------------------------------------------------------------
 
 
-def _anchored(docs: DataFrame, span: int, gram: int, whole: bool) -> DataFrame:
-    """Anchors of all texts: hash ``h``; with ``whole`` also ``key``, first place ``lo``, number of places ``n``, ``digest``."""
+def _anchored(docs: DataFrame, spans: tuple[int, ...], gram: int, whole: bool) -> DataFrame:
+    """Anchors of all texts: hash ``h``; with ``whole`` also ``key``, first place ``lo``, number of places ``n``,
+    ``size`` of the text that the longest strings at these places take, and its ``digest``."""
+    least, most = min(spans), max(spans)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, size=1_000_000):
                 texts = [t.encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()]
                 data, ends = b"".join(texts), np.cumsum([len(t) for t in texts])
-                t, first, last, h = anchors(np.frombuffer(data, np.uint8), ends, span, gram)
+                t, first, last, h = anchors(np.frombuffer(data, np.uint8), ends, least, gram)
                 columns = [pa.array(h.view(np.int64))]
                 names = ["h"]
                 if whole:
-                    begin = np.concatenate([[0], ends])[t]
+                    begin, stop = np.concatenate([[0], ends])[t], np.minimum(last + most, ends[t])
                     columns += [part.column("key").take(pa.array(t)), pa.array((first - begin).astype(np.int32)),
-                                pa.array((last - first + 1).astype(np.int32)), pa.array(digests(data, first, last, span), pa.binary())]
-                    names += ["key", "lo", "n", "digest"]
+                                pa.array((last - first + 1).astype(np.int32)), pa.array((stop - first).astype(np.int32)),
+                                pa.array(digests(data, first, stop), pa.binary())]
+                    names += ["key", "lo", "n", "size", "digest"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select("key", "text").mapInArrow(run, "h long, key long, lo int, n int, digest binary" if whole else "h long")
+    return docs.select("key", "text").mapInArrow(run, "h long, key long, lo int, n int, size int, digest binary" if whole else "h long")
 
 
 def _cut_out(batches):
@@ -136,14 +159,14 @@ def _cut_out(batches):
                     hs.append(a["h"])
                     ds.append(a["digest"])
                     ns.append(a["n"])
-                    bs.append(raw[a["lo"] : a["lo"] + a["n"] + a["span"] - 1])
+                    bs.append(raw[a["lo"] : a["lo"] + a["size"]])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(hs, pa.int64()), pa.array(ds, pa.binary()), pa.array(ns, pa.int32()), pa.array(bs, pa.binary())],
                 names=["h", "digest", "n", "bytes"],
             )
 
 
-def _sorted_shard(span: int):
+def _sorted_shard(spans: tuple[int, ...]):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["h", "digest"], kind="stable", ignore_index=True)
         out: list[tuple[bytes, list[dict]]] = []
@@ -152,14 +175,19 @@ def _sorted_shard(span: int):
             data = np.frombuffer(b"".join(rows["bytes"]), np.uint8)
             lens, n = np.array([len(b) for b in rows["bytes"]]), rows["n"].to_numpy()
             begin = np.cumsum(lens) - lens
+            row = np.repeat(np.arange(len(n)), n)
             starts = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            flags = repeated_starts(data, starts, span)
-            at = 0
-            for digest, k in zip(rows["digest"], n.tolist(), strict=True):
-                found = runs(flags[at : at + k], span)
-                at += k
-                if found:
-                    out.append((digest, [{"a": a, "b": b} for a, b in found]))
+            order = suffix_array(data.astype(np.int64) + 1)
+            marks: list[list[dict]] = [[] for _ in range(len(n))]
+            for span in spans:
+                fits = starts + span <= (begin + lens)[row]
+                flags = np.zeros(len(starts), bool)
+                flags[fits] = repeated_starts(data, starts[fits], span, order)
+                at = 0
+                for mine, k in zip(marks, n.tolist(), strict=True):
+                    mine += [{"a": a, "b": b, "w": span} for a, b in runs(flags[at : at + k], span)]
+                    at += k
+            out.extend((digest, mine) for digest, mine in zip(rows["digest"], marks, strict=True) if mine)
 
         # hashes are independent of each other: as many as fit are sorted together
         sizes = pdf["bytes"].map(len).groupby(pdf["h"], sort=False).sum()
@@ -178,66 +206,74 @@ def _sorted_shard(span: int):
     return run
 
 
-def _strings(span: int):
+def _strings(spans: tuple[int, ...]):
     """Each string of a span, by its digest: for hashes with more text than a shard takes."""
 
     def run(batches):
         for batch in batches:
             for digest, n, raw in zip(*(batch.column(c).to_pylist() for c in ("digest", "n", "bytes")), strict=True):
-                names = [xxhash.xxh3_128_digest(raw[i : i + span]) for i in range(n)]
+                at = [(i, w) for w in spans for i in range(min(n, len(raw) - w + 1))]
+                names = [xxhash.xxh3_128_digest(raw[i : i + w]) for i, w in at]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, pa.binary()), pa.array([digest] * n, pa.binary()), pa.array(range(n), pa.int32())],
-                    names=["string", "digest", "at"],
-                )
+                    [pa.array(names, pa.binary()), pa.array([digest] * len(at), pa.binary()),
+                     pa.array([i for i, _ in at], pa.int32()), pa.array([w for _, w in at], pa.int32())],
+                    names=["string", "digest", "at", "w"],
+                )
 
     return run
 
 
-def repeats(df: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """``df(key, text)`` with unique keys to ``key`` and ``found``: byte intervals covered by repeated strings."""
+def repeats(df: DataFrame, spans: tuple[int, ...] = (SPAN,), gram: int = GRAM) -> DataFrame:
+    """``df(key, text)`` with unique keys to ``key`` and ``found``: byte intervals ``a`` to ``b`` covered by repeated
+    strings of ``w`` bytes, for each ``w`` of ``spans``."""
     # 1. hashes of anchors that occur more than once
-    twice = materialize(_anchored(df, span, gram, False).groupBy("h").count().filter("count > 1").select("h"))
-    some = materialize(_anchored(df, span, gram, True).join(twice, "h"))
+    twice = materialize(_anchored(df, spans, gram, False).groupBy("h").count().filter("count > 1").select("h"))
+    some = materialize(_anchored(df, spans, gram, True).join(twice, "h"))
     # 2. distinct texts around them
-    texts = some.groupBy("h", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("key", "lo", "n")).alias("one"))
+    texts = some.groupBy("h", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("key", "lo", "n", "size")).alias("one"))
     texts = materialize(texts.select("h", "digest", "copies", "one.*"))
-    kinds = texts.groupBy("h").agg(F.count("*").alias("kinds"), F.sum(F.col("n") + (span - 1)).alias("size")).filter("kinds > 1")
+    kinds = texts.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("size").alias("bytes")).filter("kinds > 1")
     doubt = materialize(texts.join(materialize(kinds), "h"))
-    spans = doubt.count()
-    asked = doubt.groupBy("key").agg(F.collect_list(F.struct("h", "digest", "lo", "n", F.lit(span).alias("span"))).alias("asked"))
+    asked = doubt.groupBy("key").agg(F.collect_list(F.struct("h", "digest", "lo", "n", "size")).alias("asked"))
     asked = materialize(asked)
-    if spans <= BROADCAST_SPANS:
+    count, total = doubt.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    if count <= BROADCAST_SPANS:
         asked = F.broadcast(asked)
     cut = materialize(df.select("key", "text").join(asked, "key").select("text", "asked").mapInArrow(_cut_out, "h long, digest binary, n int, bytes binary"))
     # 3. suffix order of bounded shards; hashes beyond a shard string by string
-    total = doubt.agg(F.sum(F.col("n") + (span - 1))).first()[0] or 0
-    large = materialize(kinds.filter(F.col("size") > MOST_BYTES // 2).select("h"))
+    large = materialize(kinds.filter(F.col("bytes") > MOST_BYTES // 2).select("h"))
     shards = max(1, -(-total // SHARD_BYTES))
     small = cut.join(large, "h", "left_anti").withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
-    found_kind = "digest binary, found array<struct<a:int,b:int>>"
-    found = small.repartition(shards, "shard").groupBy("shard").applyInPandas(_sorted_shard(span), found_kind)
+    found_kind = "digest binary, found array<struct<a:int,b:int,w:int>>"
+    found = small.repartition(shards, "shard").groupBy("shard").applyInPandas(_sorted_shard(spans), found_kind)
     if large.head(1):
-        strings = materialize(cut.join(large, "h", "left_semi").select("digest", "n", "bytes").mapInArrow(_strings(span), "string binary, digest binary, at int"))
+        rows = cut.join(large, "h", "left_semi").select("digest", "n", "bytes")
+        strings = materialize(rows.mapInArrow(_strings(spans), "string binary, digest binary, at int, w int"))
         again = materialize(strings.groupBy("string").count().filter("count > 1").select("string"))
         more = strings.join(again, "string").groupBy("digest").agg(
-            F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + span).alias("b"))).alias("found")
+            F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + F.col("w")).alias("b"), "w")).alias("found")
         )
         found = found.unionByName(more)
     # 4. verdicts back to all places of a text
     partly = materialize(found).withColumnRenamed("digest", "_d")
+    # of a text that occurs again every string does; texts at a document's end may be too short for the longer ones
+    every = F.filter(
+        F.array(*[F.struct(F.lit(0).alias("a"), F.least(F.col("n") + (w - 1), F.col("size")).alias("b"), F.lit(w).alias("w")) for w in spans]),
+        lambda f: f["b"] >= f["w"],
+    )
     verdicts = texts.join(partly, F.col("digest") == F.col("_d"), "left").select(
-        "h", "digest",
-        F.when(F.col("copies") > 1, F.array(F.struct(F.lit(0).alias("a"), (F.col("n") + (span - 1)).alias("b")))).otherwise(F.col("found")).alias("found"),
-    )
+        "h", "digest", F.when(F.col("copies") > 1, every).otherwise(F.col("found")).alias("found")
+    )
     verdicts = materialize(verdicts.filter(F.col("found").isNotNull()))
     placed = some.join(verdicts, ["h", "digest"]).select("key", "lo", F.explode("found").alias("f"))
-    placed = placed.select("key", F.struct((F.col("lo") + F.col("f.a")).alias("a"), (F.col("lo") + F.col("f.b")).alias("b")).alias("f"))
+    placed = placed.select("key", F.struct((F.col("lo") + F.col("f.a")).alias("a"), (F.col("lo") + F.col("f.b")).alias("b"), F.col("f.w").alias("w")).alias("f"))
     return placed.groupBy("key").agg(F.collect_list("f").alias("found"))
 
 
-def _merged(found: list[dict] | None) -> list[tuple[int, int]]:
+def _merged(found: list[dict] | None, w: int) -> list[tuple[int, int]]:
+    """Disjoint intervals of the strings of ``w`` bytes, in order."""
     out: list[list[int]] = []
-    for a, b in sorted((f["a"], f["b"]) for f in found or ()):
+    for a, b in sorted((f["a"], f["b"]) for f in (found if found is not None else ()) if f["w"] == w):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -245,55 +281,67 @@ def _merged(found: list[dict] | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _keyed(df: DataFrame) -> DataFrame:
-    """Add ``key``: the id where ids are unique and none is null, else a hash of id and text."""
-    ids = df.select("doc_id").groupBy("doc_id").count().agg(F.max("count").alias("most"), F.max(F.col("doc_id").isNull()).alias("null"))
-    most, null = ids.first()
-    if most is None or (most == 1 and not null):
-        return df.withColumn("key", F.col("doc_id").cast("long"))
-    return df.withColumn("key", F.xxhash64("doc_id", "text"))
+def _wordy(raw: bytes, intervals: list[tuple[int, int]], words: int) -> list[tuple[int, int]]:
+    """The intervals that hold at least so many words (ASCII white space between them; cut words count)."""
+    return [(a, b) for a, b in intervals if not words or len(raw[a:b].split()) >= words]
+
 
+def _rows(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` with one more column that tells all its rows apart, and its name.
 
-def _with_found(df: DataFrame, span: int, gram: int) -> DataFrame:
-    docs = _keyed(df.withColumn("text", F.coalesce("text", F.lit(""))))
-    return docs.join(materialize(repeats(docs, span, gram)), "key", "left").drop("key")
+    It is the id where ids are unique and none is null; else rows are numbered once and stored.
+    """
+    row = free_name(df, "_row")
+    most, null = df.select(F.col("doc_id").alias("i")).groupBy("i").count().agg(F.max("count"), F.max(F.col("i").isNull())).first()
+    if most is None or (most == 1 and not null):
+        return df.withColumn(row, F.col("doc_id").cast("long")), row
+    return materialize(df.withColumn(row, F.monotonically_increasing_id())), row
 
 
-def removals(df: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """Per row of ``df(doc_id, text)``: ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``spans`` (byte intervals).
+def removals(df: DataFrame, span: int = SPAN, gram: int = PASSAGE_GRAM, passage: int = PASSAGE, words: int = PASSAGE_WORDS) -> DataFrame:
+    """Per row of ``df(doc_id, text)``: ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``spans`` (byte
+    intervals), ``n_passages`` and ``passages``.
 
-    Every byte is removed that lies in a ``span``-byte string which starts anywhere else too. Null texts are empty;
-    texts under ``span`` bytes lose nothing. Repeated rows are copies of each other and come back each; null ids are
-    kept; further columns are ignored; an empty table gives an empty result.
+    Every byte is removed that lies in a ``span``-byte string which starts anywhere else too. Beside these, passages
+    are reported and not removed: runs of repeated ``passage``-byte strings with at least ``words`` words. Null texts
+    are empty; texts under ``span`` bytes lose nothing. Very long texts are read in whole, a batch holding one at
+    least. Repeated rows are copies of each other and come back each; null ids are kept; further columns, whatever
+    their names, are ignored; an empty table gives an empty result.
     """
+    interval = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 rows = []
                 for doc, text, found in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "found")), strict=True):
-                    raw, gone, at, kept = text.encode("utf-8", "surrogatepass"), _merged(found), 0, hashlib.sha256()
+                    raw, gone, at, kept = text.encode("utf-8", "surrogatepass"), _merged(found, span), 0, hashlib.sha256()
+                    told = _wordy(raw, _merged(found, passage), words)
                     for a, b in gone:
                         kept.update(raw[at:a])
                         at = b
                     kept.update(raw[at:])
-                    rows.append((doc, len(raw), sum(b - a for a, b in gone), len(gone), kept.hexdigest(), [{"a": a, "b": b} for a, b in gone]))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))]
+                    lists = [[{"a": a, "b": b} for a, b in x] for x in (gone, told)]
+                    rows.append((doc, len(raw), sum(b - a for a, b in gone), len(gone), kept.hexdigest(), lists[0], len(told), lists[1]))
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), interval, pa.int64(), interval]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
-                    names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"],
+                    names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "n_passages", "passages"],
                 )
 
-    found = _with_found(df.select(F.col("doc_id").cast("long"), "text"), span, gram)
-    return found.select("doc_id", "text", "found").mapInArrow(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a:long,b:long>>"
-    )
+    docs, row = _rows(df.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")))
+    found = materialize(repeats(docs.select(F.col(row).alias("key"), "text"), tuple(sorted({span, passage})), gram))
+    return docs.join(found, F.col(row) == F.col("key"), "left").select("doc_id", "text", "found").mapInArrow(
+        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a:long,b:long>>, "
+        "n_passages long, passages array<struct<a:long,b:long>>"
+    )
 
 
-def remove(df: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """The rows of ``df`` with the repeated bytes taken out of ``text``; all columns kept, in their order.
+def remove(df: DataFrame, span: int = SPAN, gram: int = GRAM, words: int = 0) -> DataFrame:
+    """The rows of ``df`` with repeated bytes taken out of ``text``; all columns kept, in their order.
 
-    Bytes of a character that was cut apart are dropped from the kept text. Null texts stay null.
+    As ``removals``; with ``words``, only runs of at least so many words are taken out. Bytes of a character that was
+    cut apart are dropped from the kept text. Null texts stay null. Further columns may have any names.
     """
 
     @F.pandas_udf("string")
@@ -304,16 +352,18 @@ def remove(df: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
                 out.append(text)
                 continue
             raw, at, kept = text.encode("utf-8", "surrogatepass"), 0, []
-            for a, b in _merged(list(f)):
+            for a, b in _wordy(raw, _merged(list(f), span), words):
                 kept.append(raw[at:a])
                 at = b
-            out.append(b"".join([*kept, raw[at:]]).decode("utf-8", "ignore"))
+            out.append(text if not at else b"".join([*kept, raw[at:]]).decode("utf-8", "ignore"))
         return pd.Series(out, dtype=object)
 
-    marked = df.withColumn("_null", F.col("text").isNull())
-    found = _with_found(marked, span, gram)
-    text = F.when(F.col("_null"), F.lit(None)).when(F.col("found").isNull(), F.col("text")).otherwise(without("text", "found"))
-    return found.withColumn("text", text).select(*df.columns)
+    docs, row = _rows(df)
+    found = materialize(repeats(docs.select(F.col(row).alias("key"), F.coalesce("text", F.lit("")).alias("text")), (span,), gram))
+    mark = free_name(docs, "_found")
+    found = found.select(F.col("key").alias(row), F.col("found").alias(mark))
+    text = F.when(F.col("text").isNull() | F.col(mark).isNull(), F.col("text")).otherwise(without("text", mark))
+    return docs.join(found, row, "left").withColumn("text", text).select(*df.columns)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
