@@ -15,7 +15,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from meshline.llm.shared import materialize, table
+from meshline.llm.shared import free_name, materialize, row_key, table
 
 SHINGLE, SIMILAR = 5, 0.8
 #: A similarity of 0.8 is 9 to 10 differing bits on average, with a deviation of 3; 27 bits lie over five above.
@@ -70,15 +70,33 @@ def find(docs: DataFrame, items: DataFrame, similar: float = SIMILAR) -> DataFra
     """``doc_id``, ``item_id``, ``at_word``, ``similarity`` of the best window of each contaminated document and item.
 
     The first of equally good windows is given. Items under five words (or null) are no evidence and match nothing;
-    null or short documents match nothing; repeated document rows count as one, repeated items keep their ids.
-    Rows with a null ``doc_id`` or ``item_id`` are left out. Further columns are ignored.
+    null or short documents match nothing; very long ones are read in whole. Of rows that share a ``doc_id``, each text
+    is looked at for itself, and the best window of any counts; of items that share an ``item_id`` likewise. Rows with a
+    null ``doc_id`` or ``item_id`` are left out. Further columns, whatever their names, are ignored; an empty table on
+    either side gives an empty result.
     """
-    docs = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", words(F.col("text")).alias("words"))
-    bench = items.filter(F.col("item_id").isNotNull()).select("item_id", words(F.col("text")).alias("words"))
-    bench = bench.filter(F.size("words") >= SHINGLE).withColumn("n", F.size("words"))
+    rows = docs.filter(F.col("doc_id").isNotNull()).select(row_key(docs).alias("row"), "doc_id", "text")
+    found = windows_found(rows, items.filter(F.col("item_id").isNotNull()), similar)
+    ids = rows.select("row", F.col("doc_id").alias("id")).join(found.select("row").distinct(), "row", "left_semi").distinct()
+    best = found.join(ids, "row").groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.max(F.struct("similarity", -F.col("start"))).alias("b"))
+    return best.select(
+        "doc_id", "item_id", F.greatest(-F.col("b.col2"), F.lit(0)).cast("long").alias("at_word"),
+        F.round("b.similarity", 6).alias("similarity"),
+    )
+
+
+def windows_found(rows: DataFrame, items: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """``row``, ``item_id``, ``start``, ``similarity`` of the best window for each row of ``rows(row, text)`` and item.
+
+    Equal rows (one ``row`` and text) count as one. ``start`` may be negative where an item's head is missing.
+    """
+    docs = rows.select(F.col("row").alias("doc_id"), words(F.col("text")).alias("words"))
+    bench = items.select("item_id", words(F.col("text")).alias("words"))
+    # texts that share an id are items of their own until the end
+    bench = bench.select(F.struct("item_id", F.xxhash64("words").alias("of")).alias("item_id"), "words")
+    bench = bench.filter(F.size("words") >= SHINGLE).withColumn("n", F.size("words")).dropDuplicates(["item_id"])
     grams = materialize(
-        shingle_rows(bench.dropDuplicates(["item_id", "words"]), "item_id")
-        .join(bench.select("item_id", "n").dropDuplicates(["item_id"]), "item_id")
+        shingle_rows(bench, "item_id").join(bench.select("item_id", "n"), "item_id")
         .groupBy("item_id", "n", "h").agg(F.collect_set("at").alias("places"), F.count("*").alias("weight"))
     )
     n_grams = grams.count()
@@ -127,17 +145,21 @@ def find(docs: DataFrame, items: DataFrame, similar: float = SIMILAR) -> DataFra
         F.sum(F.least("weight", "item_weight")).alias("both"), F.max(F.col("total") + F.col("item_total")).alias("all")
     )
     scored = scored.withColumn("similarity", F.col("both") / (F.col("all") - F.col("both"))).filter(F.col("similarity") >= similar)
-    best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", -F.col("start"))).alias("b"))
-    return best.select(
-        "doc_id", "item_id", F.greatest(-F.col("b.col2"), F.lit(0)).cast("long").alias("at_word"),
-        F.round("b.similarity", 6).alias("similarity"),
-    )
+    best = scored.select(F.col("doc_id").alias("row"), "item_id.item_id", F.struct("similarity", (-F.col("start")).alias("back")).alias("b"))
+    best = best.groupBy("row", "item_id").agg(F.max("b").alias("b"))
+    return best.select("row", "item_id", (-F.col("b.back")).alias("start"), F.col("b.similarity").alias("similarity"))
 
 
 def clean(docs: DataFrame, items: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The rows of ``docs`` that no benchmark item was found in; all columns, null ids kept."""
-    found = materialize(find(docs, items, similar).select(F.col("doc_id").alias("_found")).distinct())
-    return docs.join(found, F.col("doc_id") == F.col("_found"), "left_anti")
+    """The rows of ``docs`` in whose own text no benchmark item was found, those with null or repeated ids included.
+
+    All columns are kept, whatever their names; items with a null id count too.
+    """
+    key = free_name(docs, "_row")
+    keyed = docs.withColumn(key, row_key(docs))
+    found = windows_found(keyed.select(F.col(key).alias("row"), "text"), items, similar)
+    gone = materialize(found.select(F.col("row").alias(key)).distinct())
+    return keyed.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

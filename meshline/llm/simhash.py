@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from meshline.llm.graph import connected_components
-from meshline.llm.shared import materialize, slices, table
+from meshline.llm.shared import free_name, materialize, row_key, slices, table
 
 BITS = 64
 
@@ -323,7 +323,7 @@ def similar_documents(df: DataFrame, shingle: int = 5, similar: float = 0.8) ->
     docs = df.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
     sent = df.sparkSession.sparkContext.broadcast(frequent_shingles(docs, shingle))
     marked = materialize(docs.mapInArrow(marks, "doc_id long, same binary, n long, bands array<long>, rare array<long>"))
-    repeated = _repeated(marked)
+    repeated = bool(marked.groupBy("doc_id").count().filter("count > 1").head(1))
 
     def verified(pairs: DataFrame) -> DataFrame:
         ends = materialize(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
@@ -386,14 +386,25 @@ def rare_links(rare: DataFrame, similar: float) -> DataFrame:
     return materialize(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
 
-def _repeated(marked: DataFrame) -> bool:
-    return bool(marked.groupBy("doc_id").count().filter("count > 1").head(1))
-
-
 def without_near_duplicates(df: DataFrame, shingle: int = 5, similar: float = 0.8) -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of its group; a repeated id stays once, null ids stay."""
-    groups = similar_documents(df, shingle, similar)
-    gone = materialize(groups.filter("component_id < doc_id").select(F.col("doc_id").alias("_gone")))
-    kept = df.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    twice = df.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").head(1)
-    return kept.dropDuplicates(["doc_id"]) if twice else kept
+    """The rows of ``df`` that come first in their group of near duplicates: smallest id, null ids last.
+
+    Rows are told apart by id and text: equal ones are copies, of which one stays; rows that share an id or have none
+    are compared by their texts like any others. Further columns may have any names; an empty table gives an empty one.
+    """
+    key = free_name(df, "_key")
+    keyed = df.withColumn(key, row_key(df))
+    twice = keyed.groupBy(key).count().filter("count > 1").head(1)
+    if twice:  # stored, so that which of the equal rows stays is settled once
+        keyed = materialize(keyed.dropDuplicates([key]))
+    plain = df.select("doc_id").groupBy("doc_id").count().agg(F.max("count").alias("most"), F.max(F.col("doc_id").isNull()).alias("null")).first()
+    if not twice and plain["most"] in (None, 1) and not plain["null"]:
+        groups = similar_documents(df, shingle, similar)
+        gone = materialize(groups.filter("component_id < doc_id").select("doc_id"))
+        gone = gone.select(F.col("doc_id").alias(key))
+        return df.join(gone, F.col("doc_id") == F.col(key), "left_anti")
+    groups = similar_documents(keyed.select(F.col(key).alias("doc_id"), "text"), shingle, similar)
+    ids = keyed.select(F.col(key).alias("k"), F.col("doc_id").alias("id"))
+    first = groups.join(ids, F.col("doc_id") == F.col("k")).groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "k")).alias("f"))
+    stay = materialize(first.select(F.col("f.k").alias(key)))
+    return keyed.join(stay, key, "left_semi").select(*df.columns)
