@@ -32,7 +32,7 @@ from meshline.llm.shared import free_name, give_back, materialize, slices, table
 SPAN, GRAM = 400, 128
 #: Passages: repeated strings of so many bytes (fewer than nearly all runs of ``PASSAGE_WORDS`` words have), which
 #: count where they join to a run of at least so many words.
-PASSAGE, PASSAGE_GRAM, PASSAGE_WORDS = 200, 48, 50
+PASSAGE, PASSAGE_GRAM, PASSAGE_WORDS = 240, 120, 50
 #: Bytes a shard should hold and that are sorted at once (about 100 bytes of memory each), and the most that packed
 #: triples of ranks allow; a hash with more than half of the latter goes string by string.
 SHARD_BYTES, MOST_BYTES = 500_000, (1 << 21) - 8
