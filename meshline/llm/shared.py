@@ -88,10 +88,18 @@ def slices(batch: pa.RecordBatch | pa.Table, text: str = "text", size: int = SLI
     give_back()
 
 
-def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Split texts at ASCII white space: distinct words, a code for each word, and each text's bounds in the codes."""
+def coded_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Split texts at ASCII white space: distinct words, a code for each word, and each text's bounds in the codes.
+
+    A blank at a text's start or end makes one empty word there.
+    """
     split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     bounds = np.asarray(split.offsets, dtype=np.int64)
-    flat = split.flatten()
-    coded = flat.dictionary_encode()
-    return coded.dictionary.to_pylist(), np.asarray(coded.indices, dtype=np.int32), bounds - bounds[0]
+    coded = split.flatten().dictionary_encode()
+    return coded.dictionary, np.asarray(coded.indices, dtype=np.int32), bounds - bounds[0]
+
+
+def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """As ``coded_words``, with the distinct words as a list."""
+    words, codes, bounds = coded_words(texts)
+    return words.to_pylist(), codes, bounds

@@ -7,12 +7,12 @@ one-value selector, and the value itself stands in a list after the words. Value
 
 File format, one record after another, each ended by one 0x0A byte (little-endian)::
 
-    u32 magic "MS8B" | u32 documents | u32 blocks | u32 words | u32 escapes | u64 values
+    u32 magic "MS9B" | u32 range | u32 record | u32 documents | u32 blocks | u32 words | u32 escapes | u64 values
     documents x (i64 doc_id, u64 values, u8 has_id) | blocks x (u32 first word, u32 first escape)
     words x u64 | escapes x u64 | 0x0A
 
 Files are written by Spark's own committer and read by its binary reader: lost executors and any file system it
-knows are taken care of. File names sort in document order.
+knows are taken care of. Document order is that of the ranges' and records' numbers, whatever files are called.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from meshline.llm.shared import materialize, shared_dir, slices, table
@@ -30,7 +31,7 @@ from meshline.llm.tokens import END_ID, text_or_empty, word_tokenizer
 #: How many values of how many bits each selector packs.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
-BLOCK, MAGIC, HEAD = 1024, b"MS8B", struct.Struct("<4sIIIIQ")
+BLOCK, MAGIC, HEAD = 1024, b"MS9B", struct.Struct("<4sIIIIIIQ")
 MARK = np.uint64((1 << 60) - 1)
 #: By bit length: the narrowest of the widths that holds it.
 _NARROWEST = np.array([next((w for w in sorted(set(WIDTHS.tolist())) if w >= b), 60) for b in range(66)], np.uint8)
@@ -123,21 +124,22 @@ def _cut(count: np.ndarray, n: int) -> np.ndarray:
     return count[:i]
 
 
-def to_record(doc_ids: list[int | None], lengths: np.ndarray, values: np.ndarray) -> bytes:
+def to_record(doc_ids: list[int | None], lengths: np.ndarray, values: np.ndarray, place: tuple[int, int] = (0, 0)) -> bytes:
+    """A record; ``place`` is the number of its range and its own number there."""
     words, escapes, index = encode(values)
     docs = np.zeros(len(doc_ids), DOC)
     docs["doc_id"], docs["values"] = [d or 0 for d in doc_ids], lengths
     docs["has_id"] = [d is not None for d in doc_ids]
-    head = HEAD.pack(MAGIC, len(docs), len(index), len(words), len(escapes), len(values))
+    head = HEAD.pack(MAGIC, *place, len(docs), len(index), len(words), len(escapes), len(values))
     parts = [head, docs.tobytes(), index.tobytes(), words.astype("<u8").tobytes(), escapes.astype("<u8").tobytes(), b"\n"]
     return b"".join(parts)
 
 
 def records(content: bytes):
-    """``(doc_ids, lengths, values)`` of each record of a file."""
+    """``(place, doc_ids, lengths, values)`` of each record of a file."""
     at = 0
     while at < len(content):
-        magic, docs, blocks, words, escapes, n = HEAD.unpack_from(content, at)
+        magic, range_, record, docs, blocks, words, escapes, n = HEAD.unpack_from(content, at)
         if magic != MAGIC:
             raise ValueError(f"no record at byte {at}")
         at += HEAD.size
@@ -148,82 +150,88 @@ def records(content: bytes):
         e = np.frombuffer(content, "<u8", escapes, at)
         at += escapes * 8 + 1
         ids = [int(d) if h else None for d, h in zip(table_["doc_id"], table_["has_id"], strict=True)]
-        yield ids, table_["values"].astype(np.int64), decode(w, e, n)
+        yield (range_, record), ids, table_["values"].astype(np.int64), decode(w, e, n)
 
 
 def write_ids(df: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID) -> None:
     """Tokenise ``df(doc_id, text)`` and write its ids in ascending ``doc_id`` order as files under ``path``.
 
-    Ranges of ``doc_id`` are dealt out and sorted by Spark; each task streams its range into records. Null texts
-    count as empty (the end id alone); rows with a null ``doc_id`` come first; repeated rows are all written.
+    Ranges of ``doc_id`` are dealt out and sorted by Spark; each task streams its range into records of some 4 MB of
+    text (one very long text at least). Null texts count as empty (the end id alone); rows with a null ``doc_id`` come
+    first; rows that share an id are all written, in the order of their texts' hashes, and may lie in several ranges.
+    Further columns, whatever their names, are ignored; an empty table gives no record.
     """
 
     def run(batches):
-        tokens = word_tokenizer(vocabulary)
+        tokens, place, n = word_tokenizer(vocabulary), TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in slices(batch):
                 ids, ends = tokens.encode(text_or_empty(part), end_id)
-                record = to_record(part.column("doc_id").to_pylist(), np.diff(ends), ids)
+                record = to_record(part.column("doc_id").to_pylist(), np.diff(ends), ids, (place, n))
+                n += 1
                 yield pa.RecordBatch.from_arrays([pa.array([record[:-1]], pa.binary())], names=["record"])
 
     docs = df.select(F.col("doc_id").cast("long"), "text")
-    ranged = docs.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
-        F.col("doc_id").asc_nulls_first(), "text"
-    )
+    # rows that share an id are told apart, so that a range can end between them
+    docs = docs.withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    order = [F.col("doc_id").asc_nulls_first(), "h", "row"]
+    ranged = docs.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     binary = ranged.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
     binary.write.option("lineSep", "\n").option("compression", "none").option("maxRecordsPerFile", 8).text(path)
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document, from the files alone: ``file``, ``seq`` (place in the file), ``doc_id``, ``ids``."""
-
+def _per_file(spark: SparkSession, path: str, rows, kinds: list[tuple[str, pa.DataType]], schema: str) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                seq = 0
-                for ids, lengths, values in records(content.as_buffer().to_pybytes()):
-                    ends = np.cumsum(lengths)
-                    lists = pa.LargeListArray.from_arrays(np.concatenate([[0], ends]), pa.array(values.astype(np.int64)))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([file] * len(ids)), pa.array(range(seq, seq + len(ids)), pa.int64()),
-                         pa.array(ids, pa.int64()), lists.cast(pa.list_(pa.int64()))],
-                        names=["file", "seq", "doc_id", "ids"],
-                    )
-                    seq += len(ids)
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "file string, seq long, doc_id long, ids array<long>")
+            for content in batch.column("content"):
+                for got in rows(content.as_buffer().to_pybytes()):
+                    got = zip(*got, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(got, kinds, strict=True)], names=[n for n, _ in kinds])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+
+
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """One row per document, from the files alone: ``range``, ``record``, ``seq`` (place in the record), ``doc_id``, ``ids``."""
+
+    def rows(content: bytes):
+        for (range_, record), ids, lengths, values in records(content):
+            ends = np.cumsum(lengths)
+            cut = zip(ids, (ends - lengths).tolist(), ends.tolist(), strict=True)
+            yield [(range_, record, seq, doc, values[a:b].astype(np.int64)) for seq, (doc, a, b) in enumerate(cut)]
+
+    kinds = [*((n, pa.int64()) for n in ("range", "record", "seq", "doc_id")), ("ids", pa.list_(pa.int64()))]
+    return _per_file(spark, path, rows, kinds, "range long, record long, seq long, doc_id long, ids array<long>")
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
-    """As ``read_ids``, with ``n_tokens``, the ids' ``ids_crc32`` and ``own`` (ids before it in its file)."""
+    """As ``read_ids``, with ``n_tokens`` and the ids' ``ids_crc32``, and ``own``: ids before it in its file, whose first
+    record is ``record``."""
 
-    def run(batches):
-        for batch in batches:
-            for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                own, out = 0, []
-                for ids, lengths, values in records(content.as_buffer().to_pybytes()):
-                    small, at = values.astype("<u4"), 0
-                    for doc, n in zip(ids, lengths.tolist(), strict=True):
-                        out.append((file, doc, n, zlib.crc32(small[at : at + n]), own))
-                        at, own = at + n, own + n
-                if out:
-                    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-                    columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["file", "doc_id", "n_tokens", "ids_crc32", "own"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "file string, doc_id long, n_tokens long, ids_crc32 long, own long")
+    def rows(content: bytes):
+        own, first = 0, None
+        for place, ids, lengths, values in records(content):
+            first = first or place
+            small, at, out = values.astype("<u4"), 0, []
+            for doc, n in zip(ids, lengths.tolist(), strict=True):
+                out.append((*first, doc, n, zlib.crc32(small[at : at + n]), own))
+                at, own = at + n, own + n
+            yield out
+
+    names = ("range", "record", "doc_id", "n_tokens", "ids_crc32", "own")
+    return _per_file(spark, path, rows, [(n, pa.int64()) for n in names], ", ".join(f"{n} long" for n in names))
 
 
 def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     write_ids(table(spark, sf_dir, "documents"), path)
     docs = materialize(read_digests(spark, path))
-    # one row per file (of bounded size) meets in one task
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    files = docs.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    files = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return docs.join(files, "file").select(
-        "doc_id", (F.col("before") + F.col("own")).cast("long").alias("start"), "n_tokens", "ids_crc32"
+    # files are summed within their range, and ranges, one row each, in one task
+    files = docs.groupBy("range", "record").agg(F.sum("n_tokens").alias("n"))
+    inside = Window.partitionBy("range").orderBy("record").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = files.groupBy("range").agg(F.sum("n").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    files = files.select("range", "record", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("before")).join(ranges, "range")
+    return docs.join(files, ["range", "record"]).select(
+        "doc_id", (F.col("earlier") + F.col("before") + F.col("own")).cast("long").alias("start"), "n_tokens", "ids_crc32"
     )

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from meshline.llm.shared import words_of
+from meshline.llm.shared import coded_words
 
 END_ID = 1
 
@@ -27,66 +27,94 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in kept)}
 
 
+#: Letters of Latin-1: the library's normaliser does nothing but lower-case them. One mark may follow.
+PLAIN = "^[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,]?$"
+
+
 class WordTokenizer:
-    """Ids of whole texts, with a bounded memo of words.
+    """Ids of whole texts, with a memo of words that is bounded in bytes.
 
     The vocabulary never merges across white space, so a text's ids are those of its white-space-separated
-    words in turn. Words of Latin-1 letters go to the library's BPE model directly (after the lower-casing and
-    byte mapping that its normaliser would do); all other words go through the library's whole chain.
+    words in turn. Words of Latin-1 letters (with one full stop or comma after them) go to the library's BPE model
+    directly, after the lower-casing and byte mapping that its normaliser would do, once for all their spellings;
+    all other words go through the library's whole chain.
     """
 
-    def __init__(self, path: str | None = None, memo: int = 400_000):
+    def __init__(self, path: str | None = None, most_bytes: int = 48_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path or default_vocabulary())
         self.pieces, self.letters = self.whole.model.tokenize, _byte_letters()
-        self.memo: dict[str, bytes] = {}
-        self.most = memo
-        # letters and one following mark are separate pre-tokens
-        self.marks = {m: self._any(m) for m in ".,"}
-
-    def _any(self, word: str) -> bytes:
-        return array("I", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
-
-    def _new(self, word: str) -> bytes:
-        mark = self.marks.get(word[-1:], b"")
-        core = word[:-1] if mark else word
-        if not core.isalpha():
-            return self._any(word)
-        core = core.lower()
+        self.most = most_bytes
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start the memo anew: entry 0 is no id, entries 1 and 2 are the ids of a full stop and a comma."""
+        self.memo: dict[str, int] = {}
+        self.ids, self.ends, self.taken = array("I"), array("q", [0]), 0
+        for mark in (".", ","):
+            self._add(self._any(mark))
+
+    def _add(self, ids: list[int]) -> int:
+        self.ids.extend(ids)
+        self.ends.append(len(self.ids))
+        return len(self.ends) - 1
+
+    def _any(self, word: str) -> list[int]:
+        return self.whole.encode(word, add_special_tokens=False).ids
+
+    def _plain(self, core: str) -> list[int]:
         if not core.isascii():
-            try:
-                core.encode("latin-1")
-            except UnicodeEncodeError:
-                return self._any(word)
             core = core.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.pieces(core)]).tobytes() + mark
+        return [t.id for t in self.pieces(core)]
+
+    def _entries(self, words: pa.Array, new) -> np.ndarray:
+        """The memo's entry of each word; ``new`` gives the ids of those that it doesn't have."""
+        memo, out = self.memo, []
+        for w in words.to_pylist():
+            at = memo.get(w)
+            if at is None:
+                ids = new(w)
+                at = memo[w] = self._add(ids)
+                self.taken += 120 + len(w) + 4 * len(ids)
+            out.append(at)
+        return np.array(out, np.int64)
 
     def encode(self, texts: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in turn, and each text's bounds; ``end_id`` follows each text (None: nothing)."""
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
-        words, codes, bounds = words_of(texts)
-        if len(self.memo) > self.most:
-            self.memo.clear()
-        memo, known = self.memo, []
-        for w in words:
-            ids = memo.get(w)
-            if ids is None:
-                ids = memo[w] = self._new(w)
-            known.append(ids)
+        words, codes, bounds = coded_words(texts)
+        if self.taken > self.most:
+            self._forget()
+        # a word is what the memo has for its letters, and for the mark after them
+        low = pc.utf8_lower(words)
+        mark = np.where(pc.ends_with(low, "."), 1, np.where(pc.ends_with(low, ","), 2, 0))
+        core = pc.if_else(pa.array(mark > 0), pc.utf8_slice_codeunits(low, 0, -1), low)
+        plain = np.asarray(pc.match_substring_regex(words, PLAIN))
+        entry = np.zeros((len(words), 2), np.int64)
+        coded = core.filter(pa.array(plain)).dictionary_encode()
+        entry[plain, 0] = self._entries(coded.dictionary, self._plain)[np.asarray(coded.indices)] if plain.any() else 0
+        entry[plain, 1] = mark[plain]
+        entry[~plain, 0] = self._entries(words.filter(pa.array(~plain)), self._any)
+        ends = np.frombuffer(self.ends, np.int64)
+        first = np.concatenate([[0], ends[:-1]])
+        flat, cuts = gathered(np.frombuffer(self.ids, np.uint32), first, ends, entry.ravel())
+        first, ends = cuts[:-1:2], cuts[2::2]
         if end_id is not None:  # one more word ends each text
-            known.append(array("I", [end_id]).tobytes())
+            flat, first, ends = np.append(flat, np.uint32(end_id)), np.append(first, len(flat)), np.append(ends, len(flat) + 1)
             codes = np.insert(codes, bounds[1:], len(words))
             bounds = bounds + np.arange(len(bounds))
-        lens = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
-        flat = np.frombuffer(b"".join(known), dtype=np.uint32)
-        starts = np.cumsum(lens) - lens
-        n = lens[codes]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[np.repeat(starts[codes] - ends[:-1], n) + np.arange(ends[-1])]
-        return ids, ends[bounds]
+        ids, cuts = gathered(flat, first, ends, codes)
+        return ids, cuts[bounds]
+
+
+def gathered(flat: np.ndarray, first: np.ndarray, ends: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces ``first`` to ``ends`` of ``flat`` named by ``which``, one after another, and their bounds."""
+    n = (ends - first)[which]
+    cuts = np.concatenate([[0], np.cumsum(n)])
+    return flat[np.repeat(first[which] - cuts[:-1], n) + np.arange(cuts[-1])], cuts
 
 
 @lru_cache(maxsize=2)

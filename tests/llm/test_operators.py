@@ -218,6 +218,8 @@ def test_token_files_round_trip(spark, docs, empty):
     rows = pairs(docs)
     want = sorted(((d is not None, d, i.tolist()) for (d, _), i in zip(rows, ids_of([t for _, t in rows]), strict=True)), key=repr)
     assert got == want
+    order = [(r.doc_id is not None, r.doc_id or 0) for r in simple8b.read_ids(spark, path).orderBy("range", "record", "seq").collect()]
+    assert order == sorted(order)
     nothing = shared_dir(spark)
     simple8b.write_ids(empty, nothing)
     assert simple8b.read_ids(spark, nothing).count() == 0
@@ -227,8 +229,8 @@ def test_token_files_round_trip(spark, docs, empty):
 @settings(max_examples=40, deadline=None)
 def test_simple8b(values):
     v = np.array(values, dtype=np.uint64)
-    (_, _, back), = simple8b.records(simple8b.to_record([5], np.array([len(v)]), v))
-    assert back.tolist() == values
+    (place, _, _, back), = simple8b.records(simple8b.to_record([5], np.array([len(v)]), v, (3, 100_000)))
+    assert place == (3, 100_000) and back.tolist() == values
 
 
 def test_op5_query(spark):
