@@ -57,7 +57,8 @@ def fit(df: DataFrame, docs_per_lang: int = 2000) -> tuple[list[str], np.ndarray
     """
     known = df.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     shares = known.groupBy("lang").agg((F.lit(float(docs_per_lang)) / F.count("*") * 1_000_000).alias("share"))
-    drawn = known.join(shares, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share"))
+    # one row a language, as in the model that every task gets
+    drawn = known.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share"))
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}

@@ -38,6 +38,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession, size: int = 4_000_000) -> None:
+    """Bound what goes to a Python worker at once by bytes; a session that has a lower bound keeps it."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(setting).rstrip("b")) > size:
+        spark.conf.set(setting, size)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it (names are compared without regard to case)."""
     taken = {c.lower() for c in df.columns}

@@ -288,7 +288,7 @@ def similar_documents(df: DataFrame, shingle: int = 5, similar: float = 0.8) ->
 
     def marks(batches):
         for batch in batches:
-            for part in slices(batch, size=1_000_000):
+            for part in slices(batch, size=500_000):
                 rows = []
                 common = sent.value
                 for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
@@ -306,13 +306,13 @@ def similar_documents(df: DataFrame, shingle: int = 5, similar: float = 0.8) ->
 
         def of(text: str) -> np.ndarray:
             if text not in sets:
-                if len(sets) > 256:
+                if sum(map(len, sets)) > 4_000_000:
                     sets.clear()
                 sets[text] = np.unique(shingle_hashes(text, shingle))
             return sets[text]
 
         for batch in batches:
-            for part in slices(batch, "text_b"):
+            for part in slices(batch, "text_b", 1_000_000):
                 keep = []
                 for x, y in zip(part.column("text_a").to_pylist(), part.column("text_b").to_pylist(), strict=True):
                     x, y = of(x or ""), of(y or "")
@@ -327,8 +327,8 @@ def similar_documents(df: DataFrame, shingle: int = 5, similar: float = 0.8) ->
 
     def verified(pairs: DataFrame) -> DataFrame:
         ends = materialize(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-        texts = docs.join(ends, "doc_id", "left_semi")
-        texts = materialize(texts.groupBy("doc_id").agg(F.min("text").alias("text")) if repeated else texts)
+        texts = docs.join(ends, "doc_id", "left_semi")  # read twice rather than stored
+        texts = texts.groupBy("doc_id").agg(F.min("text").alias("text")) if repeated else texts
         both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(alike, "a long, b long"))

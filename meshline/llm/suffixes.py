@@ -131,7 +131,7 @@ def _anchored(docs: DataFrame, spans: tuple[int, ...], gram: int, whole: bool) -
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, size=1_000_000):
+            for part in slices(batch, size=500_000):
                 texts = [t.encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()]
                 data, ends = b"".join(texts), np.cumsum([len(t) for t in texts])
                 t, first, last, h = anchors(np.frombuffer(data, np.uint8), ends, least, gram)
