@@ -93,8 +93,10 @@ def windows_found(rows: DataFrame, items: DataFrame, similar: float = SIMILAR) -
     docs = rows.select(F.col("row").alias("doc_id"), words(F.col("text")).alias("words"))
     bench = items.select("item_id", words(F.col("text")).alias("words"))
     # texts that share an id are items of their own until the end
-    bench = bench.select(F.struct("item_id", F.xxhash64("words").alias("of")).alias("item_id"), "words")
-    bench = bench.filter(F.size("words") >= SHINGLE).withColumn("n", F.size("words")).dropDuplicates(["item_id"])
+    bench = bench.filter(F.size("words") >= SHINGLE).withColumn("n", F.size("words"))
+    bench = bench.select(F.xxhash64("item_id", F.col("item_id").isNull(), "words").alias("of"), "item_id", "words", "n").dropDuplicates(["of"])
+    names = bench.select("of", F.col("item_id").alias("name"))
+    bench = bench.select(F.col("of").alias("item_id"), "words", "n")
     grams = materialize(
         shingle_rows(bench, "item_id").join(bench.select("item_id", "n"), "item_id")
         .groupBy("item_id", "n", "h").agg(F.collect_set("at").alias("places"), F.count("*").alias("weight"))
@@ -145,7 +147,8 @@ def windows_found(rows: DataFrame, items: DataFrame, similar: float = SIMILAR) -
         F.sum(F.least("weight", "item_weight")).alias("both"), F.max(F.col("total") + F.col("item_total")).alias("all")
     )
     scored = scored.withColumn("similarity", F.col("both") / (F.col("all") - F.col("both"))).filter(F.col("similarity") >= similar)
-    best = scored.select(F.col("doc_id").alias("row"), "item_id.item_id", F.struct("similarity", (-F.col("start")).alias("back")).alias("b"))
+    scored = materialize(scored).join(names, F.col("item_id") == F.col("of"))
+    best = scored.select(F.col("doc_id").alias("row"), F.col("name").alias("item_id"), F.struct("similarity", (-F.col("start")).alias("back")).alias("b"))
     best = best.groupBy("row", "item_id").agg(F.max("b").alias("b"))
     return best.select("row", "item_id", (-F.col("b.back")).alias("start"), F.col("b.similarity").alias("similarity"))
 
