@@ -120,3 +120,121 @@ def lifecycle(queued: Column, before: Column, now: Column, snapshot: Column) ->
     """
     back = now.startswith("s:") & before.startswith("m:") & snapshot
     return F.when(queued, "restore").when(before.isNull() | (before == now), "keep").when(back, "restore").otherwise("clear")
+
+
+def metres(lng: Column, lat: Column, lat0: Column) -> tuple[Column, Column]:
+    """Equirectangular metres around ``lat0``; the cosine is quantised to 9 digits."""
+    cos = F.floor(F.cos(lat0 * F.lit(PI) / 180) * 1e9 + 0.5) / 1e9
+    return F.lit(6371000.0) * lng * F.lit(PI) * cos / 180, F.lit(6371000.0) * lat * F.lit(PI) / 180
+
+
+def corner_place(i: Column, n: Column, low: Column, high: Column) -> Column:
+    """Coordinate of grid corner ``i`` of ``n`` cells between ``low`` and ``high``."""
+    return low + i / n * (high - low)
+
+
+def boxes_alike(a: list[Column], b: list[Column]) -> Column:
+    """Whether the four sides of two boxes are the same up to a millionth."""
+    out = F.lit(True)
+    for p, q in zip(a, b, strict=True):
+        out = out & (F.abs(p - q) <= 1e-6)
+    return out
+
+
+def corner_factor(dot: Column) -> Column:
+    """Weight of a crossing by the cosine of its turn, in steps."""
+    return F.when(dot < -0.92, 6.0).when(dot < -0.38, 0.5).otherwise(0.15)
+
+
+def angle_factor(dot: Column, most: float = 6.0) -> Column:
+    """Weight of a crossing by the cosine of its turn: least at a right angle, ``most`` at either end."""
+    return F.lit(0.15) + F.lit(most - 0.15) * dot * dot
+
+
+def circular_distance(a: Column, b: Column, n: Column) -> Column:
+    return F.pmod(b - a, n)
+
+
+def move_penalty(distance: Column, cell: float, per_grid: float) -> Column:
+    return distance / F.lit(cell) * F.lit(per_grid)
+
+
+def heuristic(dx: Column, dy: Column, x_cost: float, y_cost: float, diagonal_saving: float, bend: float, hop: float) -> Column:
+    """Least cost of a path over an octilinear grid: straight and diagonal moves, one bend where both are needed."""
+    x, y = F.abs(dx), F.abs(dy)
+    cost = x * F.lit(x_cost) + y * F.lit(y_cost) + F.least(x, y) * F.lit(diagonal_saving)
+    cost = cost + F.when((x != y) & (x != 0) & (y != 0), F.lit(bend)).otherwise(F.lit(0.0))
+    return F.greatest(F.lit(0.0), cost - F.lit(hop))
+
+
+def slider_values(p: Column) -> dict[str, Column]:
+    """Parameters for a slider position from -1 to 1."""
+    return {
+        "warp_alpha": F.greatest(F.lit(0.0), (p + 1) * 0.8),
+        "affinity": F.when(p <= 0, F.lit(0.05) - p * 0.1).otherwise((F.lit(1.0) - p) * 0.05),
+        "box_expand": F.greatest(F.lit(1.0), F.pow(F.lit(6.0), p) * 6),
+        "box_growth": F.greatest(F.lit(1.0), F.pow(F.lit(3.0), p) * 1.5),
+    }
+
+
+def attributes(element: Column) -> Column:
+    """Map of the ``name="value"`` attributes of a tag; the last of equal names counts."""
+    found = F.regexp_extract_all(element, F.lit(r'([\w:-]+="[^"]*")'), F.lit(1))
+    split = F.transform(found, lambda a: F.struct(F.substring_index(a, "=", 1).alias("k"), F.regexp_extract(a, r'^[^=]*="([^"]*)"$', 1).alias("v")))
+    last = F.filter(split, lambda x, i: ~F.exists(F.slice(split, i + 2, F.size(split)), lambda y: y["k"] == x["k"]))
+    return F.map_from_entries(last)
+
+
+def translation(transform: Column) -> Column:
+    """The two numbers of ``translate(x y)``, zeros without one."""
+    number = lambda g: F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(transform, r"translate\(\s*([-\d.]+)[ ,]\s*([-\d.]+)", g), F.lit("")), F.lit("S99999D999")).cast("double"), F.lit(0.0))
+    return F.array(number(1), number(2))
+
+
+def map_json(m: Column, tag: str = "map") -> Column:
+    """A map as JSON text that keeps its keys' order: a list of pairs under ``tag``."""
+    pairs = F.transform(F.array_sort(F.map_entries(m)), lambda e: F.array(e["key"], e["value"]))
+    return F.to_json(F.named_struct(F.lit(tag), pairs))
+
+
+def json_map(text: Column, tag: str = "map") -> Column:
+    pairs = F.from_json(text, f"`{tag}` array<array<string>>")[tag]
+    return F.map_from_entries(F.transform(pairs, lambda p: F.struct(p[0], p[1])))
+
+
+def vertex_key(x: Column, y: Column) -> Column:
+    """Text of a point quantised to eighths of a pixel."""
+    eighth = lambda c: F.floor(c * 8 + 0.5).cast("string")
+    return F.concat(eighth(x), F.lit(","), eighth(y))
+
+
+def splits_trunk(trunk: Column, a: Column, b: Column) -> Column:
+    """Whether the line sets ``a`` and ``b`` have nothing in common and make up ``trunk`` together."""
+    same = (F.size(F.array_except(F.array_union(a, b), trunk)) == 0) & (F.size(F.array_except(trunk, F.array_union(a, b))) == 0)
+    return (F.size(F.array_intersect(a, b)) == 0) & same
+
+
+def water_filled(shares: Column, floor: float, cap: float, rounds: int = 16) -> Column:
+    """Shares kept between ``floor`` and ``cap``: cut at both ends and scaled to a sum of 1, for some rounds or until they do."""
+
+    def step(rho: Column, _: Column) -> Column:
+        cut = F.transform(rho, lambda r: F.greatest(F.lit(floor), F.least(F.lit(cap), r)))
+        total = F.aggregate(cut, F.lit(0.0), lambda s, r: s + r)
+        return F.when(F.abs(total - 1) < 1e-9, cut).otherwise(F.transform(cut, lambda r: r / total))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), shares, step)
+
+
+def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """Distance of a point from a segment."""
+    vx, vy = bx - ax, by - ay
+    t = ((px - ax) * vx + (py - ay) * vy) / F.nullif(vx * vx + vy * vy, F.lit(0.0))
+    t = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)), F.lit(0.0))
+    return F.sqrt(F.pow(px - (ax + t * vx), 2) + F.pow(py - (ay + t * vy), 2))
+
+
+def segments_distance(p: tuple[Column, ...], q: tuple[Column, ...]) -> Column:
+    """Least distance of the ends of two segments (x0, y0, x1, y1) from the other segment."""
+    return F.least(
+        segment_distance(p[0], p[1], *q), segment_distance(p[2], p[3], *q), segment_distance(q[0], q[1], *p), segment_distance(q[2], q[3], *p)
+    )

@@ -5,6 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from meshline.functions.scalars import half_up
+from meshline.operators.entry import ranked
 from meshline.sources.stored import stored
 
 
@@ -229,17 +231,17 @@ def label_anchor(stations: DataFrame, marks: DataFrame, side: float) -> DataFram
 
 def svg_path(points: DataFrame, key: str) -> DataFrame:
     """One path text per key, coordinates with one decimal, in order of ``seq``."""
-    text = lambda c: F.format_string("%.1f", F.col(c))
+    text = lambda c: F.format_string("%.1f", half_up(F.round(c, 6), 1))
     at = F.struct("seq", F.concat(text("x"), F.lit(","), text("y")).alias("p"))
     parts = F.transform(F.array_sort(F.collect_list(at)), lambda s: s["p"])
     return points.groupBy(key).agg(F.concat(F.lit("M"), F.array_join(parts, "L"), F.lit("Z")).alias("path"))
 
 
 def transfer_svg(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Connector elements of transfer pairs."""
+    """Connector elements of transfer pairs, places rounded half up to one decimal."""
     a = groups.select(F.col("grp").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"))
     b = groups.select(F.col("grp").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by_"))
-    line = F.format_string('<line x1="%.1f" y1="%.1f" x2="%.1f" y2="%.1f"/>', "ax", "ay", "bx", "by_")
+    line = F.format_string('<line x1="%.1f" y1="%.1f" x2="%.1f" y2="%.1f"/>', *[half_up(F.round(c, 6), 1) for c in ("ax", "ay", "bx", "by_")])
     return pairs.join(a, "a").join(b, "b").select("a", "b", line.alias("svg"))
 
 
@@ -255,5 +257,4 @@ def input_fingerprint(tables: dict[str, tuple[DataFrame, list[str]]], hashed: Co
 
 def painted(prims: DataFrame) -> DataFrame:
     """Drawing order of primitives: layer rank, then their own order within it."""
-    w = Window.partitionBy("layer").orderBy("seq")
-    return prims.select("layer", "seq", F.row_number().over(w).cast("long").alias("z"))
+    return ranked(prims.select("layer", "seq"), ["seq"], "z", ["layer"])

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from meshline.operators.entry import ranked
+
 EARTH = 6371000.0
 
 
@@ -154,8 +156,8 @@ def inversions(ordered: DataFrame, key: str, at: str, value: str) -> DataFrame:
 
 def order_importance(edged: DataFrame, lengths: DataFrame) -> DataFrame:
     """Edges in drawing order: most routes first, then the shorter one, then by id."""
-    w = Window.orderBy(F.desc("routes"), "length", "u", "v")
-    return edged.join(lengths, ["u", "v"]).select("u", "v", F.row_number().over(w).cast("long").alias("rank"))
+    rows = edged.join(lengths, ["u", "v"])
+    return ranked(rows, [F.desc("routes"), "length", "u", "v"]).select("u", "v", "rank")
 
 
 def discontinuities(stepped: DataFrame) -> DataFrame:
@@ -171,21 +173,27 @@ def crop(stepped: DataFrame, inside: DataFrame) -> DataFrame:
     return ends.unionByName(more).distinct()
 
 
-#: Known tile schemas in order of preference, the layers that mean water, and those that tell the schema.
+#: Public tile schemas in order of preference, the layers that mean water, and those that tell the schema.
 SCHEMAS = (
-    ("general_tiles", ("water", "ocean_foundations"), ("parks", "ocean_foundations")),
     ("protomaps", ("water",), ("natural",)),
     ("openmaptiles", ("water",), ("landcover", "park")),
     ("mapbox", ("water",), ("landuse", "landcover")),
 )
 
 
-def probe(layers: DataFrame) -> DataFrame:
-    """The first known schema that each ``source`` has a water layer and a telling layer of; one pass over the layers."""
+def probe(layers: DataFrame, own: tuple = (), schemas: tuple = SCHEMAS) -> DataFrame:
+    """The first schema that each ``source`` has a water layer and a telling layer of, and which of its layers those are.
+
+    Schemas of a map's own come before the public ones: the caller names them, as (id, water layers, telling layers).
+    """
     has = lambda names: F.bool_or(F.col("name").isin(*names))
-    flags = [(has(water) & has(need)).alias(f"_{name}") for name, water, need in SCHEMAS]
-    first = F.coalesce(*[F.when(F.col(f"_{name}"), F.lit(name)) for name, _, _ in SCHEMAS])
-    return layers.groupBy("source").agg(*flags).select("source", first.alias("schema")).filter(F.col("schema").isNotNull())
+    every = [*own, *schemas]
+    flags = [(has(water) & has(need)).alias(f"_{name}") for name, water, need in every]
+    first = F.coalesce(*[F.when(F.col(f"_{name}"), F.lit(name)) for name, _, _ in every])
+    wanted = F.create_map(*[x for name, water, need in every for x in (F.lit(name), F.array(*[F.lit(c) for c in dict.fromkeys([*water, *need])]))])
+    told = layers.groupBy("source").agg(*flags, F.collect_set("name").alias("_names")).select("source", first.alias("schema"), "_names")
+    there = F.array_sort(F.array_intersect(F.element_at(wanted, F.col("schema")), F.col("_names")))
+    return told.filter(F.col("schema").isNotNull()).select("source", "schema", there.alias("layers"))
 
 
 def padded_bounds(points: DataFrame, key: str, share: float) -> DataFrame:
@@ -193,3 +201,13 @@ def padded_bounds(points: DataFrame, key: str, share: float) -> DataFrame:
     b = points.groupBy(key).agg(F.min("x").alias("a0"), F.min("y").alias("b0"), F.max("x").alias("a1"), F.max("y").alias("b1"))
     w, h = (F.col("a1") - F.col("a0")) * share, (F.col("b1") - F.col("b0")) * share
     return b.select(key, (F.col("a0") - w).alias("x0"), (F.col("b0") - h).alias("y0"), (F.col("a1") + w).alias("x1"), (F.col("b1") + h).alias("y1"))
+
+
+def harvested(demand: DataFrame, stations: DataFrame, key: str, most: float = 12.0) -> DataFrame:
+    """The area to harvest per key: around demand points by a tenth, else around stations by 15 %; too large ones go.
+
+    An extent above ``most`` degrees on either axis comes from places that aren't set yet.
+    """
+    a = padded_bounds(demand, key, 0.1).withColumn("from_demand", F.lit(True))
+    b = padded_bounds(stations, key, 0.15).join(a.select(key), key, "left_anti").withColumn("from_demand", F.lit(False))
+    return a.unionByName(b).filter((F.col("x1") - F.col("x0") <= most) & (F.col("y1") - F.col("y0") <= most))

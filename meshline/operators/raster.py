@@ -115,6 +115,8 @@ def components(cells: DataFrame, rounds: int = 200) -> DataFrame:
         now = after.drop("old")
         if not moved:
             break
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select("col", "row", F.col("label").alias("component"))
 
 

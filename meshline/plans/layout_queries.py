@@ -93,12 +93,12 @@ def reach_shells(spark, d):
     return L.nearest_shells(o, V.table(spark, d, "customer").filter("c_acctbal > 9000").select(F.col("c_custkey").alias("node")), 3)
 
 
-@query("""SELECT label, 'M' || string_agg(printf('%.1f', x) || ',' || printf('%.1f', y), 'L' ORDER BY id) || 'Z' AS path FROM point GROUP BY label""", "point")
+@query("""SELECT label, 'M' || string_agg(printf('%.1f', floor(round(x, 6)*10e0+0.5e0)/10e0) || ',' || printf('%.1f', floor(round(y, 6)*10e0+0.5e0)/10e0), 'L' ORDER BY id) || 'Z' AS path FROM point GROUP BY label""", "point")
 def backdrop_paths(spark, d):
     return L.svg_path(V.points(spark, d).withColumnRenamed("id", "seq"), "label")
 
 
-@query("WITH " + GROUP + ", " + NEAR + """ SELECT n.a, n.b, printf('<line x1="%.1f" y1="%.1f" x2="%.1f" y2="%.1f"/>', p.lng*100, p.lat*100, q.lng*100, q.lat*100) AS svg
+@query("WITH " + GROUP + ", " + NEAR + """ SELECT n.a, n.b, printf('<line x1="%.1f" y1="%.1f" x2="%.1f" y2="%.1f"/>', floor(round(p.lng*100, 6)*10e0+0.5e0)/10e0, floor(round(p.lat*100, 6)*10e0+0.5e0)/10e0, floor(round(q.lng*100, 6)*10e0+0.5e0)/10e0, floor(round(q.lat*100, 6)*10e0+0.5e0)/10e0) AS svg
 FROM near n JOIN grp_ p ON p.grp = n.a JOIN grp_ q ON q.grp = n.b WHERE metres > 0.1 AND metres <= 9000""", "station")
 def transfer_connectors(spark, d):
     g = N.station_groups(V.stations(spark, d))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from meshline.functions import scalars as S
-from meshline.operators import geometry as G, network as N, raster as R
+from meshline.operators import entry as E, geometry as G, network as N, raster as R
 from meshline.sources import network as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -416,28 +416,31 @@ LAYERS = ("water", "parks", "landuse", "natural", "landcover", "park", "ocean_fo
 
 
 @query(f"""WITH layer AS (SELECT DISTINCT p_partkey % 97 AS source, (ARRAY{list(LAYERS)!r})[p_size % 11 + 1] AS name FROM part),
-sig(rank, schema, water, need) AS (VALUES (1, 'general_tiles', ['water','ocean_foundations'], ['parks','ocean_foundations']), (2, 'protomaps', ['water'], ['natural']),
+sig(rank, schema, water, need) AS (VALUES (1, 'own', ['water','ocean_foundations'], ['parks','ocean_foundations']), (2, 'protomaps', ['water'], ['natural']),
  (3, 'openmaptiles', ['water'], ['landcover','park']), (4, 'mapbox', ['water'], ['landuse','landcover'])),
-m AS (SELECT source, rank, schema FROM layer, sig GROUP BY ALL HAVING bool_or(list_contains(water, name)) AND bool_or(list_contains(need, name)))
-SELECT source, arg_min(schema, rank) AS schema FROM m GROUP BY source""")
+m AS (SELECT source, rank, schema, list_sort(list(DISTINCT name) FILTER (WHERE list_contains(water, name) OR list_contains(need, name))) AS layers
+ FROM layer, sig GROUP BY ALL HAVING bool_or(list_contains(water, name)) AND bool_or(list_contains(need, name)))
+SELECT source, arg_min(schema, rank) AS schema, array_to_string(arg_min(layers, rank), ',') AS layers FROM m GROUP BY source""")
 def schema_probe(spark, d):
     names = F.array(*[F.lit(x) for x in LAYERS])
     layers = V.table(spark, d, "part").select((F.col("p_partkey") % 97).alias("source"), F.get(names, F.col("p_size") % 11).alias("name"))
-    return N.probe(layers.distinct())
+    own = (("own", ("water", "ocean_foundations"), ("parks", "ocean_foundations")),)
+    return N.probe(layers.distinct(), own).withColumn("layers", F.array_join("layers", ","))
 
 
-@query("""SELECT c_nationkey::BIGINT AS city, round(min(x)-0.1e0*(max(x)-min(x)), 6) AS x0, round(min(y)-0.1e0*(max(y)-min(y)), 6) AS y0, round(max(x)+0.1e0*(max(x)-min(x)), 6) AS x1,
- round(max(y)+0.1e0*(max(y)-min(y)), 6) AS y1 FROM (SELECT c_nationkey, c_acctbal/1000e0 AS x, c_custkey%180/10e0 AS y FROM customer) GROUP BY 1 HAVING max(x)-min(x) <= 12 AND max(y)-min(y) <= 15""")
+@query("""WITH p AS (SELECT c_nationkey::BIGINT AS city, c_acctbal/1000e0 AS x, c_custkey%110/10e0 AS y, 0.1e0 AS pad FROM customer WHERE c_nationkey % 2 = 0
+ UNION ALL SELECT c_nationkey, c_custkey%70/10e0, c_acctbal/3000e0, 0.15e0 FROM customer),
+b AS (SELECT city, pad, min(x)-pad*(max(x)-min(x)) AS x0, min(y)-pad*(max(y)-min(y)) AS y0, max(x)+pad*(max(x)-min(x)) AS x1, max(y)+pad*(max(y)-min(y)) AS y1 FROM p GROUP BY city, pad)
+SELECT city, pad = 0.1e0 AS from_demand, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1 FROM b
+WHERE x1 - x0 <= 12 AND y1 - y0 <= 12 AND (pad = 0.1e0 OR city NOT IN (SELECT city FROM b WHERE pad = 0.1e0))""")
 def harvest_bounds(spark, d):
-    c = V.table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("city"), (F.col("c_acctbal") / 1000.0).alias("x"), (F.col("c_custkey") % 180 / 10.0).alias("y"))
-    b = N.padded_bounds(c, "city", 0.1).filter("x1 - x0 <= 12 * 1.2 AND y1 - y0 <= 15 * 1.2")
-    return b.select("city", *[r6(k) for k in ("x0", "y0", "x1", "y1")])
+    c = V.table(spark, d, "customer").withColumn("city", F.col("c_nationkey").cast("long"))
+    demand = c.filter("city % 2 = 0").select("city", (F.col("c_acctbal") / 1000.0).alias("x"), (F.col("c_custkey") % 110 / 10.0).alias("y"))
+    stations = c.select("city", (F.col("c_custkey") % 70 / 10.0).alias("x"), (F.col("c_acctbal") / 3000.0).alias("y"))
+    return N.harvested(demand, stations, "city").select("city", "from_demand", *[r6(k) for k in ("x0", "y0", "x1", "y1")])
 
 
 @query("""SELECT o_orderpriority AS k, list_sort(list(o_totalprice))[count(*)//2 + 1] AS upper_median, median(o_totalprice) AS median FROM orders GROUP BY 1""")
 def medians(spark, d):
-    o = V.table(spark, d, "orders")
-    w = Window.partitionBy("o_orderpriority").orderBy("o_totalprice")
-    n = F.count("*").over(Window.partitionBy("o_orderpriority"))
-    ranked = o.select(F.col("o_orderpriority").alias("k"), F.col("o_totalprice").alias("p"), F.row_number().over(w).alias("i"), n.alias("n"))
-    return ranked.groupBy("k").agg(F.max(F.when(F.col("i") == F.floor(F.col("n") / 2) + 1, F.col("p"))).alias("upper_median"), F.percentile("p", 0.5).alias("median"))
+    o = V.table(spark, d, "orders").select(F.col("o_orderpriority").alias("k"), F.col("o_totalprice").alias("p"))
+    return o.groupBy("k").agg(E.upper_median("p").alias("upper_median"), F.percentile("p", 0.5).alias("median"))

@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` under ``spark.checkpoint.dir`` (a temporary folder where none is set) and read it back."""
+    """Write ``df`` under ``spark.checkpoint.dir`` and read it back.
+
+    A temporary folder serves where none is set and all runs on one machine; on a cluster that is an error.
+    """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = stored.root = getattr(stored, "root", None) or tempfile.mkdtemp(prefix="meshline-")
     path = f"{root.rstrip('/')}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
