@@ -1,7 +1,8 @@
 """Licence scans by sentence rules (operator 8), with DataFrame functions only.
 
-Texts are cut into sentences, normalised, and mapped to identifiers of known licence sentences; each document's
-sequence of identifiers is matched against ordered licence rules. A rule matches where its identifiers follow one
+Texts are cut into pieces at marks and line breaks and normalised. A known licence sentence is a run of pieces whose
+words are that sentence's, so it is found however its text is wrapped, indented or commented. Each document's sequence
+of known sentences is matched against ordered licence rules: a rule matches where its identifiers follow one
 another in the sequence (sentences that aren't known don't count). Of rules that start at the same place the
 longest one wins; matches inside a longer match are left out.
 """
@@ -24,7 +25,6 @@ SENTENCES: dict[str, str] = {
     "licensed under cc by sa 4 0": "CCBYSA4Notice",
     "this work is licensed under the gnu general public license version 3": "GPL3Notice",
     "this work is licensed under the gnu general public license version 2": "GPL2Notice",
-    "all rights reserved": "AllRights",
     # Apache header
     "licensed under the apache license version 2 0 the license": "ApacheHead",
     "you may not use this file except in compliance with the license": "ApacheComply",
@@ -40,12 +40,27 @@ SENTENCES: dict[str, str] = {
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "BSDSource",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "BSDBinary",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BSDNames",
-    # GPL and LGPL headers
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "BSDAsIs",
+    # GPL, LGPL and AGPL headers
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "GPL3Head",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "GPL2Head",
     "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "GPLHope",
     "see the gnu general public license for more details": "GPLSee",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "LGPL21Head",
+    "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "LGPLHope",
+    "see the gnu lesser general public license for more details": "LGPLSee",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "AGPL3Head",
+    "see the gnu affero general public license for more details": "AGPLSee",
+    # others
     "this source code form is subject to the terms of the mozilla public license v 2 0": "MPL2Head",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "ISCGrant",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "ISCAsIs",
+    "this is free and unencumbered software released into the public domain": "UnlicenseHead",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "UnlicenseGrant",
+    "this software is provided as is without any express or implied warranty": "ZlibAsIs",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "ZlibGrant",
+    "distributed under the boost software license version 1 0": "BoostNotice",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0": "EPL2Notice",
 }
 
 #: Ordered rules; the identifiers of a rule follow one another.
@@ -56,9 +71,18 @@ RULES: list[tuple[str, str, tuple[str, ...]]] = [
     ("mit-text", "MIT", ("MITGrant", "MITNoticeKept", "MITAsIs")),
     ("mit-notice", "MIT", ("MITNotice",)),
     ("bsd-3-clause", "BSD-3-Clause", ("BSDHead", "BSDSource", "BSDBinary", "BSDNames")),
+    ("bsd-3-clause-text", "BSD-3-Clause", ("BSDHead", "BSDSource", "BSDBinary", "BSDNames", "BSDAsIs")),
+    ("bsd-2-clause-text", "BSD-2-Clause", ("BSDHead", "BSDSource", "BSDBinary", "BSDAsIs")),
     ("bsd-2-clause", "BSD-2-Clause", ("BSDHead", "BSDSource", "BSDBinary")),
     ("gpl-3.0-header", "GPL-3.0-or-later", ("GPL3Head", "GPLHope", "GPLSee")),
     ("gpl-2.0-header", "GPL-2.0-or-later", ("GPL2Head", "GPLHope", "GPLSee")),
+    ("lgpl-2.1-header", "LGPL-2.1-or-later", ("LGPL21Head", "LGPLHope", "LGPLSee")),
+    ("agpl-3.0-header", "AGPL-3.0-or-later", ("AGPL3Head", "GPLHope", "AGPLSee")),
+    ("isc-text", "ISC", ("ISCGrant", "ISCAsIs")),
+    ("unlicense-text", "Unlicense", ("UnlicenseHead", "UnlicenseGrant")),
+    ("zlib-text", "Zlib", ("ZlibAsIs", "ZlibGrant")),
+    ("bsl-1.0-notice", "BSL-1.0", ("BoostNotice",)),
+    ("epl-2.0-notice", "EPL-2.0", ("EPL2Notice",)),
     ("gpl-3.0-notice", "GPL-3.0", ("GPL3Notice",)),
     ("gpl-2.0-notice", "GPL-2.0", ("GPL2Notice",)),
     ("mpl-2.0-header", "MPL-2.0", ("MPL2Head",)),
@@ -67,37 +91,58 @@ RULES: list[tuple[str, str, tuple[str, ...]]] = [
     ("cc-by-4.0-notice", "CC-BY-4.0", ("CCBY4Notice",)),
 ]
 
-#: Sentences end at a mark that white space or the text's end follows, at colons before a line's end, and at blank lines.
+#: Pieces end at a mark that white space or the text's end follows, at colons before a line's end, and at line breaks.
 BREAK = r"[.;!?]+(?:[ \t\r\n]+|$)|:?[ \t\r]*\n[ \t\r\n]*"
 
+#: A sentence may be spread over this many pieces (lines, mostly).
+SPAN = 24
 
-#: A line that ends in a small letter before another one, or in a comma, goes on in the next line.
-WRAPPED, LISTED = r"([a-z])[ ]*\n[ \t#*/]*([a-z])", r",[ ]*\n[ \t#*/]*"
+#: Every known sentence of ``SENTENCES`` holds one of these; a text without them is not cut at all.
+HINT = "licens|permission|redistribut|copyright|warrant|free software|unencumbered|sublicense|anyone is free|law"
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences of a text, in order: lower case, runs of other characters than a-z, 0-9 as one blank."""
-    joined = F.regexp_replace(F.regexp_replace(text, WRAPPED, "$1 $2"), LISTED, ", ")
-    cut = F.split(joined, BREAK)
-    return F.transform(cut, lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^a-z0-9]+", " ")))
+def pieces(text: Column) -> Column:
+    """Normalised pieces of a text, in order, blank ones left out: lower case, runs of other characters than a-z, 0-9 as one blank."""
+    words = F.transform(F.split(text, BREAK), lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^a-z0-9]+", " ")))
+    return F.filter(words, lambda s: s != "")
+
+
+def heads(known: dict[str, str]) -> str:
+    """What the first words of a known sentence look like: a pattern for the beginning of a run of pieces."""
+    return "^(?:" + "|".join(sorted({" ".join(s.split()[:3]) for s in known})) + ")(?: |$)"
 
 
 def scan(df: DataFrame, known: dict[str, str] | None = None, rules: list | None = None) -> DataFrame:
-    """One row per rule matched in a document: ``doc_id``, ``rule``, ``license``, ``first_sentence``, ``n_sentences``.
+    """One row per rule matched in a document: ``doc_id``, ``rule``, ``license``, ``first_piece``, ``n_sentences``.
 
-    ``first_sentence`` counts all sentences of the text from 0, blank ones included; ``n_sentences`` is the rule's
-    length. Null and empty texts match nothing. Repeated rows are scanned each, and repeat their matches; null ids
-    are kept; further columns are ignored. The tables of sentences and rules are fixed and small, so they are
-    literals of the plan.
+    ``first_piece`` counts the text's pieces from 0, blank ones left out; ``n_sentences`` is the rule's length. At a
+    piece the longest known sentence counts, and none that starts inside another one. Null, empty and blank texts match
+    nothing, an empty table gives an empty one. Very long texts are scanned whole, piece by piece. Repeated rows are scanned each, and
+    repeat their matches; null ids are kept; further columns, whatever their names, are ignored. The tables of sentences
+    and rules are fixed and small, so they are literals of the plan.
     """
     known, rules = known or SENTENCES, rules or RULES
     ids = F.create_map(*[F.lit(x) for pair in sorted(known.items()) for x in pair])
-    hinted = F.lower("text").rlike("licens|permission|redistribut|copyright|warrant|free software|rights reserved|law")
     wanted = df.select("doc_id", "text")
-    if known is SENTENCES:  # every known sentence holds one of these words; checked by a test
-        wanted = wanted.filter(hinted)
-    numbered = F.transform(sentences(F.col("text")), lambda s, i: F.struct(i.alias("at"), F.try_element_at(ids, s).alias("id")))
-    found = wanted.select("doc_id", F.filter(numbered, lambda x: x["id"].isNotNull()).alias("seq")).filter(F.size("seq") > 0)
+    if known is SENTENCES:
+        wanted = wanted.filter(F.lower("text").rlike(HINT))
+    cut = wanted.select("doc_id", pieces(F.col("text")).alias("cut"))
+    run = lambda i, n: F.array_join(F.slice("cut", i + 1, n), " ")
+    starts = F.filter(F.sequence(F.lit(0), F.size("cut") - 1), lambda i: run(i, 3).rlike(heads(known)))
+    held = cut.filter(F.size("cut") > 0).select("doc_id", "cut", starts.alias("starts")).filter(F.size("starts") > 0)
+
+    def longest(i: Column) -> Column:
+        of = lambda n: F.struct(n.alias("n"), F.try_element_at(ids, run(i, n)).alias("id"))
+        hits = F.filter(F.transform(F.sequence(F.lit(1), F.lit(SPAN)), of), lambda x: x["id"].isNotNull())
+        return F.struct(i.alias("at"), F.array_max(hits).alias("hit"))
+
+    hits = F.filter(F.transform("starts", longest), lambda x: x["hit"].isNotNull())
+    flat = F.transform(hits, lambda x: F.struct(x["at"].alias("at"), x["hit"]["n"].alias("n"), x["hit"]["id"].alias("id")))
+    seen = held.select("doc_id", flat.alias("all")).filter(F.size("all") > 0)
+    # starts are whole pieces, so only the last SPAN ones can reach into a sentence
+    before = lambda k: F.slice("all", F.greatest(F.lit(1), k + 1 - SPAN), F.least(k, F.lit(SPAN)))
+    free = F.filter("all", lambda x, k: ~F.exists(before(k), lambda y: y["at"] + y["n"] > x["at"]))
+    found = seen.select("doc_id", free.alias("seq"))
 
     def of(rule: tuple[str, str, tuple[str, ...]]) -> Column:
         name, licence, want = rule
@@ -117,7 +162,7 @@ def scan(df: DataFrame, known: dict[str, str] | None = None, rules: list | None
     best = F.filter("hits", lambda x: ~F.exists(F.col("hits"), lambda y: inside(x, y)))
     return hits.select("doc_id", F.explode(best).alias("h")).select(
         "doc_id", F.col("h.rule").alias("rule"), F.col("h.license").alias("license"),
-        F.col("h.at").cast("long").alias("first_sentence"), F.col("h.n").cast("long").alias("n_sentences"),
+        F.col("h.at").cast("long").alias("first_piece"), F.col("h.n").cast("long").alias("n_sentences"),
     )
 
 
@@ -126,22 +171,24 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same in DuckDB: positions of known sentences, numbered per document, joined to the rules place by place."""
+    """The same in DuckDB: runs of pieces joined to the known sentences, numbered per document, joined to the rules place by place."""
     esc = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({esc(s)}, {esc(i)})" for s, i in SENTENCES.items())
     rules = ", ".join(f"({esc(n)}, {esc(lic)}, {k}, {esc(w)}, {len(want)})" for n, lic, want in RULES for k, w in enumerate(want))
-    text = rf"regexp_replace(regexp_replace(text, '{WRAPPED}', '\1 \2', 'g'), '{LISTED}', ', ', 'g')"
     return rf"""
 WITH known(sentence, id) AS (VALUES {known}),
 rule_part(rule, license, k, id, n) AS (VALUES {rules}),
-parts AS (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) - 1 AS pos FROM (
-  SELECT doc_id, regexp_split_to_array({text}, '{BREAK}') AS p
-  FROM documents WHERE text IS NOT NULL)),
-ids AS (SELECT doc_id, pos, id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS place FROM parts
-  JOIN known ON trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) = sentence),
-hits AS (SELECT i.doc_id, r.rule, r.license, i.place - r.k AS place, any_value(r.n) AS n FROM ids i
-  JOIN rule_part r ON i.id = r.id GROUP BY ALL HAVING count(*) = any_value(r.n))
-SELECT h.doc_id, h.rule, h.license, i.pos::BIGINT AS first_sentence, h.n::BIGINT AS n_sentences FROM hits h
-JOIN ids i ON i.doc_id = h.doc_id AND i.place = h.place
-WHERE NOT EXISTS (SELECT 1 FROM hits g WHERE g.doc_id = h.doc_id AND g.n > h.n AND g.place <= h.place
+cut AS (SELECT row_number() OVER () AS r, doc_id, list_filter(list_transform(regexp_split_to_array(text, '{BREAK}'),
+  lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))), lambda s: s <> '') AS p FROM documents WHERE text IS NOT NULL),
+start_ AS (SELECT r, doc_id, p, unnest(range(len(p))) AS pos FROM cut),
+one AS (SELECT r, doc_id, pos, arg_max(id, k.n) AS id, max(k.n) AS n FROM (
+  SELECT r, doc_id, pos, p, unnest(range(1, {SPAN + 1})) AS n FROM start_) k
+  JOIN known ON array_to_string(p[pos + 1 : pos + k.n], ' ') = sentence AND pos + k.n <= len(p) GROUP BY ALL),
+ids AS (SELECT r, doc_id, pos, id, row_number() OVER (PARTITION BY r ORDER BY pos) - 1 AS place FROM one o
+  WHERE NOT EXISTS (SELECT 1 FROM one b WHERE b.r = o.r AND b.pos < o.pos AND b.pos + b.n > o.pos)),
+hits AS (SELECT i.r, i.doc_id, p.rule, p.license, i.place - p.k AS place, any_value(p.n) AS n FROM ids i
+  JOIN rule_part p ON i.id = p.id GROUP BY ALL HAVING count(*) = any_value(p.n))
+SELECT h.doc_id, h.rule, h.license, i.pos::BIGINT AS first_piece, h.n::BIGINT AS n_sentences FROM hits h
+JOIN ids i ON i.r = h.r AND i.place = h.place
+WHERE NOT EXISTS (SELECT 1 FROM hits g WHERE g.r = h.r AND g.n > h.n AND g.place <= h.place
   AND g.place + g.n >= h.place + h.n)"""
