@@ -9,6 +9,9 @@ longest one wins; matches inside a longer match are left out.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from meshline.llm.shared import table
@@ -112,6 +115,11 @@ def heads(known: dict[str, str]) -> str:
     return "^(?:" + "|".join(sorted({" ".join(s.split()[:3]) for s in known})) + ")(?: |$)"
 
 
+def _once(x: Column, use) -> Column:
+    """``use(x)``, with ``x`` worked out once a row however often ``use`` names it."""
+    return F.get(F.transform(F.array(x), use), 0)
+
+
 def scan(df: DataFrame, known: dict[str, str] | None = None, rules: list | None = None) -> DataFrame:
     """One row per rule matched in a document: ``doc_id``, ``rule``, ``license``, ``first_piece``, ``n_sentences``.
 
@@ -126,41 +134,46 @@ def scan(df: DataFrame, known: dict[str, str] | None = None, rules: list | None
     wanted = df.select("doc_id", "text")
     if known is SENTENCES:
         wanted = wanted.filter(F.lower("text").rlike(HINT))
-    cut = wanted.select("doc_id", pieces(F.col("text")).alias("cut"))
-    run = lambda i, n: F.array_join(F.slice("cut", i + 1, n), " ")
-    starts = F.filter(F.sequence(F.lit(0), F.size("cut") - 1), lambda i: run(i, 3).rlike(heads(known)))
-    held = cut.filter(F.size("cut") > 0).select("doc_id", "cut", starts.alias("starts")).filter(F.size("starts") > 0)
-
-    def longest(i: Column) -> Column:
-        of = lambda n: F.struct(n.alias("n"), F.try_element_at(ids, run(i, n)).alias("id"))
-        hits = F.filter(F.transform(F.sequence(F.lit(1), F.lit(SPAN)), of), lambda x: x["id"].isNotNull())
-        return F.struct(i.alias("at"), F.array_max(hits).alias("hit"))
-
-    hits = F.filter(F.transform("starts", longest), lambda x: x["hit"].isNotNull())
-    flat = F.transform(hits, lambda x: F.struct(x["at"].alias("at"), x["hit"]["n"].alias("n"), x["hit"]["id"].alias("id")))
-    seen = held.select("doc_id", flat.alias("all")).filter(F.size("all") > 0)
-    # starts are whole pieces, so only the last SPAN ones can reach into a sentence
-    before = lambda k: F.slice("all", F.greatest(F.lit(1), k + 1 - SPAN), F.least(k, F.lit(SPAN)))
-    free = F.filter("all", lambda x, k: ~F.exists(before(k), lambda y: y["at"] + y["n"] > x["at"]))
-    found = seen.select("doc_id", free.alias("seq"))
-
-    def of(rule: tuple[str, str, tuple[str, ...]]) -> Column:
+
+    def sentences(cut: Column) -> Column:
+        # by item, as slices of a long array walk all of it
+        run = lambda i, n: F.array_join(F.transform(F.sequence(i, i + n - 1), lambda j: F.get(cut, j)), " ")
+        places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(cut) - 1))
+        starts = F.filter(places, lambda i: F.concat_ws(" ", *[F.get(cut, i + k) for k in range(3)]).rlike(heads(known)))
+
+        def longest(i: Column) -> Column:
+            of = lambda n: F.struct(n.alias("n"), F.try_element_at(ids, run(i, n)).alias("id"))
+            hits = F.filter(F.transform(F.sequence(F.lit(1), F.lit(SPAN)), of), lambda x: x["id"].isNotNull())
+            return F.struct(i.alias("at"), F.array_max(hits).alias("hit"))
+
+        return F.filter(F.transform(starts, longest), lambda x: x["hit"].isNotNull())
+
+    def apart(all: Column) -> Column:
+        # starts are whole pieces, so only the last SPAN ones can reach into a sentence
+        before = lambda k: F.sequence(F.greatest(F.lit(0), k - SPAN), k)
+        over = lambda y, x, j, k: (j < k) & (y["at"] + y["hit"]["n"] > x["at"])
+        free = F.filter(all, lambda x, k: ~F.exists(before(k), lambda j: over(F.get(all, j), x, j, k)))
+        return F.transform(free, lambda x: F.struct(x["at"].alias("at"), x["hit"]["id"].alias("id")))
+
+    found = wanted.select("doc_id", _once(_once(pieces(F.col("text")), sentences), apart).alias("seq"))
+
+    def of(rule: tuple[str, str, tuple[str, ...]], seq: Column, i: Column) -> Column:
         name, licence, want = rule
-        names = F.transform(F.col("seq"), lambda x: x["id"])
-        hit = lambda i: F.slice(names, i + 1, len(want)) == F.array(*[F.lit(w) for w in want])
-        starts = F.filter(F.sequence(F.lit(0), F.size("seq") - 1), hit)
-        return F.transform(
-            starts,
-            lambda i: F.struct(
-                F.lit(name).alias("rule"), F.lit(licence).alias("license"), i.alias("place"), F.lit(len(want)).alias("n"),
-                F.get(F.col("seq"), i)["at"].alias("at"),
-            ),
-        )
-
-    hits = found.withColumn("hits", F.concat(*[of(r) for r in rules]))
-    inside = lambda x, y: (y["n"] > x["n"]) & (y["place"] <= x["place"]) & (y["place"] + y["n"] >= x["place"] + x["n"])
-    best = F.filter("hits", lambda x: ~F.exists(F.col("hits"), lambda y: inside(x, y)))
-    return hits.select("doc_id", F.explode(best).alias("h")).select(
+        hit = reduce(and_, [F.get(seq, i + k)["id"] == w for k, w in enumerate(want)])
+        return F.when(hit, F.struct(F.lit(name).alias("rule"), F.lit(licence).alias("license"), F.lit(len(want)).alias("n"), F.get(seq, i)["at"].alias("at")))
+
+    def matched(seq: Column) -> Column:
+        return F.transform(seq, lambda _, i: F.filter(F.array(*[of(r, seq, i) for r in rules]), lambda x: x.isNotNull()))
+
+    reach = max(len(want) for _, _, want in rules)
+
+    def best(hits: Column) -> Column:
+        longer = lambda y, x, j, i: (y["n"] > x["n"]) & (j + y["n"] >= i + x["n"])
+        near = lambda i: F.sequence(F.greatest(F.lit(0), i - reach + 1), i)
+        held = lambda x, i: F.exists(near(i), lambda j: F.exists(F.get(hits, j), lambda y: longer(y, x, j, i)))
+        return F.flatten(F.transform(hits, lambda here, i: F.filter(here, lambda x: ~held(x, i))))
+
+    return found.select("doc_id", F.explode(_once(_once(F.col("seq"), matched), best)).alias("h")).select(
         "doc_id", F.col("h.rule").alias("rule"), F.col("h.license").alias("license"),
         F.col("h.at").cast("long").alias("first_piece"), F.col("h.n").cast("long").alias("n_sentences"),
     )
