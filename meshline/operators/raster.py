@@ -68,6 +68,23 @@ def smooth(bins: DataFrame, kernel: list[float], size: int) -> DataFrame:
     return spread.groupBy(at.alias("bin")).agg(F.sum(F.col("n") * F.col("o.w")).alias("n"))
 
 
+def smooth_2d(grid: DataFrame, kernel: list[float], size: int) -> DataFrame:
+    """A sparse grid (``bx``, ``by``, ``n``) smoothed along x, then along y; a cell beyond an edge reads as the edge's cell.
+
+    Each cell sends its share to the few cells that read it, so empty cells cost nothing; cells that read only empty
+    ones have no row.
+    """
+    k = len(kernel) // 2
+    weights = F.explode(F.array(*[F.struct(F.lit(i).alias("to"), F.lit(j - k).alias("d"), F.lit(w).alias("w")) for i in range(-k, k + 1) for j, w in enumerate(kernel)]))
+    for c in ("bx", "by"):
+        other = "by" if c == "bx" else "bx"
+        sent = grid.withColumn("o", weights).withColumn("target", F.col(c) + F.col("o.to"))
+        reads = F.least(F.lit(size - 1), F.greatest(F.lit(0), F.col("target") + F.col("o.d"))) == F.col(c)
+        heard = sent.filter(F.col("target").between(0, size - 1) & reads)
+        grid = heard.groupBy(F.col("target").cast("long").alias(c), other).agg(F.sum(F.col("n") * F.col("o.w")).alias("n"))
+    return grid.select("bx", "by", "n")
+
+
 def cumulative(bins: DataFrame) -> DataFrame:
     """Share of all up to and including each bin; bins are few by construction."""
     w = Window.orderBy("bin")

@@ -153,3 +153,11 @@ def stitched_rings(spark, d):
     tile = (F.floor(cell / 125) * 16 + F.floor(side / 125)).cast("long")
     return L.stitch_rings(low.withColumn("network", tile))
 
+
+@query("""WITH g AS (SELECT least(95, greatest(0, floor(x / 2700e0 * 96)))::BIGINT AS bx, least(95, greatest(0, floor(y / 2700e0 * 96)))::BIGINT AS "by", count(*) AS n FROM point GROUP BY 1, 2),
+k(dd, w) AS (VALUES (-2, 0.0625e0), (-1, 0.25e0), (0, 0.375e0), (1, 0.25e0), (2, 0.0625e0)), i AS (SELECT unnest(range(96)) AS i),
+m AS (SELECT i, least(95, greatest(0, i + dd)) AS j, sum(w) AS w FROM i, k GROUP BY 1, 2)
+SELECT a.i AS bx, b.i AS "by", round(sum(n * a.w * b.w), 6) AS n FROM g JOIN m a ON a.j = g.bx JOIN m b ON b.j = g."by" GROUP BY 1, 2""", "point")
+def smoothed_grid(spark, d):
+    grid = R.histogram_2d(V.points(spark, d), 0.0, 2700.0)
+    return R.smooth_2d(grid, [0.0625, 0.25, 0.375, 0.25, 0.0625], 96).select("bx", "by", r6("n"))
