@@ -303,12 +303,16 @@ def similar_documents(df: DataFrame, shingle: int = 5, similar: float = 0.8) ->
 
     def alike(batches):
         sets: dict[str, np.ndarray] = {}  # a hub's text comes up again and again
+        held = 0
 
         def of(text: str) -> np.ndarray:
+            nonlocal held
             if text not in sets:
-                if sum(map(len, sets)) > 4_000_000:
+                if held > 4_000_000:
                     sets.clear()
+                    held = 0
                 sets[text] = np.unique(shingle_hashes(text, shingle))
+                held += len(text)
             return sets[text]
 
         for batch in batches:
