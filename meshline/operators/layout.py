@@ -187,33 +187,40 @@ def line_orders(lines: DataFrame, rounds: int = 6) -> DataFrame:
 
 
 def stitch_rings(edges: DataFrame, key: str = "network") -> DataFrame:
-    """Closed rings from directed unit edges: the first unused edge that leaves where the last one ended, in row order.
+    """Closed rings of directed unit edges ``(key, x, y, x2, y2)``: ``ring``, ``seq`` from 0, ``x`` and ``y``.
 
-    At a corner with two ways on the order of the edges decides, so a raster is the unit of work.
-    """
+    Edges count in row order (``y``, ``x``, then where they lead). A ring starts at its first edge, whose number it
+    takes. At a corner with several ways on, the first edge that comes in takes the first that goes out, the second
+    the second; a search that walks ring by ring may pair them the other way, with the same edges and area in all.
+    Edges that lead round to nothing (a boundary that does not close) are in no ring. Coordinates are 0 or more.
 
-    def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x", "y2", "x2"], kind="stable", ignore_index=True)
-        out: dict[tuple[int, int], list[int]] = {}
-        ends = list(zip(pdf["x2"].tolist(), pdf["y2"].tolist(), strict=True))
-        starts = list(zip(pdf["x"].tolist(), pdf["y"].tolist(), strict=True))
-        for i, p in enumerate(starts):
-            out.setdefault(p, []).append(i)
-        used, rows, ring = [False] * len(starts), [], 0
-        for i in range(len(starts)):
-            if used[i]:
-                continue
-            points, at = [], i
-            while at is not None and not used[at]:
-                used[at] = True
-                points.append(starts[at])
-                at = next((j for j in out.get(ends[at], ()) if not used[j]), None)
-            if len(points) >= 4:
-                rows += [(pdf[key].iloc[0], ring, k, x, y) for k, (x, y) in enumerate(points)]
-                ring += 1
-        return pd.DataFrame(rows, columns=[key, "ring", "seq", "x", "y"])
-
-    return edges.select(key, "x", "y", "x2", "y2").groupBy(key).applyInPandas(stitch, f"{key} long, ring long, seq long, x long, y long")
+    Each edge learns the least edge ahead of it and how far that is by pointer doubling: a stored table a round, as
+    many rounds as the longest ring has doublings, and no ring in one task.
+    """
+    way = F.when(F.col("y2") < F.col("y"), 0).when(F.col("x2") < F.col("x"), 1).when(F.col("x2") > F.col("x"), 2).otherwise(3)
+    code = ((F.col("y") * (1 << 30) + F.col("x")) * 4 + way).cast("long")
+    each = stored(edges.select(key, "x", "y", "x2", "y2", code.alias("e")))
+    turn = lambda *corner: F.row_number().over(Window.partitionBy(key, *corner).orderBy("e"))
+    into = each.select(key, F.col("x2").alias("x"), F.col("y2").alias("y"), "e", turn("x2", "y2").alias("turn"))
+    out = each.select(key, "x", "y", F.col("e").alias("to"), turn("x", "y").alias("turn"))
+    # of the edges from e up to before `to`: the least, and its distance from e
+    now = into.join(out, [key, "x", "y", "turn"], "left").select(key, "e", "to", F.col("e").alias("least"), F.lit(0).cast("long").alias("far"))
+    now, step, moved = stored(now), 1, True
+    while moved:
+        ahead = now.select(key, F.col("e").alias("to"), F.col("to").alias("next"), F.col("least").alias("least_a"), F.col("far").alias("far_a"))
+        less = F.coalesce(F.col("least_a") < F.col("least"), F.lit(False))
+        now = stored(
+            now.join(ahead, [key, "to"], "left").select(
+                key, "e", F.col("next").alias("to"), F.when(less, F.col("least_a")).otherwise(F.col("least")).alias("least"),
+                F.when(less, F.col("far_a") + step).otherwise(F.col("far")).alias("far"), (less | (F.col("to").isNotNull() & F.col("next").isNull())).alias("moved"),
+            )
+        )
+        moved, step = bool(now.filter("moved").head(1)), step * 2
+        now = now.drop("moved")
+    closed = now.filter(F.col("to").isNotNull())
+    sizes = closed.groupBy(key, "least").agg((F.max("far") + 1).alias("size"))
+    placed = closed.join(sizes, [key, "least"]).join(each.select(key, "e", "x", "y"), [key, "e"])
+    return placed.select(key, F.col("least").alias("ring"), F.pmod(F.col("size") - F.col("far"), F.col("size")).alias("seq"), "x", "y")
 
 
 def label_anchor(stations: DataFrame, marks: DataFrame, side: float) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meshline.operators import layout as L, network as N, raster as R
-from meshline.plans.queries import GROUP, LINE, NEAR, STEP, query, r6
+from meshline.plans.queries import EDGE, GROUP, LINE, NEAR, STEP, query, r6
 from meshline.sources import network as V
 
 
@@ -143,15 +143,14 @@ def line_orderings(spark, d):
     return L.line_orders(lines_of(spark, d).join(owner, "route"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {V.SQL['cell']}, {EDGE}, coded AS (SELECT *, (y * 1073741824 + x) * 4 + CASE WHEN y2 < y THEN 0 WHEN x2 < x THEN 1 WHEN x2 > x THEN 2 ELSE 3 END AS e FROM edge),
+turned AS (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY e) AS o, row_number() OVER (PARTITION BY x2, y2 ORDER BY e) AS i FROM coded),
+follow AS (SELECT a.e, a.x, a.y, b.e AS nxt FROM turned a JOIN turned b ON b.x = a.x2 AND b.y = a.y2 AND b.o = a.i),
+walk AS (SELECT e AS ring, 0 AS seq, e, x, y, nxt FROM follow UNION ALL SELECT ring, seq + 1, f.e, f.x, f.y, f.nxt FROM walk w JOIN follow f ON f.e = w.nxt WHERE w.nxt > w.ring)
+SELECT 0::BIGINT AS network, ring::BIGINT AS ring, seq::BIGINT AS seq, x::BIGINT AS x, y::BIGINT AS y FROM walk WHERE ring IN (SELECT ring FROM walk WHERE nxt = ring)""")
 def stitched_rings(spark, d):
-    """Each tile of 125 x 125 cells as a raster of its own."""
-    edges = R.boundary_edges(V.cells(spark, d))
-    low = edges.select(F.least("x", "x2").alias("c"), F.least("y", "y2").alias("r"), "*")
-    cell = F.when(F.col("x2") > F.col("x"), F.col("r")).when(F.col("x2") < F.col("x"), F.col("r") - 1).otherwise(F.col("r"))
-    side = F.when(F.col("y2") > F.col("y"), F.col("c") - 1).otherwise(F.col("c"))
-    tile = (F.floor(cell / 125) * 16 + F.floor(side / 125)).cast("long")
-    return L.stitch_rings(low.withColumn("network", tile))
+    """The whole raster."""
+    return L.stitch_rings(R.boundary_edges(V.cells(spark, d)).withColumn("network", F.lit(0).cast("long")))
 
 
 @query("""WITH g AS (SELECT least(95, greatest(0, floor(x / 2700e0 * 96)))::BIGINT AS bx, least(95, greatest(0, floor(y / 2700e0 * 96)))::BIGINT AS "by", count(*) AS n FROM point GROUP BY 1, 2),

@@ -2,7 +2,9 @@
 
 import math
 
-from meshline.operators import geometry as G, network as N, raster as R
+from pyspark.sql import functions as F
+
+from meshline.operators import geometry as G, layout as L, network as N, raster as R
 
 
 def line(spark, *points, key=1):
@@ -43,6 +45,34 @@ def test_one_cell_has_four_edges_and_area_one(spark):
     assert edges.count() == 4 and R.mask_area(edges).first().area == 1
 
 
+def test_rings_close_and_hold_the_mask(spark):
+    # a long bar, a ring of cells with a hole, and cells that meet at corners only
+    bar = [(1, 100 + c, 200) for c in range(150)]
+    frame = [(1, c, r) for c in range(3) for r in range(3) if (c, r) != (1, 1)]
+    corners = [(2, 5 + i, 5 + i) for i in range(4)] + [(2, 6, 5), (2, 9, 5)]
+    cells = spark.createDataFrame(bar + frame + corners, "network long, col long, row long")
+    for network, rings in ((1, 3), (2, None)):
+        mine = cells.filter(F.col("network") == network).select("col", "row")
+        edges = R.boundary_edges(mine).withColumn("network", F.lit(network).cast("long"))
+        found = {}
+        for r in sorted(L.stitch_rings(edges).collect(), key=lambda r: (r.ring, r.seq)):
+            found.setdefault(r.ring, []).append((r.x, r.y))
+            assert r.seq == len(found[r.ring]) - 1
+        steps = [(*a, *b) for ring in found.values() for a, b in zip(ring, ring[1:] + ring[:1], strict=True)]
+        assert sorted(steps) == sorted((e.x, e.y, e.x2, e.y2) for e in edges.collect())
+        assert all(min(ring, key=lambda p: (p[1], p[0])) == ring[0] for ring in found.values())
+        assert sum(a * d - b * c for a, b, c, d in steps) / 2 == R.mask_area(edges).first().area == mine.count()
+        assert rings is None or len(found) == rings
+
+
+def test_boundaries_that_do_not_close_are_in_no_ring(spark):
+    edges = [(1, 0, 0, 1, 0), (1, 1, 0, 1, 1), (1, 1, 1, 0, 1), (1, 7, 7, 8, 7), (1, 8, 7, 8, 8)]
+    rows = spark.createDataFrame(edges, "network long, x long, y long, x2 long, y2 long")
+    assert L.stitch_rings(rows).count() == 0
+    assert L.stitch_rings(rows.unionByName(spark.createDataFrame([(1, 0, 1, 0, 0)], rows.schema))).count() == 4
+    assert L.stitch_rings(rows.limit(0)).count() == 0
+
+
 def test_erode_undoes_dilate_of_one_cell(spark):
     cell = spark.createDataFrame([(5, 5)], "col long, row long")
     assert [tuple(r) for r in R.erode(R.dilate(cell, 1, 20)).collect()] == [(5, 5)]
