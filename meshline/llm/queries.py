@@ -6,6 +6,7 @@ from meshline.llm.decontaminate import ORACLE as OP3_SQL, op3_decontaminate
 from meshline.llm.fingerprint import op4_fingerprints
 from meshline.llm.language import op7_language_id
 from meshline.llm.licenses import op8_license_scan, oracle as op8_sql
+from meshline.llm.lines import ORACLE as OP12_SQL, op12_line_dedup
 from meshline.llm.packing import op1_packing
 from meshline.llm.quality import op6_quality_knn
 from meshline.llm.simhash import op10_simhash_near_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_toxicity_crf": op9_toxicity_crf,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op12_line_dedup": op12_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op8_license_scan": op8_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op8_license_scan": op8_sql(), "op12_line_dedup": OP12_SQL}
