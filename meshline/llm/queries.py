@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from meshline.llm.alignment import op13_tokenizer_alignment
 from meshline.llm.decontaminate import ORACLE as OP3_SQL, op3_decontaminate
 from meshline.llm.fingerprint import op4_fingerprints
 from meshline.llm.language import op7_language_id
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_toxicity_crf": op9_toxicity_crf,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op12_line_dedup": op12_line_dedup,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op8_license_scan": op8_sql(), "op12_line_dedup": OP12_SQL}
