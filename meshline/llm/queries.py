@@ -10,6 +10,7 @@ from meshline.llm.licenses import op8_license_scan, oracle as op8_sql
 from meshline.llm.lines import ORACLE as OP12_SQL, op12_line_dedup
 from meshline.llm.packing import op1_packing
 from meshline.llm.quality import op6_quality_knn
+from meshline.llm.repair import op11_conversation_repair, oracle as op11_sql
 from meshline.llm.simhash import op10_simhash_near_dedup
 from meshline.llm.simple8b import op5_token_binary
 from meshline.llm.suffixes import op2_suffix_dedup
@@ -26,8 +27,14 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_toxicity_crf": op9_toxicity_crf,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_line_dedup": op12_line_dedup,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op8_license_scan": op8_sql(), "op12_line_dedup": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontaminate": OP3_SQL,
+    "op8_license_scan": op8_sql(),
+    "op11_conversation_repair": op11_sql(),
+    "op12_line_dedup": OP12_SQL,
+}
