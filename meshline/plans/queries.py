@@ -23,7 +23,8 @@ def query(sql: str | None = None, *views: str):
             head = ", ".join(V.SQL[v] for v in views)
             body = sql.strip()
             if head:
-                body = f"WITH {head}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head} {body}"
+                start = "WITH RECURSIVE " if body.startswith("WITH RECURSIVE ") else "WITH "
+                body = f"{start}{head}, {body.removeprefix(start)}" if body.startswith(start) else f"WITH {head} {body}"
             ORACLE_SQL[f.__name__] = body
         return f
 

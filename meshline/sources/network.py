@@ -61,6 +61,43 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select((F.col("l_orderkey") % 997).alias("col"), (F.col("l_partkey") % 991).alias("row")).distinct()
 
 
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's items in turn, each at a place of its own city (``net``, a customer)."""
+    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return li.select(
+        F.col("o_custkey").alias("net"), F.col("l_orderkey").alias("route"), F.row_number().over(order).cast("long").alias("seq"),
+        F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), (F.col("l_quantity") > 40).alias("is_node"),
+    )
+
+
+def grid_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``net``, ``route``, ``edge``, ``seq``, ``x``, ``y``, ``is_node``: from item to item of an order, along x and then y, on a grid of 16 pixels."""
+    w = Window.partitionBy("route").orderBy("seq")
+    i = _items(spark, sf_dir).withColumn("x", F.col("part") % 12 * 16.0).withColumn("y", F.col("supp") % 9 * 16.0)
+    i = i.withColumn("x2", F.lead("x").over(w)).withColumn("y2", F.lead("y").over(w)).filter("x2 IS NOT NULL")
+    corner = lambda k, x, y: F.struct(F.lit(k).cast("long").alias("seq"), F.col(x).alias("x"), F.col(y).alias("y"))
+    corners = F.explode(F.array(corner(0, "x", "y"), corner(1, "x2", "y"), corner(2, "x2", "y2")))
+    edge = (F.col("route") * 64 + F.col("seq")).alias("edge")
+    return i.select("net", "route", edge, corners.alias("p"), "is_node").select("net", "route", "edge", "p.*", "is_node")
+
+
+def crossing_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``net``, ``edge``, ``seq``, ``x``, ``y``: an order's items as one polyline, straight from place to place."""
+    i = _items(spark, sf_dir)
+    return i.select("net", F.col("route").alias("edge"), "seq", (F.col("part") % 199 * 3.0).alias("x"), (F.col("supp") % 97 * 5.0).alias("y"))
+
+
+def walk_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``net``, ``edge``, ``a`` < ``b``, ``lines``, ``length``: places that follow one another in a user's events, each pair once."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value", (F.col("event_id") * 7919 % 211).alias("place"))
+    e = e.withColumn("to", F.lead("place").over(w)).filter(F.col("to") != F.col("place"))
+    each = e.groupBy(F.col("user_id").alias("net"), F.least("place", "to").alias("a"), F.greatest("place", "to").alias("b"))
+    met = each.agg(F.min("event_id").alias("edge"), F.when(F.max("value") > 95, "1,2").otherwise("1").alias("lines"), (F.floor(F.min("value")) + 1).cast("double").alias("length"))
+    return met.select("net", "edge", "a", "b", "lines", "length")
+
+
 #: The same views in DuckDB, as common table expressions.
 SQL = {
     "station": """station AS (SELECT s_suppkey AS id, s_nationkey::BIGINT AS grp, s_name AS name, (s_suppkey*37%1000)/1000e0-74.5e0 AS lng,
@@ -71,5 +108,12 @@ SQL = {
     "polyline": """polyline AS (SELECT user_id AS line, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq,
  (epoch_us(ts) - 1704067200000000)::DOUBLE / 3600000000e0 AS x, value AS y FROM events)""",
     "point": """point AS (SELECT vec_id AS id, (embedding[1]::DOUBLE + 1e0) * 1350e0 AS x, (embedding[2]::DOUBLE + 1e0) * 1350e0 AS y, label::BIGINT AS label FROM embeddings)""",
+    "item": """item AS (SELECT o_custkey AS net, l_orderkey AS route, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq,
+ l_partkey AS part, l_suppkey AS supp, l_quantity > 40 AS is_node FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""",
+    "gridpath": """leg AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM (SELECT *, part % 12 * 16e0 AS x, supp % 9 * 16e0 AS y FROM item) WINDOW w AS (PARTITION BY route ORDER BY seq)),
+gridpath AS (SELECT net, route, route * 64 + seq AS edge, unnest([0, 1, 2]) AS seq, unnest([x, x2, x2]) AS x, unnest([y, y, y2]) AS y, is_node FROM leg WHERE x2 IS NOT NULL)""",
+    "crosspath": """crosspath AS (SELECT net, route AS edge, seq, part % 199 * 3e0 AS x, supp % 97 * 5e0 AS y FROM item)""",
+    "walk": """walk AS (SELECT user_id AS net, min(event_id) AS edge, least(place, nxt) AS a, greatest(place, nxt) AS b, CASE WHEN max(value) > 95 THEN '1,2' ELSE '1' END AS lines, floor(min(value)) + 1e0 AS length
+ FROM (SELECT *, lead(place) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM (SELECT *, event_id * 7919 % 211 AS place FROM events)) WHERE nxt <> place GROUP BY ALL)""",
     "cell": """cell AS (SELECT DISTINCT l_orderkey % 997 AS col, l_partkey % 991 AS row FROM lineitem)""",
 }
