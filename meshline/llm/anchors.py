@@ -22,13 +22,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of the ``k`` bytes at each place (places with fewer bytes left have none)."""
+    """A 64-bit hash of the ``k`` bytes, or 64-bit hashes of words, at each place (places with fewer left have none)."""
     n = len(data)
     if n < k:
         return np.empty(0, np.uint64)
     up, down = _powers(n + 1)
     with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * down[:n], dtype=np.uint64)])
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((_BYTES[data] if data.dtype == np.uint8 else data) * down[:n], dtype=np.uint64)])
         h = (sums[k:] - sums[:-k]) * up[: n - k + 1]
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
@@ -51,9 +51,9 @@ def window_minima(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, ends: np.ndarray, span: int, k: int):
-    """Anchors of texts that lie end to end in ``data`` (text i ends at ``ends[i]``).
+    """Anchors of texts, as bytes or as words' hashes, that lie end to end in ``data`` (text i ends at ``ends[i]``).
 
-    The anchor of a ``span``-byte string is its ``k``-gram of least hash, the rightmost one of equals, so equal strings
+    The anchor of a string of ``span`` units is its ``k``-gram of least hash, the rightmost one of equals, so equal strings
     have their anchors at one offset with one hash. Returned are, per anchor, its text's number, the first and the
     last place (in ``data``) whose string it stands for, and its hash.
     """

@@ -10,8 +10,8 @@ grouping anchors instead of all suffixes:
   in, and neighbours in the order compared by the bytes of their prefixes. A hash with more text than a shard takes is
   instead dealt out string by string.
 
-Repeats of several lengths are found together: anchors stand for strings of the least length, the text around them
-is long enough for the greatest, and neighbours in the order are compared over each length.
+The same finds repeated runs of words: a text is then the sequence of its words' 64-bit hashes instead of its bytes
+(words are what ASCII white space leaves; equal hashes count as equal words), and lengths are counted in words.
 
 Spans of text travel once per distinct text, whole documents once, at the end.
 """
@@ -19,6 +19,7 @@ Spans of text travel once per distinct text, whole documents once, at the end.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pandas as pd
@@ -27,12 +28,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from meshline.llm.anchors import anchors, digests, gram_hashes
-from meshline.llm.shared import free_name, give_back, materialize, slices, table
+from meshline.llm.shared import coded_words, free_name, give_back, materialize, slices, table
 
 SPAN, GRAM = 400, 128
-#: Passages: repeated strings of so many bytes (fewer than nearly all runs of ``PASSAGE_WORDS`` words have), which
-#: count where they join to a run of at least so many words.
-PASSAGE, PASSAGE_GRAM, PASSAGE_WORDS = 240, 120, 50
+#: Passages: repeated runs of so many words, found by grams of so many.
+PASSAGE_WORDS, PASSAGE_GRAM = 50, 24
 #: Bytes a shard should hold and that are sorted at once (about 100 bytes of memory each), and the most that packed
 #: triples of ranks allow; a hash with more than half of the latter goes string by string.
 SHARD_BYTES, MOST_BYTES = 500_000, (1 << 21) - 8
@@ -85,8 +85,11 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
 
 def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, span: int) -> np.ndarray:
     """Where the ``span`` bytes at ``a`` and ``b`` are the same."""
-    if span < 8:
-        return np.all([data[a + i] == data[b + i] for i in range(span)], axis=0)
+    if span < 8 or data.dtype != np.uint8:
+        same = np.ones(len(a), bool)
+        for i in range(span):
+            same &= data[a + i] == data[b + i]
+        return same
     eights = np.lib.stride_tricks.as_strided(np.ascontiguousarray(data)[: len(data) - 7].view(np.uint8), (len(data) - 7, 8), (1, 1))
     eights = np.ascontiguousarray(eights).view(np.uint64).ravel()
     same = np.ones(len(a), bool)
@@ -95,11 +98,16 @@ def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, span: int) -> np.ndar
     return same
 
 
+def _letters(data: np.ndarray) -> np.ndarray:
+    """Bytes, or words by their order, as numbers from 1."""
+    return (data.astype(np.int64) if data.dtype == np.uint8 else np.unique(data, return_inverse=True)[1]) + 1
+
+
 def repeated_starts(data: np.ndarray, starts: np.ndarray, span: int, order: np.ndarray | None = None) -> np.ndarray:
-    """Flags of those ``starts`` in ``data`` whose ``span`` bytes also start at another of them."""
+    """Flags of those ``starts`` in ``data`` whose ``span`` units also start at another of them."""
     wanted = np.zeros(len(data), bool)
     wanted[starts] = True
-    order = suffix_array(data.astype(np.int64) + 1) if order is None else order
+    order = suffix_array(_letters(data)) if order is None else order
     order = order[wanted[order]]
     h = gram_hashes(data, span)
     # a hash tells most neighbours apart; what it doesn't is compared byte by byte
@@ -124,70 +132,84 @@ def runs(flags: np.ndarray, span: int) -> list[tuple[int, int]]:
 # --- the operator ------------------------------------------------------------------------------------------------
 
 
-def _anchored(docs: DataFrame, spans: tuple[int, ...], gram: int, whole: bool) -> DataFrame:
+def as_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' bytes in turn, and where each ends."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts.to_pylist()]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(t) for t in raw])
+
+
+def as_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all texts' words in turn, and where each text ends."""
+    words, codes, bounds = coded_words(texts)
+    names = words.cast(pa.binary()).to_pylist()
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in names), np.uint64, len(names))
+    some = np.array([w != b"" for w in names], bool)[codes] if len(names) else np.zeros(0, bool)
+    return hashes[codes][some], np.concatenate([[0], np.cumsum(some)])[bounds[1:]]
+
+
+def _anchored(docs: DataFrame, span: int, gram: int, whole: bool, view=as_bytes) -> DataFrame:
     """Anchors of all texts: hash ``h``; with ``whole`` also ``key``, first place ``lo``, number of places ``n``,
-    ``size`` of the text that the longest strings at these places take, and its ``digest``."""
-    least, most = min(spans), max(spans)
+    ``size`` of the text that the strings at these places take, and its ``digest``."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, size=500_000):
-                texts = [t.encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()]
-                data, ends = b"".join(texts), np.cumsum([len(t) for t in texts])
-                t, first, last, h = anchors(np.frombuffer(data, np.uint8), ends, least, gram)
+                data, ends = view(part.column("text"))
+                t, first, last, h = anchors(data, ends, span, gram)
                 columns = [pa.array(h.view(np.int64))]
                 names = ["h"]
                 if whole:
-                    begin, stop = np.concatenate([[0], ends])[t], np.minimum(last + most, ends[t])
+                    begin, stop = np.concatenate([[0], ends])[t], np.minimum(last + span, ends[t])
                     columns += [part.column("key").take(pa.array(t)), pa.array((first - begin).astype(np.int32)),
                                 pa.array((last - first + 1).astype(np.int32)), pa.array((stop - first).astype(np.int32)),
-                                pa.array(digests(data, first, stop), pa.binary())]
+                                pa.array(digests(data.tobytes(), first * data.itemsize, stop * data.itemsize), pa.binary())]
                     names += ["key", "lo", "n", "size", "digest"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.select("key", "text").mapInArrow(run, "h long, key long, lo int, n int, size int, digest binary" if whole else "h long")
 
 
-def _cut_out(batches):
-    """The bytes of the asked-for spans of each text."""
-    for batch in batches:
-        for part in slices(batch, size=1_000_000):
-            hs, ds, bs, ns = [], [], [], []
-            for text, asked in zip(part.column("text").to_pylist(), part.column("asked").to_pylist(), strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                for a in asked:
-                    hs.append(a["h"])
-                    ds.append(a["digest"])
-                    ns.append(a["n"])
-                    bs.append(raw[a["lo"] : a["lo"] + a["size"]])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hs, pa.int64()), pa.array(ds, pa.binary()), pa.array(ns, pa.int32()), pa.array(bs, pa.binary())],
-                names=["h", "digest", "n", "bytes"],
-            )
-
-
-def _sorted_shard(spans: tuple[int, ...]):
+def _cut_out(view):
+    """The asked-for spans of each text."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, size=1_000_000):
+                hs, ds, bs, ns = [], [], [], []
+                data, ends = view(part.column("text"))
+                for begin, asked in zip([0, *ends[:-1].tolist()], part.column("asked").to_pylist(), strict=True):
+                    for a in asked:
+                        hs.append(a["h"])
+                        ds.append(a["digest"])
+                        ns.append(a["n"])
+                        bs.append(data[begin + a["lo"] : begin + a["lo"] + a["size"]].tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(hs, pa.int64()), pa.array(ds, pa.binary()), pa.array(ns, pa.int32()), pa.array(bs, pa.binary())],
+                    names=["h", "digest", "n", "bytes"],
+                )
+
+    return run
+
+
+def _sorted_shard(span: int, kind: type):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["h", "digest"], kind="stable", ignore_index=True)
         out: list[tuple[bytes, list[dict]]] = []
 
         def solve(rows: pd.DataFrame) -> None:
-            data = np.frombuffer(b"".join(rows["bytes"]), np.uint8)
-            lens, n = np.array([len(b) for b in rows["bytes"]]), rows["n"].to_numpy()
+            data = np.frombuffer(b"".join(rows["bytes"]), kind)
+            lens, n = np.array([len(b) for b in rows["bytes"]]) // data.itemsize, rows["n"].to_numpy()
             begin = np.cumsum(lens) - lens
             row = np.repeat(np.arange(len(n)), n)
             starts = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            order = suffix_array(data.astype(np.int64) + 1)
-            marks: list[list[dict]] = [[] for _ in range(len(n))]
-            for span in spans:
-                fits = starts + span <= (begin + lens)[row]
-                flags = np.zeros(len(starts), bool)
-                flags[fits] = repeated_starts(data, starts[fits], span, order)
-                at = 0
-                for mine, k in zip(marks, n.tolist(), strict=True):
-                    mine += [{"a": a, "b": b, "w": span} for a, b in runs(flags[at : at + k], span)]
-                    at += k
-            out.extend((digest, mine) for digest, mine in zip(rows["digest"], marks, strict=True) if mine)
+            fits = starts + span <= (begin + lens)[row]
+            flags = np.zeros(len(starts), bool)
+            flags[fits] = repeated_starts(data, starts[fits], span)
+            at = 0
+            for digest, k in zip(rows["digest"], n.tolist(), strict=True):
+                if mine := [{"a": a, "b": b} for a, b in runs(flags[at : at + k], span)]:
+                    out.append((digest, mine))
+                at += k
 
         # hashes are independent of each other: as many as fit are sorted together
         sizes = pdf["bytes"].map(len).groupby(pdf["h"], sort=False).sum()
@@ -206,74 +228,71 @@ def _sorted_shard(spans: tuple[int, ...]):
     return run
 
 
-def _strings(spans: tuple[int, ...]):
-    """Each string of a span, by its digest: for hashes with more text than a shard takes."""
+def _strings(span: int, size: int):
+    """Each string, by its digest, of units of ``size`` bytes: for hashes with more text than a shard takes."""
 
     def run(batches):
         for batch in batches:
             for digest, n, raw in zip(*(batch.column(c).to_pylist() for c in ("digest", "n", "bytes")), strict=True):
-                at = [(i, w) for w in spans for i in range(min(n, len(raw) - w + 1))]
-                names = [xxhash.xxh3_128_digest(raw[i : i + w]) for i, w in at]
+                at = range(min(n, len(raw) // size - span + 1))
+                names = [xxhash.xxh3_128_digest(raw[i * size : (i + span) * size]) for i in at]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, pa.binary()), pa.array([digest] * len(at), pa.binary()),
-                     pa.array([i for i, _ in at], pa.int32()), pa.array([w for _, w in at], pa.int32())],
-                    names=["string", "digest", "at", "w"],
-                )
+                    [pa.array(names, pa.binary()), pa.array([digest] * len(at), pa.binary()), pa.array(at, pa.int32())], names=["string", "digest", "at"]
+                )
 
     return run
 
 
-def repeats(df: DataFrame, spans: tuple[int, ...] = (SPAN,), gram: int = GRAM) -> DataFrame:
-    """``df(key, text)`` with unique keys to ``key`` and ``found``: byte intervals ``a`` to ``b`` covered by repeated
-    strings of ``w`` bytes, for each ``w`` of ``spans``."""
+def repeats(df: DataFrame, span: int = SPAN, gram: int = GRAM, view=as_bytes) -> DataFrame:
+    """``df(key, text)`` with unique keys to ``key`` and ``found``: intervals ``a`` to ``b`` (of bytes, or of words where
+    ``view`` is ``as_words``) covered by repeated strings of ``span`` units."""
+    kind = np.uint8 if view is as_bytes else np.uint64
+    unit = np.dtype(kind).itemsize
     # 1. hashes of anchors that occur more than once
-    twice = materialize(_anchored(df, spans, gram, False).groupBy("h").count().filter("count > 1").select("h"))
-    some = materialize(_anchored(df, spans, gram, True).join(twice, "h"))
+    twice = materialize(_anchored(df, span, gram, False, view).groupBy("h").count().filter("count > 1").select("h"))
+    some = materialize(_anchored(df, span, gram, True, view).join(twice, "h"))
     # 2. distinct texts around them
     texts = some.groupBy("h", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("key", "lo", "n", "size")).alias("one"))
     texts = materialize(texts.select("h", "digest", "copies", "one.*"))
-    kinds = texts.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("size").alias("bytes")).filter("kinds > 1")
+    kinds = texts.groupBy("h").agg(F.count("*").alias("kinds"), (F.sum("size") * unit).alias("bytes")).filter("kinds > 1")
     doubt = materialize(texts.join(materialize(kinds), "h"))
     asked = doubt.groupBy("key").agg(F.collect_list(F.struct("h", "digest", "lo", "n", "size")).alias("asked"))
     asked = materialize(asked)
-    count, total = doubt.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    count, total = doubt.agg(F.count("*"), F.coalesce(F.sum("size") * unit, F.lit(0))).first()
     if count <= BROADCAST_SPANS:
         asked = F.broadcast(asked)
-    cut = materialize(df.select("key", "text").join(asked, "key").select("text", "asked").mapInArrow(_cut_out, "h long, digest binary, n int, bytes binary"))
+    cut = materialize(df.select("key", "text").join(asked, "key").select("text", "asked").mapInArrow(_cut_out(view), "h long, digest binary, n int, bytes binary"))
     # 3. suffix order of bounded shards; hashes beyond a shard string by string
     large = materialize(kinds.filter(F.col("bytes") > MOST_BYTES // 2).select("h"))
     shards = max(1, -(-total // SHARD_BYTES))
     small = cut.join(large, "h", "left_anti").withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
-    found_kind = "digest binary, found array<struct<a:int,b:int,w:int>>"
-    found = small.repartition(shards, "shard").groupBy("shard").applyInPandas(_sorted_shard(spans), found_kind)
+    found_kind = "digest binary, found array<struct<a:int,b:int>>"
+    found = small.repartition(shards, "shard").groupBy("shard").applyInPandas(_sorted_shard(span, kind), found_kind)
     if large.head(1):
         rows = cut.join(large, "h", "left_semi").select("digest", "n", "bytes")
-        strings = materialize(rows.mapInArrow(_strings(spans), "string binary, digest binary, at int, w int"))
+        strings = materialize(rows.mapInArrow(_strings(span, unit), "string binary, digest binary, at int"))
         again = materialize(strings.groupBy("string").count().filter("count > 1").select("string"))
         more = strings.join(again, "string").groupBy("digest").agg(
-            F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + F.col("w")).alias("b"), "w")).alias("found")
+            F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + span).alias("b"))).alias("found")
         )
         found = found.unionByName(more)
     # 4. verdicts back to all places of a text
     partly = materialize(found).withColumnRenamed("digest", "_d")
-    # of a text that occurs again every string does; texts at a document's end may be too short for the longer ones
-    every = F.filter(
-        F.array(*[F.struct(F.lit(0).alias("a"), F.least(F.col("n") + (w - 1), F.col("size")).alias("b"), F.lit(w).alias("w")) for w in spans]),
-        lambda f: f["b"] >= f["w"],
-    )
+    # of a text that occurs again every string does
+    every = F.array(F.struct(F.lit(0).alias("a"), F.col("size").alias("b")))
     verdicts = texts.join(partly, F.col("digest") == F.col("_d"), "left").select(
         "h", "digest", F.when(F.col("copies") > 1, every).otherwise(F.col("found")).alias("found")
     )
     verdicts = materialize(verdicts.filter(F.col("found").isNotNull()))
     placed = some.join(verdicts, ["h", "digest"]).select("key", "lo", F.explode("found").alias("f"))
-    placed = placed.select("key", F.struct((F.col("lo") + F.col("f.a")).alias("a"), (F.col("lo") + F.col("f.b")).alias("b"), F.col("f.w").alias("w")).alias("f"))
+    placed = placed.select("key", F.struct((F.col("lo") + F.col("f.a")).alias("a"), (F.col("lo") + F.col("f.b")).alias("b")).alias("f"))
     return placed.groupBy("key").agg(F.collect_list("f").alias("found"))
 
 
-def _merged(found: list[dict] | None, w: int) -> list[tuple[int, int]]:
-    """Disjoint intervals of the strings of ``w`` bytes, in order."""
+def _merged(found: list[dict] | None) -> list[tuple[int, int]]:
+    """Disjoint intervals, in order."""
     out: list[list[int]] = []
-    for a, b in sorted((f["a"], f["b"]) for f in (found if found is not None else ()) if f["w"] == w):
+    for a, b in sorted((f["a"], f["b"]) for f in (found if found is not None else ())):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -281,9 +300,16 @@ def _merged(found: list[dict] | None, w: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _wordy(raw: bytes, intervals: list[tuple[int, int]], words: int) -> list[tuple[int, int]]:
-    """The intervals that hold at least so many words (ASCII white space between them; cut words count)."""
-    return [(a, b) for a, b in intervals if not words or len(raw[a:b].split()) >= words]
+#: A word, as ``as_words`` cuts texts.
+WORD = re.compile("[^ \t\n\v\f\r]+")
+
+
+def _word_places(text: str, intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Intervals of words as intervals of characters, from the first word's start to the last one's end."""
+    if not intervals:
+        return []
+    spans = [m.span() for m in WORD.finditer(text)]
+    return [(spans[a][0], spans[b - 1][1]) for a, b in intervals]
 
 
 def _rows(df: DataFrame) -> tuple[DataFrame, str]:
@@ -298,12 +324,12 @@ def _rows(df: DataFrame) -> tuple[DataFrame, str]:
     return materialize(df.withColumn(row, F.monotonically_increasing_id())), row
 
 
-def removals(df: DataFrame, span: int = SPAN, gram: int = PASSAGE_GRAM, passage: int = PASSAGE, words: int = PASSAGE_WORDS) -> DataFrame:
+def removals(df: DataFrame, span: int = SPAN, gram: int = GRAM, words: int = PASSAGE_WORDS, word_gram: int = PASSAGE_GRAM) -> DataFrame:
     """Per row of ``df(doc_id, text)``: ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``spans`` (byte
-    intervals), ``n_passages`` and ``passages``.
+    intervals), ``n_passages`` and ``passages`` (intervals of characters).
 
     Every byte is removed that lies in a ``span``-byte string which starts anywhere else too. Beside these, passages
-    are reported and not removed: runs of repeated ``passage``-byte strings with at least ``words`` words. Null texts
+    are reported and not removed: runs of ``words`` words or more that occur again, of whatever length in bytes. Null texts
     are empty; texts under ``span`` bytes lose nothing. Very long texts are read in whole, a batch holding one at
     least. Repeated rows are copies of each other and come back each; null ids are kept; further columns, whatever
     their names, are ignored; an empty table gives an empty result.
@@ -314,9 +340,9 @@ def removals(df: DataFrame, span: int = SPAN, gram: int = PASSAGE_GRAM, passage:
         for batch in batches:
             for part in slices(batch):
                 rows = []
-                for doc, text, found in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "found")), strict=True):
-                    raw, gone, at, kept = text.encode("utf-8", "surrogatepass"), _merged(found, span), 0, hashlib.sha256()
-                    told = _wordy(raw, _merged(found, passage), words)
+                for doc, text, found, passed in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "found", "passed")), strict=True):
+                    raw, gone, at, kept = text.encode("utf-8", "surrogatepass"), _merged(found), 0, hashlib.sha256()
+                    told = _word_places(text, _merged(passed))
                     for a, b in gone:
                         kept.update(raw[at:a])
                         at = b
@@ -330,40 +356,44 @@ def removals(df: DataFrame, span: int = SPAN, gram: int = PASSAGE_GRAM, passage:
                 )
 
     docs, row = _rows(df.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")))
-    found = materialize(repeats(docs.select(F.col(row).alias("key"), "text"), tuple(sorted({span, passage})), gram))
-    return docs.join(found, F.col(row) == F.col("key"), "left").select("doc_id", "text", "found").mapInArrow(
+    keyed = docs.select(F.col(row).alias("key"), "text")
+    found = materialize(repeats(keyed, span, gram))
+    passed = materialize(repeats(keyed, words, word_gram, as_words)).select(F.col("key").alias("_p"), F.col("found").alias("passed"))
+    both = found.join(passed, F.col("key") == F.col("_p"), "full").select(F.coalesce("key", "_p").alias("key"), "found", "passed")
+    return docs.join(both, F.col(row) == F.col("key"), "left").select("doc_id", "text", "found", "passed").mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a:long,b:long>>, "
         "n_passages long, passages array<struct<a:long,b:long>>"
     )
 
 
-def remove(df: DataFrame, span: int = SPAN, gram: int = GRAM, words: int = 0) -> DataFrame:
-    """The rows of ``df`` with repeated bytes taken out of ``text``; all columns kept, in their order.
+def remove(df: DataFrame, words: int = PASSAGE_WORDS, gram: int = PASSAGE_GRAM) -> DataFrame:
+    """The rows of ``df`` with repeated passages taken out of ``text``; all columns kept, in their order.
 
-    As ``removals``; with ``words``, only runs of at least so many words are taken out. Bytes of a character that was
-    cut apart are dropped from the kept text. Null texts stay null. Further columns may have any names.
+    Every word goes that lies in a run of ``words`` words which starts anywhere else too, with the white space inside the
+    runs; runs of any length in bytes are found. Null texts stay null. Further columns may have any names.
     """
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, found: pd.Series) -> pd.Series:
         out = []
         for text, f in zip(texts, found, strict=True):
-            if f is None or text is None:
-                out.append(text)
+            if text is None:
+                out.append(None)
                 continue
-            raw, at, kept = text.encode("utf-8", "surrogatepass"), 0, []
-            for a, b in _wordy(raw, _merged(list(f), span), words):
-                kept.append(raw[at:a])
+            at, kept = 0, []
+            for a, b in _word_places(text, _merged(list(f))):
+                kept.append(text[at:a])
                 at = b
-            out.append(text if not at else b"".join([*kept, raw[at:]]).decode("utf-8", "ignore"))
+            out.append("".join([*kept, text[at:]]))
         return pd.Series(out, dtype=object)
 
     docs, row = _rows(df)
-    found = materialize(repeats(docs.select(F.col(row).alias("key"), F.coalesce("text", F.lit("")).alias("text")), (span,), gram))
+    found = materialize(repeats(docs.select(F.col(row).alias("key"), F.coalesce("text", F.lit("")).alias("text")), words, gram, as_words))
     mark = free_name(docs, "_found")
-    found = found.select(F.col("key").alias(row), F.col("found").alias(mark))
-    text = F.when(F.col("text").isNull() | F.col(mark).isNull(), F.col("text")).otherwise(without("text", mark))
-    return docs.join(found, row, "left").withColumn("text", text).select(*df.columns)
+    joined = docs.join(found.select(F.col("key").alias(row), F.col("found").alias(mark)), row, "left")
+    # texts that have nothing to lose don't go to Python
+    cut = without(F.when(F.col(mark).isNotNull(), F.col("text")), mark)
+    return joined.withColumn("text", F.when(F.col(mark).isNull(), F.col("text")).otherwise(cut)).select(*df.columns)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
