@@ -98,6 +98,17 @@ def walk_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("net", "edge", "a", "b", "lines", "length")
 
 
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ring``, ``seq``, ``x``, ``y``: an octagon for each customer, of many sizes, on a lattice of 50; even ones repeat their first vertex."""
+    k = F.col("c_custkey")
+    corners = [(3, 0), (2, 2), (0, 3), (-2, 2), (-3, 0), (-2, -2), (0, -3), (2, -2)]
+    listed = F.array(*[F.struct(F.lit(i).cast("long").alias("seq"), F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for i, (a, b) in enumerate([*corners, corners[0]])])
+    each = F.explode(F.when(k % 2 == 0, listed).otherwise(F.slice(listed, 1, 8)))
+    c = table(spark, sf_dir, "customer").select(k.alias("ring"), (1 + k * k % 83).alias("r"), each.alias("p"))
+    at = lambda centre, way: (centre * 50.0 + F.col("r") * F.col(way))
+    return c.select("ring", "p.seq", at(F.col("ring") % 64, "p.a").alias("x"), at(F.floor(F.col("ring") / 64), "p.b").alias("y"))
+
+
 #: The same views in DuckDB, as common table expressions.
 SQL = {
     "station": """station AS (SELECT s_suppkey AS id, s_nationkey::BIGINT AS grp, s_name AS name, (s_suppkey*37%1000)/1000e0-74.5e0 AS lng,
@@ -115,5 +126,7 @@ gridpath AS (SELECT net, route, route * 64 + seq AS edge, unnest([0, 1, 2]) AS s
     "crosspath": """crosspath AS (SELECT net, route AS edge, seq, part % 199 * 3e0 AS x, supp % 97 * 5e0 AS y FROM item)""",
     "walk": """walk AS (SELECT user_id AS net, min(event_id) AS edge, least(place, nxt) AS a, greatest(place, nxt) AS b, CASE WHEN max(value) > 95 THEN '1,2' ELSE '1' END AS lines, floor(min(value)) + 1e0 AS length
  FROM (SELECT *, lead(place) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM (SELECT *, event_id * 7919 % 211 AS place FROM events)) WHERE nxt <> place GROUP BY ALL)""",
+    "shape": """shape AS (SELECT c_custkey AS ring, unnest(range(8)) AS i, c_custkey % 64 * 50e0 + (1 + c_custkey * c_custkey % 83) * unnest([3e0, 2, 0, -2, -3, -2, 0, 2]) AS x,
+ floor(c_custkey / 64) * 50e0 + (1 + c_custkey * c_custkey % 83) * unnest([0e0, 2, 3, 2, 0, -2, -3, -2]) AS y FROM customer)""",
     "cell": """cell AS (SELECT DISTINCT l_orderkey % 997 AS col, l_partkey % 991 AS row FROM lineitem)""",
 }

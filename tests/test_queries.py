@@ -8,6 +8,7 @@ import pytest
 import meshline.plans.entry_queries  # noqa: F401  (registers)
 import meshline.plans.layout_queries  # noqa: F401  (registers)
 import meshline.plans.path_queries  # noqa: F401  (registers)
+import meshline.plans.shape_queries  # noqa: F401  (registers)
 from meshline.plans.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
