@@ -109,6 +109,25 @@ def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("ring", "p.seq", at(F.col("ring") % 64, "p.a").alias("x"), at(F.floor(F.col("ring") / 64), "p.b").alias("y"))
 
 
+def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``track``, ``grp`` (null outside stations), ``coords``: parts as short tracks on a lattice, so that many meet end to end."""
+    k = F.col("p_partkey")
+    point = lambda x, y: F.struct((x / 1000.0).alias("x"), (y / 1000.0).alias("y"))
+    x, y = k % 6, k % 5
+    coords = F.array(point(x, y), point(x + 1, y), point(x + 1, y), point(x + 1, y + k % 3))
+    return table(spark, sf_dir, "part").select(k.alias("track"), F.when(k % 4 == 0, k % 7).alias("grp"), coords.alias("coords"))
+
+
+def combos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``route``, ``combo``, ``start_node``, ``end_node``, ``path``: from item to item of an order, over three tracks."""
+    w = Window.partitionBy("route").orderBy("seq")
+    i = _items(spark, sf_dir).withColumn("to", F.lead("supp").over(w)).withColumn("next", F.lead("part").over(w)).filter("to IS NOT NULL")
+    step = lambda k, back: F.struct(k.alias("track"), back.alias("reversed"))
+    # the third one is the first on its way back
+    path = F.array(step(F.col("part"), F.lit(False)), step(F.col("next"), F.col("is_node")), step(F.col("part"), F.lit(True)))
+    return i.select("route", F.col("seq").alias("combo"), F.col("supp").alias("start_node"), F.col("to").alias("end_node"), path.alias("path"))
+
+
 #: The same views in DuckDB, as common table expressions.
 SQL = {
     "station": """station AS (SELECT s_suppkey AS id, s_nationkey::BIGINT AS grp, s_name AS name, (s_suppkey*37%1000)/1000e0-74.5e0 AS lng,
@@ -128,5 +147,9 @@ gridpath AS (SELECT net, route, route * 64 + seq AS edge, unnest([0, 1, 2]) AS s
  FROM (SELECT *, lead(place) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM (SELECT *, event_id * 7919 % 211 AS place FROM events)) WHERE nxt <> place GROUP BY ALL)""",
     "shape": """shape AS (SELECT c_custkey AS ring, unnest(range(8)) AS i, c_custkey % 64 * 50e0 + (1 + c_custkey * c_custkey % 83) * unnest([3e0, 2, 0, -2, -3, -2, 0, 2]) AS x,
  floor(c_custkey / 64) * 50e0 + (1 + c_custkey * c_custkey % 83) * unnest([0e0, 2, 3, 2, 0, -2, -3, -2]) AS y FROM customer)""",
+    "combo": """track AS (SELECT p_partkey AS track, CASE WHEN p_partkey % 4 = 0 THEN p_partkey % 7 END AS grp,
+ [{'x': x/1000e0, 'y': y/1000e0}, {'x': (x+1)/1000e0, 'y': y/1000e0}, {'x': (x+1)/1000e0, 'y': (y+p_partkey%3)/1000e0}] AS coords FROM (SELECT *, p_partkey % 6 AS x, p_partkey % 5 AS y FROM part)),
+combo AS (SELECT route, seq AS combo, supp AS start_node, nxt AS end_node, unnest([part, np, part]) AS track, unnest([false, is_node, true]) AS reversed, unnest([0, 1, 2]) AS pos
+ FROM (SELECT *, lead(supp) OVER w AS nxt, lead(part) OVER w AS np FROM item WINDOW w AS (PARTITION BY route ORDER BY seq)) WHERE nxt IS NOT NULL)""",
     "cell": """cell AS (SELECT DISTINCT l_orderkey % 997 AS col, l_partkey % 991 AS row FROM lineitem)""",
 }

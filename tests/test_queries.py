@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import meshline.plans.entry_queries  # noqa: F401  (registers)
+import meshline.plans.label_queries  # noqa: F401  (registers)
 import meshline.plans.layout_queries  # noqa: F401  (registers)
 import meshline.plans.path_queries  # noqa: F401  (registers)
 import meshline.plans.shape_queries  # noqa: F401  (registers)
