@@ -5,20 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` under ``spark.checkpoint.dir`` and read it back.
-
-    A temporary folder serves where none is set and all runs on one machine; on a cluster that is an error.
-    """
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where none is set and all runs on one machine, a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = stored.root = getattr(stored, "root", None) or tempfile.mkdtemp(prefix="meshline-")
-    path = f"{root.rstrip('/')}/stored-{uuid.uuid4().hex}"
+        root = folder.root = getattr(folder, "root", None) or tempfile.mkdtemp(prefix="meshline-")
+    return root.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` in the shared folder and read it back."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

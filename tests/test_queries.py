@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+import meshline.plans.cache_queries  # noqa: F401  (registers)
 import meshline.plans.entry_queries  # noqa: F401  (registers)
 import meshline.plans.label_queries  # noqa: F401  (registers)
 import meshline.plans.layout_queries  # noqa: F401  (registers)
