@@ -141,6 +141,7 @@ def boxes_alike(a: list[Column], b: list[Column]) -> Column:
     return out
 
 
+#: Fixed values in the functions below: steps and weights of corners, and the scales of slider positions.
 def corner_factor(dot: Column) -> Column:
     """Weight of a crossing by the cosine of its turn, in steps."""
     return F.when(dot < -0.92, 6.0).when(dot < -0.38, 0.5).otherwise(0.15)
@@ -178,22 +179,25 @@ def slider_values(p: Column) -> dict[str, Column]:
 
 
 def attributes(element: Column) -> Column:
-    """Map of the ``name="value"`` attributes of a tag; the last of equal names counts."""
-    found = F.regexp_extract_all(element, F.lit(r'([\w:-]+="[^"]*")'), F.lit(1))
-    split = F.transform(found, lambda a: F.struct(F.substring_index(a, "=", 1).alias("k"), F.regexp_extract(a, r'^[^=]*="([^"]*)"$', 1).alias("v")))
+    """Map of a tag's attributes, in either kind of quotes and with any white space around ``=``; the last of equal names counts."""
+    pattern = F.lit("([^\\s=/>\"'<]+)\\s*=\\s*(\"[^\"]*\"|'[^']*')")
+    named = F.zip_with(F.regexp_extract_all(element, pattern, F.lit(1)), F.regexp_extract_all(element, pattern, F.lit(2)), lambda k, v: F.struct(k.alias("k"), v.alias("v")))
+    split = F.transform(named, lambda a: F.struct(a["k"].alias("k"), F.substring(a["v"], F.lit(2), F.length(a["v"]) - 2).alias("v")))
     last = F.filter(split, lambda x, i: ~F.exists(F.slice(split, i + 2, F.size(split)), lambda y: y["k"] == x["k"]))
     return F.map_from_entries(last)
 
 
 def translation(transform: Column) -> Column:
-    """The two numbers of ``translate(x y)``, zeros without one."""
-    number = lambda g: F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(transform, r"translate\(\s*([-\d.]+)[ ,]\s*([-\d.]+)", g), F.lit("")), F.lit("S99999D999")).cast("double"), F.lit(0.0))
+    """The two numbers of ``translate(x y)``, of any length and with exponents; zeros without one, y is 0 where it is left out."""
+    digits = "[-+]?(?:\\d+\\.?\\d*|\\.\\d+)(?:[eE][-+]?\\d+)?"
+    pattern = f"translate\\s*\\(\\s*({digits})(?:[\\s,]+({digits}))?\\s*\\)"
+    number = lambda g: F.coalesce(F.regexp_extract(transform, pattern, g).try_cast("double"), F.lit(0.0))
     return F.array(number(1), number(2))
 
 
 def map_json(m: Column, tag: str = "map") -> Column:
-    """A map as JSON text that keeps its keys' order: a list of pairs under ``tag``."""
-    pairs = F.transform(F.array_sort(F.map_entries(m)), lambda e: F.array(e["key"], e["value"]))
+    """A map as JSON text that keeps its entries' order: a list of pairs under ``tag``."""
+    pairs = F.transform(F.map_entries(m), lambda e: F.array(e["key"], e["value"]))
     return F.to_json(F.named_struct(F.lit(tag), pairs))
 
 

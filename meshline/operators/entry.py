@@ -16,11 +16,14 @@ def node_groups(stations: DataFrame, members: DataFrame) -> DataFrame:
     return owned.groupBy("node").agg(F.max_by("grp", "seq").alias("grp"))
 
 
-def served_stations(stations: DataFrame, combos: DataFrame, routes: DataFrame) -> DataFrame:
-    """``id`` of constructed stations with a node at an end of a combo of a route that isn't temporary."""
+def served_stations(stations: DataFrame, combos: DataFrame, routes: DataFrame, route_nodes: DataFrame | None = None) -> DataFrame:
+    """``id`` of constructed stations with a node at an end of a combo, or among the own ``route_nodes(route, node)``, of a
+    route that isn't temporary."""
     nodes = stations.filter("constructed").select("id", "seq", F.explode("nodes").alias("node")).groupBy("node").agg(F.max_by("id", "seq").alias("id"))
     real = combos.join(routes.filter("NOT temp").select("route"), "route", "left_semi")
     touched = real.select(F.explode(F.array("start_node", "end_node")).alias("node"))
+    if route_nodes is not None:
+        touched = touched.unionByName(route_nodes.join(routes.filter("NOT temp").select("route"), "route", "left_semi").select("node"))
     return nodes.join(touched, "node", "left_semi").select("id").distinct()
 
 
@@ -129,6 +132,15 @@ def ranked(df: DataFrame, order: list, name: str = "rank", within: list[str] | N
     return out.withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_own", "_before", "_range")
 
 
+def middle_values(df: DataFrame, key: str, value: str) -> DataFrame:
+    """``key``, ``upper_median`` (place n // 2 from 0), ``median`` of the values, by their places: no task holds a key's values."""
+    placed = ranked(df.select(key, value), [value], within=[key])
+    sizes = placed.groupBy(key).agg(F.max("rank").alias("n"))
+    upper, lower = F.floor(F.col("n") / 2) + 1, F.floor((F.col("n") + 1) / 2)
+    middle = placed.join(F.broadcast(sizes), key).filter((F.col("rank") == upper) | (F.col("rank") == lower))  # a row per key
+    return middle.groupBy(key).agg(F.max(value).alias("upper_median"), ((F.min(value) + F.max(value)) / 2.0).alias("median"))
+
+
 def edge_orderings(edges: DataFrame, positions: DataFrame) -> DataFrame:
     """``method``, ``u``, ``v``, ``rank`` of ``edges(u, v, lines)`` in four orders: most lines, least straight length,
     greatest degree of an end, greatest sum of lines at an end (the other end breaks ties, then the ends' numbers)."""

@@ -77,9 +77,13 @@ def canonical_lines(routes: DataFrame, lines: DataFrame) -> DataFrame:
     key = F.concat_ws("|", F.col("u").cast("string"), F.col("v").cast("string"))
     sets = lines.groupBy("route").agg(F.array_join(F.array_sort(F.collect_set(key)), ",").alias("signature"))
     named = routes.filter(~F.col("temp")).join(sets, "route", "left")
-    w = Window.partitionBy("bullet", F.lower("color"), "signature")
-    merged = (F.trim("bullet") != "") & F.col("signature").isNotNull()
-    return named.select("route", F.when(merged, F.min("route").over(w)).otherwise(F.col("route")).alias("line"))
+    # what never collapses takes no part in the grouping; signatures meet by their digests
+    merged = named.filter((F.trim("bullet") != "") & F.col("signature").isNotNull())
+    keyed = merged.select("route", "bullet", F.lower("color").alias("shade"), F.sha2("signature", 256).alias("set"))
+    least = keyed.groupBy("bullet", "shade", "set").agg(F.min("route").alias("line"))
+    same = [keyed[c].eqNullSafe(least[c]) for c in ("bullet", "shade", "set")]
+    told = keyed.join(least, same[0] & same[1] & same[2]).select("route", "line")
+    return named.select("route").join(told, "route", "left").select("route", F.coalesce("line", "route").alias("line"))
 
 
 def longest_traversals(stepped: DataFrame, lines: DataFrame) -> DataFrame:
@@ -173,26 +177,28 @@ def crop(stepped: DataFrame, inside: DataFrame) -> DataFrame:
     return ends.unionByName(more).distinct()
 
 
-#: Public tile schemas in order of preference, the layers that mean water, and those that tell the schema.
+#: Public tile schemas in order of preference, the layers that mean water, those that tell the schema, and
+#: the green ones to ask for.
 SCHEMAS = (
-    ("protomaps", ("water",), ("natural",)),
-    ("openmaptiles", ("water",), ("landcover", "park")),
-    ("mapbox", ("water",), ("landuse", "landcover")),
+    ("protomaps", ("water",), ("natural",), ("natural", "landuse")),
+    ("openmaptiles", ("water",), ("landcover", "park"), ("landcover", "park", "landuse")),
+    ("mapbox", ("water",), ("landuse", "landcover"), ("landuse", "landcover")),
 )
 
 
 def probe(layers: DataFrame, own: tuple = (), schemas: tuple = SCHEMAS) -> DataFrame:
-    """The first schema that each ``source`` has a water layer and a telling layer of, and which of its layers those are.
+    """The first schema that each ``source`` has a water layer and a telling layer of, and which of its layers to ask for.
 
-    Schemas of a map's own come before the public ones: the caller names them, as (id, water layers, telling layers).
+    Schemas of a map's own come before the public ones: the caller names them, as (id, water layers, telling layers,
+    green layers). Water layers come first, then green ones, in the schema's order.
     """
     has = lambda names: F.bool_or(F.col("name").isin(*names))
     every = [*own, *schemas]
-    flags = [(has(water) & has(need)).alias(f"_{name}") for name, water, need in every]
-    first = F.coalesce(*[F.when(F.col(f"_{name}"), F.lit(name)) for name, _, _ in every])
-    wanted = F.create_map(*[x for name, water, need in every for x in (F.lit(name), F.array(*[F.lit(c) for c in dict.fromkeys([*water, *need])]))])
+    flags = [(has(water) & has(need)).alias(f"_{name}") for name, water, need, _ in every]
+    first = F.coalesce(*[F.when(F.col(f"_{s[0]}"), F.lit(s[0])) for s in every])
+    wanted = F.create_map(*[x for name, water, _, green in every for x in (F.lit(name), F.array(*[F.lit(c) for c in dict.fromkeys([*water, *green])]))])
     told = layers.groupBy("source").agg(*flags, F.collect_set("name").alias("_names")).select("source", first.alias("schema"), "_names")
-    there = F.array_sort(F.array_intersect(F.element_at(wanted, F.col("schema")), F.col("_names")))
+    there = F.filter(F.element_at(wanted, F.col("schema")), lambda n: F.array_contains("_names", n))
     return told.filter(F.col("schema").isNotNull()).select("source", "schema", there.alias("layers"))
 
 

@@ -16,7 +16,8 @@ combo AS (SELECT l_orderkey AS route, l_suppkey % 60 AS start_node, l_partkey %
 real_ AS (SELECT o_orderkey AS route FROM orders WHERE o_orderstatus <> 'P')"""
 NODES = "node_grp AS (SELECT node, arg_max(grp, seq) AS grp FROM (SELECT seq, grp, unnest(nodes) AS node FROM st WHERE constructed) GROUP BY node)"
 SERVED = """owner AS (SELECT node, arg_max(id, seq) AS id FROM (SELECT id, seq, unnest(nodes) AS node FROM st WHERE constructed) GROUP BY node),
-served AS (SELECT DISTINCT id FROM owner JOIN (SELECT start_node AS node FROM combo JOIN real_ USING (route) UNION SELECT end_node FROM combo JOIN real_ USING (route)) USING (node))"""
+served AS (SELECT DISTINCT id FROM owner JOIN (SELECT start_node AS node FROM combo JOIN real_ USING (route) UNION SELECT end_node FROM combo JOIN real_ USING (route)
+ UNION SELECT o_custkey % 120 FROM orders WHERE o_orderkey % 50 = 0 AND o_orderstatus <> 'P') USING (node))"""
 
 
 def _stations(spark, d):
@@ -32,6 +33,11 @@ def _combos(spark, d):
     return li.select(F.col("l_orderkey").alias("route"), (F.col("l_suppkey") % 60).alias("start_node"), (F.col("l_partkey") % 60 + 60).alias("end_node"), F.col("l_extendedprice").alias("distance"))
 
 
+def _own_nodes(spark, d):
+    """Nodes that a route names itself, whether or not a combo ends there."""
+    return V.table(spark, d, "orders").filter("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("route"), (F.col("o_custkey") % 120).alias("node"))
+
+
 @query(f"WITH {STATION}, {NODES} SELECT node, grp FROM node_grp")
 def node_groups(spark, d):
     s = _stations(spark, d)
@@ -40,13 +46,13 @@ def node_groups(spark, d):
 
 @query(f"WITH {STATION}, {SERVED} SELECT id FROM served")
 def served_stations(spark, d):
-    return E.served_stations(_stations(spark, d), _combos(spark, d), V.routes(spark, d))
+    return E.served_stations(_stations(spark, d), _combos(spark, d), V.routes(spark, d), _own_nodes(spark, d))
 
 
 @query(f"WITH {STATION}, {SERVED} SELECT grp, count(served.id) AS served FROM st LEFT JOIN served USING (id) GROUP BY grp")
 def served_members(spark, d):
     s = _stations(spark, d)
-    return E.served_members(s.select("id", "grp"), E.served_stations(s, _combos(spark, d), V.routes(spark, d)))
+    return E.served_members(s.select("id", "grp"), E.served_stations(s, _combos(spark, d), V.routes(spark, d), _own_nodes(spark, d)))
 
 
 @query("""WITH given AS (SELECT n_nationkey::BIGINT AS grp, CASE WHEN n_nationkey % 4 = 0 THEN NULL WHEN n_nationkey % 4 = 1 THEN '' ELSE n_name END AS name, n_nationkey % 3 = 0 AS placed,
@@ -207,16 +213,17 @@ def vertex_keys(spark, d):
     return V.points(spark, d).select("id", S.vertex_key(F.col("x"), F.col("y")).alias("key"))
 
 
-@query("""SELECT p_partkey, p_name AS name, (p_size % 20)::DOUBLE AS dx, (p_size / 4e0) AS dy, p_size::VARCHAR AS width FROM part""")
+@query("""SELECT p_partkey, p_name AS name, p_retailprice * 1000e0 / 7e0 AS dx, CASE WHEN p_size % 3 = 0 THEN 0 ELSE p_size / -4e0 END AS dy, p_size::VARCHAR AS width FROM part""")
 def parsed_elements(spark, d):
     p = V.table(spark, d, "part")
-    tag = F.concat(F.lit('<g name="old" data-name="'), F.col("p_name"), F.lit('" width="'), F.col("p_size"), F.lit('" transform="translate( '), F.col("p_size") % 20, F.lit(" "), (F.col("p_size") / 4.0).cast("string"), F.lit(')">'))
+    shift = F.concat((F.col("p_retailprice") * 1000.0 / 7.0).cast("string"), F.when(F.col("p_size") % 3 == 0, "").otherwise(F.concat(F.lit(", "), (F.col("p_size") / -4.0).cast("string"))))
+    tag = F.concat(F.lit("<g name=\"old\" data-name = '"), F.col("p_name"), F.lit("' width=\""), F.col("p_size"), F.lit('" transform="rotate(4) translate( '), shift, F.lit(' )">'))
     a = p.select("p_partkey", S.attributes(tag).alias("a"))
     at = S.translation(F.col("a")["transform"])
     return a.select("p_partkey", F.col("a")["data-name"].alias("name"), at[0].alias("dx"), at[1].alias("dy"), F.col("a")["width"].alias("width"))
 
 
-@query("""SELECT p_partkey, '{"map":[["brand","' || p_brand || '"],["type","' || p_type || '"]]}' AS text, p_type AS type FROM part""")
+@query("""SELECT p_partkey, '{"map":[["type","' || p_type || '"],["brand","' || p_brand || '"]]}' AS text, p_type AS type FROM part""")
 def maps_as_json(spark, d):
     p = V.table(spark, d, "part")
     text = p.select("p_partkey", S.map_json(F.create_map(F.lit("type"), F.col("p_type"), F.lit("brand"), F.col("p_brand"))).alias("text"))

@@ -248,12 +248,28 @@ def chain_arcs(spark, d):
     return G.chain_arcs(V.polylines(spark, d).withColumnRenamed("x", "arc"), 5.0).select("line", "seq", r6("spread"))
 
 
-@query()
+def _clip_sql(x0: float, y0: float, x1: float, y1: float) -> str:
+    """The four half-planes in turn: kept points, and where a side crosses the bound the crossing."""
+    steps, last = [], "polyline"
+    for k, (a, b, bound, sign) in enumerate((("x", "y", x0, ">="), ("x", "y", x1, "<="), ("y", "x", y0, ">="), ("y", "x", y1, "<="))):
+        steps.append(f"""p{k} AS (SELECT *, {a} {sign} {bound!r}::DOUBLE AS here, pa {sign} {bound!r}::DOUBLE AS there FROM (SELECT *, coalesce(lag({a}) OVER w, last_value({a}) OVER a_) AS pa,
+ coalesce(lag({b}) OVER w, last_value({b}) OVER a_) AS pb FROM {last} WINDOW w AS (PARTITION BY line ORDER BY seq), a_ AS (PARTITION BY line ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)))""")
+        steps.append(f"""c{k} AS (SELECT line, row_number() OVER (PARTITION BY line ORDER BY seq, k) AS seq, x, y FROM (SELECT line, seq, 1 AS k, x, y FROM p{k} WHERE here
+ UNION ALL SELECT line, seq, 0, {', '.join(f"{bound!r}::DOUBLE" if c == a else f"pb + ({bound!r}::DOUBLE - pa) / ({a} - pa) * ({b} - pb)" for c in "xy")} FROM p{k} WHERE here <> there))""")
+        last = f"c{k}"
+    return ", ".join(steps)
+
+
+@query("WITH " + _clip_sql(100.0, 50.0, 500.0, 200.0) + " SELECT line, seq, round(x, 6) AS x, round(y, 6) AS y FROM c3 WHERE line IN (SELECT line FROM c3 GROUP BY line HAVING count(*) >= 3)", "polyline")
 def clipped_rings(spark, d):
     return G.clip(V.polylines(spark, d), 100.0, 50.0, 500.0, 200.0).select("line", "seq", r6("x"), r6("y"))
 
 
-@query()
+@query("WITH " + SEG + """, nv AS (SELECT line, seq, CASE WHEN length > 0 THEN -(y2-y)/length ELSE 0 END AS nx, CASE WHEN length > 0 THEN (x2-x)/length ELSE 0 END AS ny FROM seg),
+q AS (SELECT p.line, p.seq, p.x, p.y, nx, ny, lag(nx) OVER w AS mx, lag(ny) OVER w AS my FROM polyline p LEFT JOIN nv USING (line, seq) WINDOW w AS (PARTITION BY line ORDER BY seq)),
+s AS (SELECT *, coalesce(mx, nx, 0) AS ax, coalesce(my, ny, 0) AS ay, coalesce(mx, nx, 0) + coalesce(nx, mx, 0) AS sx, coalesce(my, ny, 0) + coalesce(ny, my, 0) AS sy FROM q),
+u AS (SELECT *, CASE WHEN sqrt(sx*sx+sy*sy) > 0 THEN sx/sqrt(sx*sx+sy*sy) ELSE ax END AS ux, CASE WHEN sqrt(sx*sx+sy*sy) > 0 THEN sy/sqrt(sx*sx+sy*sy) ELSE ay END AS uy FROM s)
+SELECT line, seq, round(x + ux*3e0/greatest(0.5e0, ux*ax+uy*ay), 6) AS x, round(y + uy*3e0/greatest(0.5e0, ux*ax+uy*ay), 6) AS y FROM u""", "polyline")
 def offset_polylines(spark, d):
     return G.offset_points(V.polylines(spark, d), 3.0).select("line", "seq", r6("x"), r6("y"))
 
@@ -417,15 +433,16 @@ LAYERS = ("water", "parks", "landuse", "natural", "landcover", "park", "ocean_fo
 
 
 @query(f"""WITH layer AS (SELECT DISTINCT p_partkey % 97 AS source, (ARRAY{list(LAYERS)!r})[p_size % 11 + 1] AS name FROM part),
-sig(rank, schema, water, need) AS (VALUES (1, 'own', ['water','ocean_foundations'], ['parks','ocean_foundations']), (2, 'protomaps', ['water'], ['natural']),
- (3, 'openmaptiles', ['water'], ['landcover','park']), (4, 'mapbox', ['water'], ['landuse','landcover'])),
-m AS (SELECT source, rank, schema, list_sort(list(DISTINCT name) FILTER (WHERE list_contains(water, name) OR list_contains(need, name))) AS layers
+sig(rank, schema, water, need, asked) AS (VALUES (1, 'own', ['water','ocean_foundations'], ['parks','ocean_foundations'], ['water','ocean_foundations','parks','landuse']),
+ (2, 'protomaps', ['water'], ['natural'], ['water','natural','landuse']), (3, 'openmaptiles', ['water'], ['landcover','park'], ['water','landcover','park','landuse']),
+ (4, 'mapbox', ['water'], ['landuse','landcover'], ['water','landuse','landcover'])),
+m AS (SELECT source, rank, schema, list_filter(any_value(asked), lambda a: list_contains(list(name), a)) AS layers
  FROM layer, sig GROUP BY ALL HAVING bool_or(list_contains(water, name)) AND bool_or(list_contains(need, name)))
 SELECT source, arg_min(schema, rank) AS schema, array_to_string(arg_min(layers, rank), ',') AS layers FROM m GROUP BY source""")
 def schema_probe(spark, d):
     names = F.array(*[F.lit(x) for x in LAYERS])
     layers = V.table(spark, d, "part").select((F.col("p_partkey") % 97).alias("source"), F.get(names, F.col("p_size") % 11).alias("name"))
-    own = (("own", ("water", "ocean_foundations"), ("parks", "ocean_foundations")),)
+    own = (("own", ("water", "ocean_foundations"), ("parks", "ocean_foundations"), ("parks", "landuse")),)
     return N.probe(layers.distinct(), own).withColumn("layers", F.array_join("layers", ","))
 
 
@@ -444,4 +461,4 @@ def harvest_bounds(spark, d):
 @query("""SELECT o_orderpriority AS k, list_sort(list(o_totalprice))[count(*)//2 + 1] AS upper_median, median(o_totalprice) AS median FROM orders GROUP BY 1""")
 def medians(spark, d):
     o = V.table(spark, d, "orders").select(F.col("o_orderpriority").alias("k"), F.col("o_totalprice").alias("p"))
-    return o.groupBy("k").agg(E.upper_median("p").alias("upper_median"), F.percentile("p", 0.5).alias("median"))
+    return E.middle_values(o, "k", "p")
