@@ -335,15 +335,40 @@ def test_license_rules(spark, docs, empty):
         'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\n'
         "You may obtain a copy of the License at\n"
     )
-    bsd2 = [s for s, i in licenses.SENTENCES.items() if i in ("BSDHead", "BSDSource", "BSDBinary")]
-    names = next(s for s, i in licenses.SENTENCES.items() if i == "BSDNames")
-    rows = [(1, "Some words.\nReleased under the MIT License.\nMore."), (2, header), (3, ".\n".join(bsd2) + ". "), (4, ".\n".join([*bsd2, names])), (5, None), (6, ""), (7, "MIT License is a license")]
+    bsd = {i: s.format("the University of Somewhere") for s, i in licenses.SENTENCES.items() if i.startswith("BSD")}
+    two = [bsd[k] for k in ("BSDHead", "BSDSource", "BSDBinary")]
+    numbered = [bsd["BSDHead"], *[f"({k}) {bsd[i]}" for k, i in enumerate(("BSDSource", "BSDBinary", "BSDNames"), 1)], bsd["BSDAsIs"]]
+    rows = [
+        (1, "Some words.\nReleased under the MIT License.\nMore."), (2, header), (3, ".\n".join(two) + ". "), (4, ".\n".join([*two, bsd["BSDNames"]])), (5, None), (6, ""),
+        (7, "MIT License is a license"), (8, ";\n".join(numbered)), (9, "Foo is released under the MIT License."), (10, "// SPDX-License-Identifier: MIT"),
+        (11, "This project is licensed under the MIT License - see the LICENSE file for details."), (12, "Licensed under the Apache License, Version 2.0 or the MIT license"),
+        (13, "This code is licensed under CC BY-SA 4.0."), (14, "SPDX-License-Identifier: GPL-2.0-or-later */"),
+        (15, "To the extent possible under law, A. Person has waived all copyright and related or neighboring rights to this work."),
+        (16, "Neither the name of " + "very " * 40 + "nor the names of its contributors may be used"),
+    ]
     got = licenses.scan(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, rule int")).collect()
     found = sorted((r.doc_id, r.rule) for r in got)
-    assert found == [(1, "mit-notice"), (2, "apache-2.0-short-header"), (3, "bsd-2-clause"), (4, "bsd-3-clause")]
+    assert found == [
+        (1, "mit-notice"), (2, "apache-2.0-short-header"), (3, "bsd-2-clause"), (4, "bsd-3-clause"), (8, "bsd-3-clause-text"), (9, "mit-notice"), (10, "spdx-mit"), (11, "mit-notice"),
+        (12, "apache-2.0-notice"), (12, "mit-notice"), (13, "cc-by-sa-4.0-notice"), (14, "spdx-gpl-2.0-or-later"), (15, "cc0-1.0-waiver"),
+    ]
+    assert {(r.first_word, r.n_words) for r in got if r.doc_id in (1, 9)} == {(2, 5)}
     assert licenses.scan(docs).count() == 0 and licenses.scan(empty).count() == 0
 
 
+def test_places_of_many_sentences(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "BLOCK", 4)
+    gen = np.random.default_rng(1)
+    want, parts, at = [], [], 0
+    for i in range(40):
+        filler = ["word"] * int(gen.integers(0, 5))
+        parts += [*filler, "released under the MIT license." if i % 3 else "Licensed under CC BY 4.0\n"]
+        want.append((at + len(filler), 5 if i % 3 else 6))
+        at += len(filler) + want[-1][1]
+    got = licenses.scan(spark.createDataFrame([(1, " ".join(parts))], "doc_id long, text string")).collect()
+    assert sorted((r.first_word, r.n_words) for r in got) == want
+
+
 GPL = """This program is free software{mark} you can redistribute it and/or modify it under the terms of the {name}General Public License as published by the Free Software Foundation{comma} either version {v} of the License, or (at your option) any later version.
 
 This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name}General Public License for more details."""
@@ -380,12 +405,12 @@ Anyone is free to copy, modify, publish, use, compile, sell, or distribute this
 def test_licenses_are_found_however_they_are_wrapped(spark):
     rows = []
     for rule, whole in VERBATIM.items():
-        for width, lead in ((10_000, ""), (78, ""), (70, " * "), (60, "# "), (48, "// ")):
-            lines = [line for part in whole.split("\n\n") for line in [*textwrap.wrap(part, width), ""]]
+        for width, lead in ((10_000, ""), (78, ""), (70, " * "), (60, "# "), (16, "// "), (1, "")):
+            lines = [line for part in whole.split("\n\n") for line in [*textwrap.wrap(part, width, break_long_words=False), ""]]
             rows.append((rule, "Some words of a file\n" + "\n".join(lead + line for line in lines) + "\nint main()"))
     got = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
     assert {r.rule for r in got if r.doc_id != r.rule} == set()
-    assert collections.Counter(r.doc_id for r in got) == dict.fromkeys(VERBATIM, 5)
+    assert collections.Counter(r.doc_id for r in got) == dict.fromkeys(VERBATIM, 6)
 
 
 # --- op10 ---
