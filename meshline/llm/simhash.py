@@ -237,14 +237,14 @@ def band_fingerprints(hashes: np.ndarray, bands: int = BANDS, least: int = LEAST
     return out
 
 
-#: Documents whose shingles are counted, shingles kept of them, and rows of a shingle and size that meet in one task.
-SAMPLE_DOCS, FREQUENT, TOGETHER = 8_000, 200_000, 1_000
+#: One in so many documents has its shingles counted, shingles kept of them, and rows of a shingle and size that meet in one task.
+SAMPLE, FREQUENT, TOGETHER = 6, 200_000, 1_000
 
 
 def frequent_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes (ascending) that a bounded sample of documents holds more than once, and their counts in it.
+    """Shingle hashes (ascending) that one in ``SAMPLE`` documents holds more than once, and their counts in it: the most frequent ones.
 
-    They decide only which shingles count as rare, so how much work the search does, never its result.
+    The share is the same at every size, so a shingle's crowd is known from the same number of rows on. They decide only which shingles count as rare, so how much work the search does, never its result.
     """
 
     def hashes(batches):
@@ -253,8 +253,7 @@ def frequent_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.nda
                 each = [np.unique(shingle_hashes(t or "", shingle)) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(each).view(np.int64))], names=["h"])
 
-    every = max(1, docs.count() // SAMPLE_DOCS)
-    counts = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).mapInArrow(hashes, "h long").groupBy("h").count()
+    counts = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(hashes, "h long").groupBy("h").count()
     rows = counts.filter("count > 1").orderBy(F.desc("count"), "h").limit(FREQUENT).toPandas()
     h, n = rows["h"].to_numpy(np.int64).view(np.uint64), rows["count"].to_numpy(np.int64)
     order = np.argsort(h)
