@@ -1,12 +1,14 @@
 """Cases that lost rows or links once, and stages of the pipeline against brute force, word by word."""
 
 import collections
+import re
+import zlib
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from meshline.llm import decontaminate, language, simhash, suffixes
+from meshline.llm import decontaminate, language, quality, simhash, suffixes
 
 rng = np.random.default_rng(7)
 WORDS = ["".join(rng.choice(list("abcdefghijklmnoprstu"), rng.integers(2, 9))) for _ in range(4000)]
@@ -118,3 +120,75 @@ def test_mixtures_by_hand():
                 break
             best, value = theta, v
         assert np.allclose(got, best, atol=1e-3)
+
+
+def words_of(t):
+    return re.findall("[^ \t\n\v\f\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+
+def alike(a, b):
+    """Weighted Jaccard similarity of the five-word shingles of two lists of words."""
+    x, y = (collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (a, b))
+    both = sum((x & y).values())
+    return both / max(1, sum(x.values()) + sum(y.values()) - both)
+
+
+def test_benchmark_stage_over_all_windows(spark):
+    """Every window of an item's length in every document (cut off at its ends), whether or not anything lines up."""
+    items = [(i, text(700 + i, n)) for i, n in enumerate((60, 45, 90, 30, 8, 5))] + [(6, text(1, 3)), (7, None), (8, "again again " * 30)]
+
+    def edited(words, kind, at):
+        w = list(words)
+        if kind == "change":
+            w[at] = "changed"
+        elif kind == "insert":
+            w.insert(at, "inserted")
+        elif kind == "delete":
+            del w[at]
+        elif kind == "swap":
+            w[at], w[at + 1] = w[at + 1], w[at]
+        return w
+
+    rows, doc = [], 0
+    for i, t in items[:6]:
+        w = t.split()
+        for kind in ("same", "change", "insert", "delete", "swap"):
+            for at in (1, len(w) // 2, len(w) - 2):
+                rows.append((doc, " ".join([text(800 + doc, 25), *edited(w, kind, at), text(900 + doc, 20)]).upper() if doc % 3 == 0 else " ".join([*edited(w, kind, at), text(900 + doc, 9)])))
+                doc += 1
+    rows += [(doc, text(5, 120)), (doc + 1, None), (doc + 2, ""), (doc + 3, "again " * 59), (doc + 4, text(700, 30)), (doc + 5, text(1, 3))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = set()
+    for d, t in rows:
+        w = words_of(t)
+        for _, item in items:
+            v = words_of(item)
+            if len(v) >= 5 and any(alike(w[max(0, i) : i + len(v)], v) >= 0.8 for i in range(1 - len(v), len(w))):
+                want.add(d)
+    docs = table(spark, rows)
+    kept = {r.doc_id for r in decontaminate.clean(docs, bench).collect()}
+    assert {d for d, _ in rows} - kept == want and 18 < len(want) < doc
+
+
+def test_quality_query_by_hand(spark):
+    """Every document against every labelled vector, sorted, and the nearest ones' labels weighted."""
+    data = "/root/testdata/sf0.001"
+    got = {r.doc_id: r for r in quality.op6_quality_knn(spark, data).collect()}
+    rows = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{data}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    fitted = sorted(d for d in labels if d in rows)  # fewer than PER_CLASS, so all of them
+    model = quality.fit(spark.read.parquet(f"{data}/documents.parquet"), spark.createDataFrame(list(labels.items()), "doc_id long, quality int"))
+    assert len(model.vectors) == len(fitted) and [int(v) for v in model.y] == [labels[d] for d in fitted]
+
+    def vector(t):
+        v = (quality.features([t])[0] * model.idf) @ model.axes
+        return v / max(float(np.sqrt((v * v).sum())), 1e-9)
+
+    known = [(vector(rows[d]), labels[d]) for d in fitted]
+    for d, t in rows.items():
+        own = vector(t)
+        near = sorted(((float(own @ v), y) for v, y in known), key=lambda x: -x[0])[: quality.NEIGHBOURS]
+        weight = [max(c, 1e-6) ** 8 for c, _ in near]
+        score = sum(w * y for w, (_, y) in zip(weight, near, strict=True)) / sum(weight)
+        assert abs(got[d].score - score) < 0.02 and got[d].predicted == int(got[d].score >= 0.3)
+        assert got[d].held_out == (zlib.crc32(str(d).encode()) % 5 == 0)
