@@ -324,12 +324,10 @@ def _rows(df: DataFrame) -> tuple[DataFrame, str]:
     return materialize(df.withColumn(row, F.monotonically_increasing_id())), row
 
 
-def removals(df: DataFrame, span: int = SPAN, gram: int = GRAM, words: int = PASSAGE_WORDS, word_gram: int = PASSAGE_GRAM) -> DataFrame:
-    """Per row of ``df(doc_id, text)``: ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``spans`` (byte
-    intervals), ``n_passages`` and ``passages`` (intervals of characters).
+def removals(df: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+    """Per row of ``df(doc_id, text)``: ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and ``spans`` (byte intervals).
 
-    Every byte is removed that lies in a ``span``-byte string which starts anywhere else too. Beside these, passages
-    are reported and not removed: runs of ``words`` words or more that occur again, of whatever length in bytes. Null texts
+    Every byte is removed that lies in a ``span``-byte string which starts anywhere else too. Null texts
     are empty; texts under ``span`` bytes lose nothing. Very long texts are read in whole, a batch holding one at
     least. Repeated rows are copies of each other and come back each; null ids are kept; further columns, whatever
     their names, are ignored; an empty table gives an empty result.
@@ -340,32 +338,41 @@ def removals(df: DataFrame, span: int = SPAN, gram: int = GRAM, words: int = PAS
         for batch in batches:
             for part in slices(batch):
                 rows = []
-                for doc, text, found, passed in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "found", "passed")), strict=True):
+                for doc, text, found in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "found")), strict=True):
                     raw, gone, at, kept = text.encode("utf-8", "surrogatepass"), _merged(found), 0, hashlib.sha256()
-                    told = _word_places(text, _merged(passed))
                     for a, b in gone:
                         kept.update(raw[at:a])
                         at = b
                     kept.update(raw[at:])
-                    lists = [[{"a": a, "b": b} for a, b in x] for x in (gone, told)]
-                    rows.append((doc, len(raw), sum(b - a for a, b in gone), len(gone), kept.hexdigest(), lists[0], len(told), lists[1]))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), interval, pa.int64(), interval]
+                    rows.append((doc, len(raw), sum(b - a for a, b in gone), len(gone), kept.hexdigest(), [{"a": a, "b": b} for a, b in gone]))
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), interval]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
-                    names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "n_passages", "passages"],
+                    names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"],
                 )
 
     docs, row = _rows(df.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")))
-    keyed = docs.select(F.col(row).alias("key"), "text")
-    found = materialize(repeats(keyed, span, gram))
-    passed = materialize(repeats(keyed, words, word_gram, as_words)).select(F.col("key").alias("_p"), F.col("found").alias("passed"))
-    both = found.join(passed, F.col("key") == F.col("_p"), "full").select(F.coalesce("key", "_p").alias("key"), "found", "passed")
-    return docs.join(both, F.col(row) == F.col("key"), "left").select("doc_id", "text", "found", "passed").mapInArrow(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a:long,b:long>>, "
-        "n_passages long, passages array<struct<a:long,b:long>>"
+    found = materialize(repeats(docs.select(F.col(row).alias("key"), "text"), span, gram))
+    return docs.join(found, F.col(row) == F.col("key"), "left").select("doc_id", "text", "found").mapInArrow(
+        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a:long,b:long>>"
     )
 
 
+def passages(df: DataFrame, words: int = PASSAGE_WORDS, gram: int = PASSAGE_GRAM) -> DataFrame:
+    """``doc_id`` and ``passages`` of each row that has some: intervals of words, counted from 0, that lie in runs of
+    ``words`` words or more which occur again, of whatever length in bytes. Rows and texts are taken as ``removals`` does."""
+    docs, row = _rows(df.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")))
+    found = repeats(docs.select(F.col(row).alias("key"), "text"), words, gram, as_words)
+    kind = "array<struct<a:int,b:int>>"
+
+    @F.pandas_udf(kind)
+    def joined(lists: pd.Series) -> pd.Series:
+        return pd.Series([[{"a": a, "b": b} for a, b in _merged(list(x))] for x in lists])
+
+    named = docs.select(F.col(row).alias("key"), "doc_id")
+    return found.join(named, "key").select("doc_id", joined("found").alias("passages"))
+
+
 def remove(df: DataFrame, words: int = PASSAGE_WORDS, gram: int = PASSAGE_GRAM) -> DataFrame:
     """The rows of ``df`` with repeated passages taken out of ``text``; all columns kept, in their order.
 

@@ -44,7 +44,7 @@ def test_passages_of_fifty_words_go_and_shorter_ones_stay(spark, longest, monkey
     got = {r.doc_id: r for r in corpus_pipeline.no_repeats(spark, docs, "").collect()}
     split = {doc: (t or "").split() for doc, t in rows}
     grams = collections.Counter(tuple(w[i : i + 50]) for w in split.values() for i in range(len(w) - 49))
-    told = {r.doc_id: r.n_passages for r in suffixes.removals(docs).collect()}
+    told = collections.Counter({r.doc_id: len(r.passages) for r in suffixes.passages(docs).collect()})
     for doc, t in rows:
         w, keep = split[doc], np.ones(len(split[doc]), bool)
         for i in range(len(w) - 49):
