@@ -65,6 +65,16 @@ def turn_steps(a: Column, b: Column) -> Column:
     return F.least(d, F.lit(8) - d)
 
 
+#: Weights of bends by steps between a node's two ports (4: straight on), and what keeps a sharp turn from
+#: being cheaper as several gentle ones.
+BENDS, NO_SHORTCUT = (float("inf"), 0.95, 0.6, 0.05, 0.0), 0.95 - 0.05
+
+
+def bend_weight(steps: Column) -> Column:
+    """Cost of a bend by ``turn_steps`` of its ports; ports of one direction can't be joined."""
+    return F.get(F.array(*[F.lit(b + NO_SHORTCUT) for b in BENDS]), F.least(steps, F.lit(len(BENDS) - 1)).cast("int"))
+
+
 def off_grid_degrees(dx: Column, dy: Column) -> Column:
     """Angle from the nearest multiple of 45 degrees, quantised to a millionth of a degree."""
     deg = F.floor(F.degrees(F.atan2(dy, dx)) * 1e6 + 0.5) / 1e6

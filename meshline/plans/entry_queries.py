@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meshline.functions import scalars as S
-from meshline.operators import entry as E, network as N
+from meshline.operators import entry as E, geometry as G, network as N
 from meshline.plans.queries import query, r6
 from meshline.sources import network as V
 
@@ -267,3 +267,20 @@ def network_scorecard(spark, d):
     steps = li.select((F.col("l_linenumber") - 4).alias("dx"), (F.col("l_quantity").cast("long") % 7 - 3).alias("dy"))
     out = E.scorecard(li.select("l_suppkey", "l_partkey").distinct(), li.select("l_suppkey", (F.col("l_partkey") % 10).alias("p")).distinct(), steps)
     return out.select(F.round("edges_saved", 9).alias("edges_saved"), F.round("octilinear", 9).alias("octilinear"), "steps")
+
+
+@query("""SELECT event_id, s AS steps, CASE WHEN s = 0 THEN -1 ELSE [0.95e0, 0.6e0, 0.05e0, 0e0][s] + (0.95e0 - 0.05e0) END AS bend, round(w * w * (3e0 - w * 2e0), 9) AS smooth
+FROM (SELECT event_id, least(abs(event_id % 8 - user_id % 8), 8 - abs(event_id % 8 - user_id % 8)) AS s, greatest(0e0, least(1e0, (value - 50e0) / 300e0)) AS w FROM events)""")
+def turns_and_blends(spark, d):
+    e = V.table(spark, d, "events")
+    steps = S.turn_steps(F.col("event_id") % 8, F.col("user_id") % 8)
+    bend = F.when(steps == 0, F.lit(-1.0)).otherwise(S.bend_weight(steps))  # there is no such bend
+    return e.select("event_id", steps.alias("steps"), bend.alias("bend"), F.round(S.smoothstep((F.col("value") - 50.0) / 300.0), 9).alias("smooth"))
+
+
+@query("""SELECT line, seq, x, y FROM (SELECT *, lag({'x': x, 'y': y}) OVER (PARTITION BY line ORDER BY seq) AS p FROM (SELECT line, seq, floor(x / 24e0) AS x, floor(y / 200e0) AS y FROM polyline))
+WHERE p IS NULL OR p <> {'x': x, 'y': y}""", "polyline")
+def points_without_repeats(spark, d):
+    """Points on a coarse lattice, where many follow an equal one."""
+    p = V.polylines(spark, d).select("line", "seq", F.floor(F.col("x") / 24.0).cast("double").alias("x"), F.floor(F.col("y") / 200.0).cast("double").alias("y"))
+    return G.without_repeats(p)

@@ -274,7 +274,12 @@ def offset_polylines(spark, d):
     return G.offset_points(V.polylines(spark, d), 3.0).select("line", "seq", r6("x"), r6("y"))
 
 
-@query()
+@query("""WITH RECURSIVE n AS (SELECT line, seq, x, y, row_number() OVER (PARTITION BY line ORDER BY seq) AS i FROM polyline),
+cut(line, a, b) AS (SELECT line, 1::BIGINT, max(i) FROM n GROUP BY line UNION ALL SELECT line, unnest([a, m]), unnest([m, b]) FROM (
+ SELECT line, a, b, arg_max(i, {'d': d, 'first': -i}) AS m, max(d) AS far FROM (SELECT c.line, c.a, c.b, p.i, CASE WHEN sqrt((e.x-s.x)*(e.x-s.x)+(e.y-s.y)*(e.y-s.y)) > 0
+ THEN abs((e.x-s.x)*(p.y-s.y)-(e.y-s.y)*(p.x-s.x))/sqrt((e.x-s.x)*(e.x-s.x)+(e.y-s.y)*(e.y-s.y)) ELSE sqrt((p.x-s.x)*(p.x-s.x)+(p.y-s.y)*(p.y-s.y)) END AS d
+ FROM cut c JOIN n s ON s.line = c.line AND s.i = c.a JOIN n e ON e.line = c.line AND e.i = c.b JOIN n p ON p.line = c.line AND p.i > c.a AND p.i < c.b) GROUP BY line, a, b) WHERE far > 20)
+SELECT DISTINCT n.line, n.seq, n.x, n.y FROM (SELECT line, unnest([a, b]) AS i FROM cut) JOIN n USING (line, i)""", "polyline")
 def simplified_polylines(spark, d):
     return G.simplify(V.polylines(spark, d), 20.0)
 
