@@ -9,6 +9,7 @@ import meshline.plans.cache_queries  # noqa: F401  (registers)
 import meshline.plans.entry_queries  # noqa: F401  (registers)
 import meshline.plans.label_queries  # noqa: F401  (registers)
 import meshline.plans.layout_queries  # noqa: F401  (registers)
+import meshline.plans.nearby_queries  # noqa: F401  (registers)
 import meshline.plans.path_queries  # noqa: F401  (registers)
 import meshline.plans.scene_queries  # noqa: F401  (registers)
 import meshline.plans.shape_queries  # noqa: F401  (registers)
