@@ -244,7 +244,8 @@ SAMPLE, FREQUENT, TOGETHER = 6, 200_000, 1_000
 def frequent_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes (ascending) that one in ``SAMPLE`` documents holds more than once, and their counts in it: the most frequent ones.
 
-    The share is the same at every size, so a shingle's crowd is known from the same number of rows on. They decide only which shingles count as rare, so how much work the search does, never its result.
+    The share is the same at every size, so a shingle's crowd is known from the same number of rows on. They decide only
+    which shingles count as rare, so how much work the search does, never its result.
     """
 
     def hashes(batches):
@@ -254,7 +255,18 @@ def frequent_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.nda
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(each).view(np.int64))], names=["h"])
 
     counts = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(hashes, "h long").groupBy("h").count()
-    rows = counts.filter("count > 1").orderBy(F.desc("count"), "h").limit(FREQUENT).toPandas()
+    counts = materialize(counts.filter("count > 1"))
+    # how many shingles have each count tells which ones are kept, so that no more than these come to the driver; of the
+    # last count a share of them by hash
+    tiers = counts.groupBy("count").agg(F.count("*").alias("n")).orderBy(F.desc("count")).limit(FREQUENT).collect()
+    least, share, left = tiers[-1]["count"] if tiers else 0, 1.0, FREQUENT
+    for tier in tiers:
+        if tier["n"] > left:
+            least, share = tier["count"], left / tier["n"]
+            break
+        left -= tier["n"]
+    wanted = (F.col("count") > least) | ((F.col("count") == least) & (F.pmod("h", F.lit(1_000_000)) < share * 1_000_000))
+    rows = counts.filter(wanted).toPandas()
     h, n = rows["h"].to_numpy(np.int64).view(np.uint64), rows["count"].to_numpy(np.int64)
     order = np.argsort(h)
     return h[order], n[order]
