@@ -16,7 +16,7 @@ from meshline.sources.stored import stored
 #: The digest's start, factor and modulus, and the version of the fingerprint's layout.
 START, FACTOR, MASK, VERSION = 5381, 33, (1 << 32) - 1, 6
 #: 33 is 1 + 2**5, so its powers modulo 2**32 repeat after 2**27.
-PERIOD_BITS = 27
+PERIOD_BITS, DIGIT = 27, 9
 
 
 def _times(a: Column, b: Column) -> Column:
@@ -26,10 +26,13 @@ def _times(a: Column, b: Column) -> Column:
 
 
 def _power(n: Column) -> Column:
-    """33 to the ``n``, modulo 2**32, by the bits of ``n``."""
-    squares = F.array(*[F.lit(pow(FACTOR, 1 << k, 1 << 32)) for k in range(PERIOD_BITS)])
-    bit = lambda k: F.call_function("shiftright", n, k).bitwiseAND(1) == 1
-    return F.aggregate(F.sequence(F.lit(0), F.lit(PERIOD_BITS - 1)), F.lit(1).cast("long"), lambda acc, k: F.when(bit(k), _times(acc, F.get(squares, k))).otherwise(acc))
+    """33 to the ``n``, modulo 2**32, by three digits of ``DIGIT`` bits of ``n``, whose powers are listed."""
+    out = None
+    for low in range(0, PERIOD_BITS, DIGIT):
+        listed = F.expr(f"array({', '.join(f'{pow(FACTOR, k << low, 1 << 32)}L' for k in range(1 << DIGIT))})")
+        own = F.get(listed, F.shiftright(n, low).bitwiseAND((1 << DIGIT) - 1).cast("int"))
+        out = own if out is None else _times(out, own)
+    return out
 
 
 def _value(text: Column) -> Column:
@@ -59,7 +62,9 @@ def joined_digests(texts: DataFrame, separator: str, rows_per_range: int = 1_000
 
     def shifted(df: DataFrame, w: Window) -> DataFrame:
         """Values moved up by what comes behind them in the window."""
-        behind = F.coalesce(F.sum(F.col("length") + gap).over(w.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+        # the whole less what lies up to the row: a sum over what follows would be made anew for each row
+        size = F.sum(F.col("length") + gap)
+        behind = size.over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) - size.over(w.rowsBetween(Window.unboundedPreceding, 0))
         return df.withColumn("behind", behind).withColumn("value", _times(_power(F.col("behind")), F.col("value")))
 
     # each piece but a key's last is followed by the separator, whose own value stands below it
