@@ -66,7 +66,7 @@ def coincident_runs(paths: DataFrame, nodes: DataFrame, step: float) -> DataFram
     Rows: ``net``, ``edge``, ``run``, ``pos``, ``a``, ``b``, ``low``, ``high``, ``owners``. All owners of one segment
     come together; there are as many as there are paths over one place.
     """
-    units = stored(unit_segments(lattice_split(paths, step)))
+    units = unit_segments(lattice_split(paths, step))
     owners = units.groupBy("net", "low", "high").agg(
         F.array_join(F.array_sort(F.collect_set("edge")), ",").alias("owners"), F.min(F.struct("edge", "pos")).alias("first")
     )
@@ -125,12 +125,16 @@ def remapped_traversals(steps: DataFrame, chains: DataFrame) -> DataFrame:
 # --- planar parts ---
 
 
+#: Fixed value: so many segments of a net are compared without cells.
+FEW = 256
+
+
 def crossings(paths: DataFrame, side: float, margin: float = 4.0) -> DataFrame:
     """Proper crossings of different edges of a net, over ``margin`` from all their ends, as two rows each: ``edge``,
     ``d`` along it, and the crossing's key and place.
 
-    Segments meet by square cells of ``side`` that their boxes touch; a pair is told in the first cell that both have.
-    ``side`` should be of the order of a segment's length, since a longer one is in many cells.
+    In a net of over ``FEW`` segments they meet by square cells of ``side`` that their boxes touch; a pair is told in the
+    first cell that both have. ``side`` should be of the order of a segment's length, since a longer one is in many cells.
     """
     w = Window.partitionBy("net", "edge").orderBy("seq")
     dx, dy = F.col("x2") - F.col("x"), F.col("y2") - F.col("y")
@@ -138,10 +142,12 @@ def crossings(paths: DataFrame, side: float, margin: float = 4.0) -> DataFrame:
     seg = seg.withColumn("to", F.sum("length").over(w)).withColumn("total", F.sum("length").over(Window.partitionBy("net", "edge")))
     for k, v in (("x", "i"), ("y", "j")):
         seg = seg.withColumn(f"{v}0", F.floor(F.least(k, f"{k}2") / side)).withColumn(f"{v}1", F.floor(F.greatest(k, f"{k}2") / side))
-    spread = stored(seg).withColumn("i", F.explode(F.sequence("i0", "i1"))).withColumn("j", F.explode(F.sequence("j0", "j1")))
+    seg = seg.withColumn("many", F.count("*").over(Window.partitionBy("net")) > FEW)
+    span = lambda c: F.explode(F.when(F.col("many"), F.sequence(f"{c}0", f"{c}1")).otherwise(F.array(F.lit(0).cast("long"))))
+    spread = seg.withColumn("i", span("i")).withColumn("j", span("j"))
     names = [c for c in spread.columns if c not in ("net", "i", "j")]
     a, b = (spread.select("net", "i", "j", *[F.col(c).alias(f"{s}_{c}") for c in names]) for s in "ab")
-    first = (F.col("i") == F.greatest("a_i0", "b_i0")) & (F.col("j") == F.greatest("a_j0", "b_j0"))
+    first = ~F.col("a_many") | ((F.col("i") == F.greatest("a_i0", "b_i0")) & (F.col("j") == F.greatest("a_j0", "b_j0")))
     met = a.join(b, ["net", "i", "j"]).filter("a_edge < b_edge").filter(first)
     rx, ry, sx, sy = (F.col(f"{s}_{k}2") - F.col(f"{s}_{k}") for s in "ab" for k in "xy")
     cross = rx * sy - ry * sx

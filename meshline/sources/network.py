@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from meshline.sources.stored import dealt
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,7 +23,8 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``route``, ``seq``, ``grp``, ``is_stop``: the items of an order as the ordered calls of a route."""
-    calls = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    li = table(spark, sf_dir, "lineitem")
+    calls = dealt(li.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")), li.count(), "l_orderkey")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     return calls.select(
         F.col("l_orderkey").alias("route"), F.row_number().over(order).cast("long").alias("seq"),
@@ -63,7 +66,8 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order's items in turn, each at a place of its own city (``net``, a customer)."""
-    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    li = table(spark, sf_dir, "lineitem")
+    li = dealt(li, li.count(), "l_orderkey").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     return li.select(
         F.col("o_custkey").alias("net"), F.col("l_orderkey").alias("route"), F.row_number().over(order).cast("long").alias("seq"),
@@ -71,10 +75,19 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _by_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items dealt by city: cities are many and small, and each step of path operators stays inside one.
+
+    Joins on a city and more keys then take both sides as they lie. The setting decides where rows meet, never a result.
+    """
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return dealt(_items(spark, sf_dir), table(spark, sf_dir, "lineitem").count(), "net", each=30_000)  # an item is some 15 vertices
+
+
 def grid_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``net``, ``route``, ``edge``, ``seq``, ``x``, ``y``, ``is_node``: from item to item of an order, along x and then y, on a grid of 16 pixels."""
-    w = Window.partitionBy("route").orderBy("seq")
-    i = _items(spark, sf_dir).withColumn("x", F.col("part") % 12 * 16.0).withColumn("y", F.col("supp") % 9 * 16.0)
+    w = Window.partitionBy("net", "route").orderBy("seq")  # an order is one city's
+    i = _by_net(spark, sf_dir).withColumn("x", F.col("part") % 12 * 16.0).withColumn("y", F.col("supp") % 9 * 16.0)
     i = i.withColumn("x2", F.lead("x").over(w)).withColumn("y2", F.lead("y").over(w)).filter("x2 IS NOT NULL")
     corner = lambda k, x, y: F.struct(F.lit(k).cast("long").alias("seq"), F.col(x).alias("x"), F.col(y).alias("y"))
     corners = F.explode(F.array(corner(0, "x", "y"), corner(1, "x2", "y"), corner(2, "x2", "y2")))
@@ -84,7 +97,7 @@ def grid_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def crossing_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``net``, ``edge``, ``seq``, ``x``, ``y``: an order's items as one polyline, straight from place to place."""
-    i = _items(spark, sf_dir)
+    i = _by_net(spark, sf_dir)
     return i.select("net", F.col("route").alias("edge"), "seq", (F.col("part") % 199 * 3.0).alias("x"), (F.col("supp") % 97 * 5.0).alias("y"))
 
 

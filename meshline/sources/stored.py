@@ -18,6 +18,15 @@ def folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def dealt(df: DataFrame, rows: int, *key: str, each: int = 100_000) -> DataFrame:
+    """``df`` dealt by ``key`` (without one in turn) to a task for ``each`` of the ``rows`` that it comes from.
+
+    Spark sizes tasks by bytes read, so few bytes that make much work come together in a few of them; these stay apart, and
+    what a task holds doesn't grow with the input. Windows, groups and joins whose keys contain ``key`` need no exchange more.
+    """
+    return df.repartition(max(1, -(-rows // each)), *key)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` in the shared folder and read it back."""
     spark = df.sparkSession

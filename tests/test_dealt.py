@@ -4,7 +4,8 @@ import re
 
 import pytest
 
-from meshline.operators import corridors as C, fingerprints as H, network as N, paths as P
+from meshline.operators import fingerprints as H, network as N, paths as P
+import meshline.plans.path_queries  # noqa: F401  (registers)
 from meshline.plans.queries import QUERIES
 from meshline.sources import network as V
 from meshline.sources.stored import dealt
@@ -37,3 +38,42 @@ def test_powers_of_long_texts(spark):
     n = [0, 1, 511, 512, 262143, 262144, 2**27 - 1, 2**27, 2**27 + 5]
     got = spark.createDataFrame([(x,) for x in n], "n long").select("n", H._power(H.F.col("n")).alias("p")).collect()
     assert {r.n: r.p for r in got} == {x: pow(33, x, 1 << 32) for x in n}
+
+
+def test_rows_are_dealt_by_their_number(spark):
+    df = spark.range(1000).withColumn("k", H.F.col("id") % 7)
+    assert dealt(df, 1000, "k", each=100).rdd.getNumPartitions() == 10
+    assert dealt(df, 0).rdd.getNumPartitions() == 1
+
+
+@pytest.fixture
+def three(monkeypatch):
+    """The small tables would be one task."""
+    monkeypatch.setattr(V, "dealt", lambda df, rows, *key, each=0: df.repartition(3, *key))
+
+
+def test_calls_of_a_route_stay_together(spark, three):
+    """Windows, edges and degrees work inside what calls are dealt by; one exchange, by number, and small sums after it."""
+    lines = N.edge_lines(N.steps(N.visits(V.stops(spark, DATA))))
+    assert "REPARTITION_BY_NUM" in plan(lines)
+    assert exchanges(lines) == ["l_orderkey, 3"]
+    assert sorted(exchanges(N.line_degrees(lines))) == ["l_orderkey, 3", "node, 4"]
+
+
+@pytest.mark.parametrize("name", ["slot_offsets", "canonical_offsets"])
+def test_lines_of_an_edge_are_no_one_window(spark, name):
+    assert "windowspecdefinition(u" not in re.sub(r"#\d+L?", "", plan(QUERIES[name](spark, DATA))).replace("windowspecdefinition(u, v, _range", "")
+
+
+@pytest.mark.parametrize("name", ["coincident_runs", "run_lines", "remapped_traversals", "planar_points", "planar_parts", "crossing_nodes"])
+def test_paths_stay_in_their_net(spark, three, name):
+    """Orders meet items by key, then all of it by net: vertices, pairs and parts are not dealt again."""
+    assert set(exchanges(QUERIES[name](spark, DATA))) <= {"l_orderkey, 3", "o_orderkey, 3", "net, 3"}
+
+
+def test_nets_with_many_segments_meet_by_cells(spark, monkeypatch):
+    paths = V.crossing_paths(spark, DATA)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    few = rows(P.crossing_nodes(P.crossings(paths, 64.0)))
+    monkeypatch.setattr(P, "FEW", 5)
+    assert rows(P.crossing_nodes(P.crossings(paths, 64.0))) == few
