@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meshline.operators.entry import ranked
+from meshline.sources.stored import dealt, stored
 
 EARTH = 6371000.0
 
@@ -122,22 +123,29 @@ def transfers(groups: DataFrame, edged: DataFrame | None = None, within: float =
 
 
 def slot_offsets(lines: DataFrame, spacing: float = 6.0) -> DataFrame:
-    """Lines of an edge side by side: (i - (n - 1) / 2) * spacing in order of the line."""
-    w = Window.partitionBy("u", "v")
-    slot = F.row_number().over(w.orderBy("route")) - 1
-    return lines.select("u", "v", "route", slot.cast("long").alias("slot"), ((slot - (F.count("*").over(w) - 1) / 2.0) * spacing).alias("offset"))
+    """Lines of an edge side by side: (i - (n - 1) / 2) * spacing in order of the line. No task holds an edge's lines."""
+    return _slots(stored(lines.select("u", "v", "route")), spacing).drop("n")
+
+
+def _slots(lines: DataFrame, spacing: float) -> DataFrame:
+    """``u``, ``v``, ``route``, ``slot``, ``offset``, and ``n``, the lines on the edge."""
+    sizes = lines.groupBy("u", "v").agg(F.count("*").alias("n"))
+    placed = ranked(lines, ["route"], "place", ["u", "v"]).join(sizes, ["u", "v"])
+    slot = F.col("place") - 1
+    return placed.select("u", "v", "route", slot.alias("slot"), ((slot - (F.col("n") - 1) / 2.0) * spacing).alias("offset"), "n")
 
 
 def canonical_offsets(lines: DataFrame, spacing: float = 6.0) -> DataFrame:
     """A line's offset on the edge with the longest bundle that it is on (smallest edge of equals)."""
-    slots = slot_offsets(lines, spacing).withColumn("n", F.count("*").over(Window.partitionBy("u", "v")))
+    lines = stored(lines.select("u", "v", "route"))
+    slots = dealt(_slots(lines, spacing), lines.count(), "route")
     best = slots.groupBy("route").agg(F.max(F.struct("n", (-F.col("u")).alias("mu"), (-F.col("v")).alias("mv"), "offset")).alias("b"))
     return best.select("route", (-F.col("b.mu")).alias("u"), (-F.col("b.mv")).alias("v"), F.col("b.offset").alias("offset"))
 
 
 def line_degrees(lines: DataFrame) -> DataFrame:
     """Lines on the edges at each node, and how many distinct ones."""
-    ends = lines.select(F.col("u").alias("node"), "route").unionByName(lines.select(F.col("v").alias("node"), "route"))
+    ends = lines.select(F.explode(F.array("u", "v")).alias("node"), "route")
     per = ends.groupBy("node", "route").agg(F.count("*").alias("k"))
     return per.groupBy("node").agg(F.sum("k").alias("degree"), F.count("*").alias("lines"))
 
@@ -172,9 +180,9 @@ def discontinuities(stepped: DataFrame) -> DataFrame:
 
 def crop(stepped: DataFrame, inside: DataFrame) -> DataFrame:
     """Steps with an end among ``inside(grp)``: the sub-network one hop around it."""
-    ends = stepped.join(inside.select(F.col("grp").alias("a")), "a", "left_semi")
-    more = stepped.join(inside.select(F.col("grp").alias("b")), "b", "left_semi")
-    return ends.unionByName(more).distinct()
+    near = lambda c: inside.select(F.col("grp").alias(c), F.lit(True).alias(f"_{c}")).distinct()
+    met = stepped.join(near("a"), "a", "left").join(near("b"), "b", "left").filter("_a OR _b")
+    return met.select(*stepped.columns).distinct()
 
 
 #: Public tile schemas in order of preference, the layers that mean water, those that tell the schema, and
