@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from meshline.sources.stored import dealt
+
 #: Fixed values, in degrees: ends this near are one place; and this near for the ends of a corridor drawn already.
 TIP, SAME_ENDS = 1e-5, 2e-4
 
@@ -26,14 +28,16 @@ def _follows(drawn: Column, seg: Column) -> Column:
     return F.when(F.size(drawn) < 2, True).otherwise(~both & ~back)
 
 
-def combo_courses(steps: DataFrame, tracks: DataFrame, *key: str) -> DataFrame:
+def combo_courses(steps: DataFrame, tracks: DataFrame, *key: str, rows: int | None = None) -> DataFrame:
     """``key``, ``course``: the points along the ``steps(key, pos, track, reversed)`` of each key, in order of ``pos``.
 
     ``tracks(track, grp, coords)``: a track of a station group is drawn where the group changes, one outside stations
-    unless it repeats what is drawn (``_follows``). Unknown tracks are left out. The points of one key are in one row.
+    unless it repeats what is drawn (``_follows``). Unknown tracks are left out. The points of one key are in one row. About how many
+    ``rows`` of steps there are, where it is known, tells how many tasks they are dealt to.
     """
     met = steps.join(tracks, "track").withColumn("course", _own_course(F.when(F.col("reversed"), F.reverse("coords")).otherwise(F.col("coords"))))
     met = met.filter(F.size("course") > 0)
+    met = met if rows is None else dealt(met, rows, *key)
     per = met.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "grp", "course"))).alias("segs"))
     kind = met.schema["course"].dataType.simpleString()
     none = F.array().cast(kind)

@@ -70,7 +70,7 @@ course AS (SELECT route, combo, list_reduce(list_prepend({{'pts': []::STRUCT(x D
 def courses(spark, d):
     combos = V.combos(spark, d)
     steps = combos.select("route", "combo", F.posexplode("path").alias("pos", "s")).select("route", "combo", "pos", "s.track", "s.reversed")
-    return combos, C.combo_courses(steps, V.tracks(spark, d), "route", "combo")
+    return combos, C.combo_courses(steps, V.tracks(spark, d), "route", "combo", rows=3 * V.table(spark, d, "lineitem").count())
 
 
 @query("WITH " + COURSE + " SELECT route, combo, i - 1 AS seq, pts[i].x AS x, pts[i].y AS y FROM (SELECT *, unnest(range(1, len(pts) + 1)) AS i FROM course)", "item", "combo")
