@@ -8,6 +8,7 @@ from meshline.functions import scalars as S
 from meshline.operators import entry as E, geometry as G, network as N
 from meshline.plans.queries import query, r6
 from meshline.sources import network as V
+from meshline.sources.stored import dealt
 
 #: Stations with two nodes each (some claimed twice), combos between nodes, and routes, from the star tables.
 STATION = """st AS (SELECT s_suppkey AS id, s_suppkey AS seq, s_nationkey::BIGINT AS grp, s_name AS name, s_acctbal >= 0 AS constructed,
@@ -215,7 +216,8 @@ def vertex_keys(spark, d):
 
 @query("""SELECT p_partkey, p_name AS name, p_retailprice * 1000e0 / 7e0 AS dx, CASE WHEN p_size % 3 = 0 THEN 0 ELSE p_size / -4e0 END AS dy, p_size::VARCHAR AS width FROM part""")
 def parsed_elements(spark, d):
-    p = V.table(spark, d, "part")
+    p = V.table(spark, d, "part").select("p_partkey", "p_name", "p_retailprice", "p_size")
+    p = dealt(p, p.count(), each=10_000)  # few bytes, much to parse
     shift = F.concat((F.col("p_retailprice") * 1000.0 / 7.0).cast("string"), F.when(F.col("p_size") % 3 == 0, "").otherwise(F.concat(F.lit(", "), (F.col("p_size") / -4.0).cast("string"))))
     tag = F.concat(F.lit("<g name=\"old\" data-name = '"), F.col("p_name"), F.lit("' width=\""), F.col("p_size"), F.lit('" transform="rotate(4) translate( '), shift, F.lit(' )">'))
     a = p.select("p_partkey", S.attributes(tag).alias("a"))
