@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from meshline.sources.stored import stored
+from meshline.sources.stored import dealt, stored
 
 
 def node_groups(stations: DataFrame, members: DataFrame) -> DataFrame:
@@ -109,6 +109,7 @@ def boxes_hit(points: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
 def boxes_met(boxes: DataFrame, size: float) -> DataFrame:
     """``a`` < ``b``: boxes that overlap or touch, met by cells; a pair is told in the first cell that both have."""
     spread = boxes.withColumn("i", _over("x0", "x1", size)).withColumn("j", _over("y0", "y1", size))
+    spread = dealt(spread, boxes.count(), "i", "j", each=2_000)  # few bytes that make many pairs
     a, b = (spread.select("i", "j", *[F.col(c).alias(f"{s}_{c}") for c in ("box", "x0", "y0", "x1", "y1")]) for s in "ab")
     first = (F.col("i") == F.floor(F.greatest("a_x0", "b_x0") / size)) & (F.col("j") == F.floor(F.greatest("a_y0", "b_y0") / size))
     meet = "a_box < b_box AND a_x0 <= b_x1 AND b_x0 <= a_x1 AND a_y0 <= b_y1 AND b_y0 <= a_y1"
