@@ -9,10 +9,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from meshline.sources.stored import stored
+from meshline.sources.stored import dealt, stored
 
 #: Fixed value: vertices of a ring that vote on whether it lies in another one.
 VOTES = 7
+#: Fixed value: about so many marks are compared in one call.
+PIECE = 20_000
 
 
 def ring_sides(rings: DataFrame) -> DataFrame:
@@ -141,26 +143,40 @@ def _hull(points: np.ndarray) -> np.ndarray:
 def farthest_pairs(marks: DataFrame) -> DataFrame:
     """``node``, ``a``, ``b``, ``distance``: the farthest two of each node's ``marks(node, id, x, y)``, ``a`` < ``b``.
 
-    Only corners of a hull can be farthest: each task keeps those of its own marks, the corners of their union are
-    compared. Of marks at one place the smallest id stands for all, of equal distances the smallest ids; where all marks
+    Only corners of a hull can be farthest: of a node's marks, cut in pieces of about ``PIECE``, the corners are kept, and
+    the corners of their union are compared. Many nodes come in one call; few marks are compared as they are. Of marks at one place the smallest id stands for all, of equal distances the smallest ids; where all marks
     are at one place, ``a`` and ``b`` are the same. Where marks lie on a circle, all of them are corners.
     """
-    place = marks.groupBy("node", "x", "y").agg(F.min("id").alias("id")).withColumn("part", F.spark_partition_id())
+    place = stored(marks.groupBy("node", "x", "y").agg(F.min("id").alias("id")))
+    sizes = place.groupBy("node").agg(F.ceil(F.count("*") / PIECE).alias("pieces")).filter("pieces > 1")
     kinds = "node long, x double, y double, id long"
 
     def corners(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf.iloc[_hull(pdf[["x", "y"]].to_numpy(float))][["node", "x", "y", "id"]]
 
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = corners(pdf).sort_values("id", kind="stable", ignore_index=True)
-        p, ids = pdf[["x", "y"]].to_numpy(float), pdf["id"].to_numpy()
+    def pair(p: np.ndarray, ids: np.ndarray) -> tuple:
+        if len(p) > 500:
+            kept = _hull(p)
+            p, ids = p[kept], ids[kept]
+        order = np.argsort(ids, kind="stable")
+        p, ids = p[order], ids[order]
         best = (0.0, ids[0], ids[0])
         for i in range(len(p) - 1):  # a row at a time: memory stays that of the corners
             d = np.sqrt(((p[i + 1 :] - p[i]) ** 2).sum(axis=1))
             j = int(d.argmax())
             if d[j] > best[0]:
                 best = (float(d[j]), ids[i], ids[i + 1 + j])
-        return pd.DataFrame({"node": [pdf["node"].iloc[0]], "a": [best[1]], "b": [best[2]], "distance": [best[0]]})
-
-    partial = place.groupBy("node", "part").applyInPandas(corners, kinds)
-    return partial.groupBy("node").applyInPandas(pair, "node long, a long, b long, distance double")
+        return best[1], best[2], best[0]
+
+    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node", kind="stable", ignore_index=True)
+        nodes, p, ids = pdf["node"].to_numpy(), pdf[["x", "y"]].to_numpy(float), pdf["id"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, nodes[1:] != nodes[:-1]])
+        rows = [(nodes[a], *pair(p[a:b], ids[a:b])) for a, b in zip(starts, np.r_[starts[1:], len(nodes)], strict=True)]
+        return pd.DataFrame(rows, columns=["node", "a", "b", "distance"])
+
+    crowd = place.join(sizes, "node").withColumn("piece", F.pmod(F.xxhash64("x", "y"), F.col("pieces"))).groupBy("node", "piece").applyInPandas(corners, kinds)
+    left = place.join(sizes, "node", "left_anti").select("node", "x", "y", "id").unionByName(crowd)
+    rows = place.count()
+    bucket = F.pmod(F.xxhash64("node"), F.lit(max(1, -(-rows // PIECE))))
+    return dealt(left.withColumn("bucket", bucket), rows, "bucket", each=PIECE).groupBy("bucket").applyInPandas(pairs, "node long, a long, b long, distance double")
