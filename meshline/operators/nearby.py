@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from meshline.operators.labels import LETTER
-from meshline.operators.layout import around, celled, nearest
+from meshline.operators.layout import nearest, nearest_by
 
 
 def nearest_serving(points: DataFrame, nodes: DataFrame, node_lines: DataFrame, radius: float) -> DataFrame:
@@ -14,11 +14,8 @@ def nearest_serving(points: DataFrame, nodes: DataFrame, node_lines: DataFrame,
 
     Of equally near nodes the smallest. Points far from every node are left out.
     """
-    p = around(celled(points.select("id", "line", F.col("x").alias("px"), F.col("y").alias("py")), 3 * radius, "px", "py"))
-    served = nodes.select(F.col("id").alias("node"), "x", "y").join(node_lines.select("node", "line").distinct(), "node")
-    met = p.join(celled(served, 3 * radius), ["line", "cx", "cy"])
-    dx, dy = F.col("px") - F.col("x"), F.col("py") - F.col("y")
-    own = met.withColumn("d", F.sqrt(dx * dx + dy * dy)).filter(F.col("d") <= 3 * radius).groupBy("id").agg(F.min(F.struct("d", "node"))["node"].alias("own"))
+    served = nodes.select("id", "x", "y").join(node_lines.select(F.col("node").alias("id"), "line").distinct(), "id")
+    own = nearest_by(points, served, 3 * radius, "line").select("id", F.col("node").alias("own"))
     other = nearest(points, nodes, radius).select("id", "node")
     both = own.join(other, "id", "full")
     return both.select("id", F.coalesce("own", "node").alias("node"), F.col("own").isNotNull().alias("serves"))
