@@ -291,7 +291,8 @@ def similar_documents(df: DataFrame, shingle: int = 5, similar: float = 0.8) ->
 
     Documents are linked if the Jaccard similarity of their sets of ``shingle``-word shingles, counted exactly, is at
     least ``similar``. Equal texts (after lower-casing A-Z and joining words with one blank) are linked first and
-    compared once. Texts that share the SimHash of a band of their shingles are compared with the band's first one and
+    compared once. Texts whose SimHash fingerprints (operator 10's, of three words) are linked, at two or fewer differing
+    bits, are compared (``fingerprint_pairs``). Texts that share the SimHash of a band of their shingles are compared with the band's first one and
     with a neighbour by size, which links most groups at a cost that grows with rows. What these leave apart is then
     joined on the rarest shingles of each text (``rare_links``), which misses no pair, and compared too.
     Texts without words are equal to each other. Null ids are left out; a repeated id takes part with its smallest text.
@@ -306,10 +307,11 @@ def similar_documents(df: DataFrame, shingle: int = 5, similar: float = 0.8) ->
                     words = (text or "").encode().lower().split()
                     h = np.unique(shingle_hashes(text or "", shingle))
                     bands = np.array(band_fingerprints(h), np.uint64).view(np.int64)
-                    rows.append((doc, xxhash.xxh3_128_digest(b" ".join(words)), len(h), bands, rare_prefix(h, common, similar).view(np.int64)))
-                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                    fp = _signed(fingerprint(text or ""))
+                    rows.append((doc, xxhash.xxh3_128_digest(b" ".join(words)), len(h), bands, rare_prefix(h, common, similar).view(np.int64), fp))
+                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "same", "n", "bands", "rare"]
+                    [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "same", "n", "bands", "rare", "fp"]
                 )
 
     def alike(batches):
@@ -337,7 +339,7 @@ def similar_documents(df: DataFrame, shingle: int = 5, similar: float = 0.8) ->
 
     docs = df.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
     sent = df.sparkSession.sparkContext.broadcast(frequent_shingles(docs, shingle))
-    marked = materialize(docs.mapInArrow(marks, "doc_id long, same binary, n long, bands array<long>, rare array<long>"))
+    marked = materialize(docs.mapInArrow(marks, "doc_id long, same binary, n long, bands array<long>, rare array<long>, fp long"))
     repeated = bool(marked.groupBy("doc_id").count().filter("count > 1").head(1))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -348,7 +350,7 @@ def similar_documents(df: DataFrame, shingle: int = 5, similar: float = 0.8) ->
         both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(alike, "a long, b long"))
 
-    first = materialize(marked.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    first = materialize(marked.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("fp").alias("fp")))
     banded = first.select("rep", "n", F.explode("bands").alias("band"))
     hubs = materialize(banded.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("k")).filter("k > 1"))
     shared = materialize(banded.join(hubs, "band").select("band", "hub", "rep", "n", "k"))
@@ -358,7 +360,7 @@ def similar_documents(df: DataFrame, shingle: int = 5, similar: float = 0.8) ->
     step = Window.partitionBy("band", "slice").orderBy("n", "rep")
     beside = walk.select(F.lag("rep").over(step).alias("a"), F.col("rep").alias("b")).filter("a IS NOT NULL")
     beside = beside.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = materialize(to_hub.unionByName(beside).distinct())
+    pairs = materialize(to_hub.unionByName(beside).unionByName(fingerprint_pairs(first)).distinct())
     labels = connected_components(verified(pairs))
     labelled = materialize(first.join(labels, first.rep == labels.id, "left").select("same", "rep", F.coalesce("component", "rep").alias("part")))
     rare = materialize(marked.join(labelled.withColumnRenamed("rep", "doc_id"), ["same", "doc_id"]).select(F.col("doc_id").alias("rep"), "part", "n", "rare"))
@@ -371,6 +373,16 @@ def similar_documents(df: DataFrame, shingle: int = 5, similar: float = 0.8) ->
     return marked.join(labelled, "same").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
 
 
+def fingerprint_pairs(first: DataFrame) -> DataFrame:
+    """Pairs ``a`` < ``b`` of ``first(rep, fp)``: each text with the first one of its fingerprint, and the first ones of
+    fingerprints that ``links`` joins."""
+    fps = materialize(first.groupBy("fp").agg(F.min("rep").alias("hub")))
+    same = first.join(fps, "fp").filter("rep > hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    hub = lambda end: fps.select(F.col("fp").alias(end), F.col("hub").alias(f"hub_{end}"))
+    near = links(fps.select("fp")).join(hub("a"), "a").join(hub("b"), "b")
+    return same.unionByName(near.select(F.least("hub_a", "hub_b").alias("a"), F.greatest("hub_a", "hub_b").alias("b")))
+
+
 def rare_links(rare: DataFrame, similar: float) -> DataFrame:
     """Pairs ``a``, ``b`` of different parts of ``rare(rep, part, n, rare)`` that may be similar; misses none that are.
 

@@ -27,3 +27,16 @@ def test_empty_and_null_documents(spark):
         for _, stage in corpus_pipeline.STAGES:
             d = stage(spark, d, DATA)
         assert d.count() == 0
+
+
+def test_near_duplicates_are_linked_by_fingerprints(spark, monkeypatch):
+    """The stage takes operator 10's fingerprints and links; what they propose is compared exactly."""
+    from meshline.llm import simhash
+
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join([*words, "more"]), " ".join(reversed(words)), " ".join(words)]
+    seen = []
+    monkeypatch.setattr(simhash, "links", lambda fps, *a, f=simhash.links: seen.append({r.fp for r in fps.collect()}) or f(fps, *a))
+    kept = simhash.without_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2]
+    assert seen == [{simhash._signed(simhash.fingerprint(t)) for t in texts}]
