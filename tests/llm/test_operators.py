@@ -147,6 +147,36 @@ def test_hashes_beyond_a_shard(spark, monkeypatch):
     assert sorted(map(tuple, got), key=repr) == brute_removals(rows, 60)
 
 
+def test_query_reports_passages_of_fifty_words_under_the_byte_span(spark, docs, tmp_path):
+    """Passages of 60 words and under 400 bytes that lie in several texts: no byte of them goes, but they are told."""
+    names = [f"{a}{b}" for a in "bcdfglmnpr" for b in ("a", "ei", "oü", "u")]
+    draw = lambda seed, n: np.random.default_rng(seed).choice(names, n).tolist()
+    rows = pairs(docs)
+    for p in range(3):
+        passage = draw(p, 60)
+        assert len(" ".join(passage).encode()) < 300
+        # white space is not part of a word, so passages that are laid out in another way are the same
+        rows += [(100 * p + i + 100, " ".join(draw(9000 + 10 * p + i, 70)) + " \n"[i % 2] + (" ", "\t")[i % 2].join(passage) + " " + " ".join(draw(9500 + 10 * p + i, 40))) for i in range(4)]
+    rows += [(500, "  " + " ".join(draw(9900, 49)) + " x"), (501, " ".join(draw(9900, 49)) + " y")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = suffixes.op2_suffix_dedup(spark, str(tmp_path)).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=repr) == brute_removals(rows, 400)
+    split = [(doc, t, list(re.finditer(rb"[^ \t\n\v\f\r]+", t.encode()))) for doc, t in rows]
+    grams = collections.Counter(tuple(m[0] for m in w[i : i + 50]) for _, _, w in split for i in range(len(w) - 49))
+    want = []
+    for doc, t, w in split:
+        at = np.zeros(len(w) + 2, int)
+        for i in range(len(w) - 49):
+            if grams[tuple(m[0] for m in w[i : i + 50])] > 1:
+                at[i + 1 : i + 51] = 1
+        edges = np.flatnonzero(np.diff(at))
+        want.append((doc, len(t.encode()), len(edges) // 2, [(w[a].start(), w[b - 1].end()) for a, b in edges.reshape(-1, 2).tolist()]))
+    assert sorted(((r.doc_id, r.n_bytes, r.n_passages, [(x.a, x.b) for x in r.passages]) for r in got), key=repr) == sorted(want, key=repr)
+    told = {r.doc_id: r for r in got}
+    assert all(told[100 * p + i + 100].n_passages == 1 and told[100 * p + i + 100].n_removed == 0 for p in range(3) for i in range(4))
+    assert told[500].n_passages == told[501].n_passages == 0 and told[5].n_passages == told[26].n_passages == 1
+
+
 @given(st.lists(st.integers(1, 3), max_size=80))
 @settings(max_examples=80, deadline=None)
 def test_suffix_array(s):
