@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Texts are handed to the vectorised steps in slices of about so many bytes, which bounds a task's memory.
 SLICE_BYTES = 4_000_000
+#: Parquet's setting for reading ranges side by side.
+VECTORED = "parquet.hadoop.vectored.io.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,7 +44,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, size: int = 4_000_000) -> None:
-    """Bound what goes to a Python worker at once by bytes; a session that has a lower bound keeps it."""
+    """Bound what goes to a Python worker at once by bytes; a session that has a lower bound keeps it.
+
+    Nor are the ranges of a Parquet file read side by side, unless the session says so: each thread that does it keeps a
+    direct buffer as large as the longest range it has read.
+    """
+    spark.conf.set(VECTORED, spark.conf.get(VECTORED, "false"))
     setting = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(setting).rstrip("b")) > size:
         spark.conf.set(setting, size)

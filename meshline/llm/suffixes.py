@@ -411,6 +411,7 @@ def remove(df: DataFrame, words: int = PASSAGE_WORDS, gram: int = PASSAGE_GRAM)
     docs, row = _rows(df)
     found = materialize(repeats(docs.select(F.col(row).alias("key"), F.coalesce("text", F.lit("")).alias("text")), words, gram, as_words))
     mark = free_name(docs, "_found")
+    without = without.asNondeterministic()  # else filters on the text run it again, in a worker of their own
     joined = docs.join(found.select(F.col("key").alias(row), F.col("found").alias(mark)), row, "left")
     # texts that have nothing to lose don't go to Python
     cut = without(F.when(F.col(mark).isNotNull(), F.col("text")), mark)

@@ -40,3 +40,23 @@ def test_near_duplicates_are_linked_by_fingerprints(spark, monkeypatch):
     kept = simhash.without_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2]
     assert seen == [{simhash._signed(simhash.fingerprint(t)) for t in texts}]
+
+
+def test_repeats_are_cut_out_by_one_python_step(spark):
+    """Filters on the cut text don't run the step again, which took a second worker for each task that outlives the stage."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    plan = corpus_pipeline.no_repeats(spark, docs, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_stages_read_ranges_one_after_another(spark):
+    """Side by side, each thread keeps a direct buffer as large as the longest range."""
+    from meshline.llm.shared import VECTORED, bounded_batches
+
+    spark.conf.unset(VECTORED)
+    bounded_batches(spark)
+    assert spark.conf.get(VECTORED) == "false"
+    spark.conf.set(VECTORED, "true")
+    bounded_batches(spark)
+    assert spark.conf.get(VECTORED) == "true"  # a session that asks for them keeps them
+    spark.conf.unset(VECTORED)
