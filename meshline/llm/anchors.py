@@ -61,23 +61,19 @@ def anchors(data: np.ndarray, ends: np.ndarray, span: int, k: int):
     h = gram_hashes(data, k)
     bits = np.uint64(max(1, int(len(data)).bit_length()))
     low = (np.uint64(1) << bits) - np.uint64(1)
-    place = np.arange(len(h), dtype=np.uint64)
-    least = window_minima((h & ~low) | (low - place), span - k + 1)
+    keys = h | low
+    keys -= np.arange(len(h), dtype=np.uint64)
+    least = window_minima(keys, span - k + 1)
     if not len(least):
         return none, none, none, np.empty(0, np.uint64)
-    at = (low - (least & low)).astype(np.int64)
-    lens = np.diff(np.concatenate([[0], ends]))
-    text = np.repeat(np.arange(len(ends)), lens)[: len(at)]
-    inside = np.arange(len(at)) + span <= ends[text]
-    p = np.flatnonzero(inside)
-    if not len(p):
-        return none, none, none, np.empty(0, np.uint64)
-    a, t = at[p], text[p]
-    new = np.ones(len(p), bool)
-    new[1:] = (a[1:] != a[:-1]) | (t[1:] != t[:-1])
-    first = np.flatnonzero(new)
-    last = np.concatenate([first[1:], [len(p)]]) - 1
-    return t[first], p[first], p[last], h[a[first]]
+    # keys hold their places, so that a new one is a new anchor; each text begins with one of its own
+    begins = np.concatenate([[0], ends[:-1]])
+    first = np.unique(np.concatenate([np.flatnonzero(least[1:] != least[:-1]) + 1, begins[begins < len(least)]]))
+    text = np.searchsorted(ends, first, side="right")
+    last = np.minimum(np.append(first[1:], len(least)) - 1, ends[text] - span)
+    inside = first <= last
+    first = first[inside]
+    return text[inside], first, last[inside], h[(low - (least[first] & low)).astype(np.int64)]
 
 
 def digests(data: bytes, first: np.ndarray, stop: np.ndarray) -> list[bytes]:

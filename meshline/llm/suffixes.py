@@ -44,8 +44,8 @@ BROADCAST_SPANS = 50_000
 
 
 def _named(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Order of the keys, a name from 1 for each key in that order, and how many names there are."""
-    order = np.argsort(keys, kind="stable")
+    """Order of the keys (of equal ones: any), a name from 1 for each key in that order, and how many names there are."""
+    order = np.argsort(keys)
     names = np.empty(len(keys), np.int64)
     ordered = keys[order]
     names[order] = np.concatenate([[1], 1 + np.cumsum(ordered[1:] != ordered[:-1])])
@@ -69,7 +69,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     rank[sample[order]] = np.arange(1, len(sample) + 1)
     sampled = sample[order]
     sampled = sampled[sampled < n]
-    rests = zero[np.argsort(p[zero] << 21 | rank[zero + 1], kind="stable")]
+    rests = zero[np.argsort(p[zero] << 21 | rank[zero + 1])]
     ones, twos = sampled[sampled % 3 == 1], sampled[sampled % 3 == 2]
     below = np.searchsorted(p[ones] << 21 | rank[ones + 1], p[rests] << 21 | rank[rests + 1])
     triple = lambda i: p[i] << 42 | p[i + 1] << 21 | rank[i + 2]
@@ -148,26 +148,24 @@ def as_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashes[codes][some], np.concatenate([[0], np.cumsum(some)])[bounds[1:]]
 
 
-def _anchored(docs: DataFrame, span: int, gram: int, whole: bool, view=as_bytes) -> DataFrame:
-    """Anchors of all texts: hash ``h``; with ``whole`` also ``key``, first place ``lo``, number of places ``n``,
-    ``size`` of the text that the strings at these places take, and its ``digest``."""
+def _anchored(docs: DataFrame, span: int, gram: int, view=as_bytes) -> DataFrame:
+    """Anchors of all texts: hash ``h``, ``key`` of the text, first place ``lo``, number of places ``n``, ``size`` of the
+    text that the strings at these places take, and its ``digest``."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, size=500_000):
                 data, ends = view(part.column("text"))
                 t, first, last, h = anchors(data, ends, span, gram)
-                columns = [pa.array(h.view(np.int64))]
-                names = ["h"]
-                if whole:
-                    begin, stop = np.concatenate([[0], ends])[t], np.minimum(last + span, ends[t])
-                    columns += [part.column("key").take(pa.array(t)), pa.array((first - begin).astype(np.int32)),
-                                pa.array((last - first + 1).astype(np.int32)), pa.array((stop - first).astype(np.int32)),
-                                pa.array(digests(data.tobytes(), first * data.itemsize, stop * data.itemsize), pa.binary())]
-                    names += ["key", "lo", "n", "size", "digest"]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                begin, stop = np.concatenate([[0], ends])[t], np.minimum(last + span, ends[t])
+                columns = [
+                    pa.array(h.view(np.int64)), part.column("key").take(pa.array(t)), pa.array((first - begin).astype(np.int32)),
+                    pa.array((last - first + 1).astype(np.int32)), pa.array((stop - first).astype(np.int32)),
+                    pa.array(digests(data.tobytes(), first * data.itemsize, stop * data.itemsize), pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["h", "key", "lo", "n", "size", "digest"])
 
-    return docs.select("key", "text").mapInArrow(run, "h long, key long, lo int, n int, size int, digest binary" if whole else "h long")
+    return docs.select("key", "text").mapInArrow(run, "h long, key long, lo int, n int, size int, digest binary")
 
 
 def _cut_out(view):
@@ -249,9 +247,10 @@ def repeats(df: DataFrame, span: int = SPAN, gram: int = GRAM, view=as_bytes) ->
     ``view`` is ``as_words``) covered by repeated strings of ``span`` units."""
     kind = np.uint8 if view is as_bytes else np.uint64
     unit = np.dtype(kind).itemsize
-    # 1. hashes of anchors that occur more than once
-    twice = materialize(_anchored(df, span, gram, False, view).groupBy("h").count().filter("count > 1").select("h"))
-    some = materialize(_anchored(df, span, gram, True, view).join(twice, "h"))
+    # 1. hashes of anchors that occur more than once; the anchors are stored, as texts take longer to go through again
+    places = materialize(_anchored(df, span, gram, view))
+    twice = materialize(places.groupBy("h").count().filter("count > 1").select("h"))
+    some = materialize(places.join(twice, "h"))
     # 2. distinct texts around them
     texts = some.groupBy("h", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("key", "lo", "n", "size")).alias("one"))
     texts = materialize(texts.select("h", "digest", "copies", "one.*"))

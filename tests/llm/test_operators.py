@@ -133,6 +133,13 @@ def test_repeats_match_brute_force(docs, empty):
         assert sorted(map(tuple, got), key=repr) == brute_removals(pairs(docs), span)
 
 
+def test_texts_are_searched_for_anchors_once(docs, monkeypatch):
+    calls = []
+    monkeypatch.setattr(suffixes, "_anchored", lambda *a, f=suffixes._anchored: calls.append(a[1]) or f(*a))
+    suffixes.removals(docs, words=suffixes.PASSAGE_WORDS)
+    assert calls == [suffixes.SPAN, suffixes.PASSAGE_WORDS]
+
+
 def test_removed_texts_keep_rows_and_columns(docs):
     got = suffixes.remove(docs)
     assert got.columns == docs.columns and got.count() == docs.count()
