@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from meshline.operators import paths as P
+from meshline.operators import drawn as D, paths as P
 from meshline.plans.queries import query
 from meshline.sources import network as V
 
@@ -21,9 +21,12 @@ def four(expression: str) -> str:
     return f"floor(({expression}) * 1e4 + 0.5e0) / 1e4"
 
 
+#: Where runs end: the items that are nodes, at the first point of their leg.
+NODE = "is_node AND seq = 0"
+
+
 def grid(spark, d):
-    paths = V.grid_paths(spark, d)
-    return paths, paths.filter("is_node AND seq = 0").select("net", "x", "y")
+    return V.grid_paths(spark, d).withColumn("line", F.col("route") % 5).withColumn("reversed", F.col("route") % 2 == 1)
 
 
 UNIT = """st AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM gridpath WINDOW w AS (PARTITION BY net, edge ORDER BY seq)),
@@ -45,7 +48,8 @@ RUN = RUN.replace(" QUALIFY own)", "), owned AS (SELECT * FROM run WHERE own)")
 @query("WITH " + RUN + """ SELECT net, edge, run::BIGINT AS run, count(*) AS segments, any_value(owners) AS owners, arg_min(a, pos).x AS start_x, arg_min(a, pos).y AS start_y,
  arg_max(b, pos).x AS end_x, arg_max(b, pos).y AS end_y FROM owned GROUP BY ALL""", "item", "gridpath")
 def coincident_runs(spark, d):
-    ends = P.run_ends(P.coincident_runs(*grid(spark, d), STEP))
+    paths = grid(spark, d)
+    ends = P.run_ends(P.coincident_runs(paths, paths.filter(NODE).select("net", "x", "y"), STEP))
     corners = [F.col(f"{e}.v{k}").alias(f"{e}_{k}") for e in ("start", "end") for k in "xy"]
     return ends.select("net", "edge", "run", "segments", "owners", *corners)
 
@@ -59,18 +63,16 @@ turned AS (SELECT s.net, s.line, s.step, CASE WHEN back THEN -pos ELSE pos END A
 kept AS (SELECT * FROM (SELECT *, lag({'e': run_edge, 'r': run, 'v': reversed}) OVER (PARTITION BY net, line ORDER BY step, o) AS p FROM turned) WHERE p IS NULL OR p <> {'e': run_edge, 'r': run, 'v': reversed})
 SELECT net, line, row_number() OVER (PARTITION BY net, line ORDER BY step, o) AS place, run_edge, run::BIGINT AS run, reversed FROM kept""", "item", "gridpath")
 def remapped_traversals(spark, d):
-    paths, nodes = grid(spark, d)
-    steps = paths.select("net", (F.col("route") % 5).alias("line"), F.col("edge").alias("step"), "edge", (F.col("route") % 2 == 1).alias("reversed")).distinct()
-    chains = P.run_chains(paths, P.coincident_runs(paths, nodes, STEP), STEP)
+    paths = grid(spark, d)
+    steps = paths.select("net", "line", F.col("edge").alias("step"), "edge", "reversed").distinct()
+    chains = P.run_chains(paths, P.coincident_runs(paths, paths.filter(NODE).select("net", "x", "y"), STEP), STEP)
     return P.remapped_traversals(steps, chains)
 
 
 @query("WITH " + RUN + """ SELECT DISTINCT net, edge, run::BIGINT AS run, line FROM (SELECT net, edge, run, unnest(string_split(owners, ',')) AS owner FROM owned)
  JOIN (SELECT DISTINCT net AS n, edge::VARCHAR AS owner, route % 5 AS line FROM gridpath) l USING (owner) WHERE net = n""", "item", "gridpath")
 def run_lines(spark, d):
-    paths, nodes = grid(spark, d)
-    lines = paths.select("net", "edge", (F.col("route") % 5).alias("line")).distinct()
-    return P.run_lines(P.coincident_runs(paths, nodes, STEP), lines)
+    return D.run_lines(grid(spark, d), NODE, STEP)
 
 
 ARC = """st AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM crosspath WINDOW w AS (PARTITION BY net, edge ORDER BY seq)),

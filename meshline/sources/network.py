@@ -75,19 +75,19 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _by_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _by_net(spark: SparkSession, sf_dir: str, each: int) -> DataFrame:
     """Items dealt by city: cities are many and small, and each step of path operators stays inside one.
 
     Joins on a city and more keys then take both sides as they lie. The setting decides where rows meet, never a result.
     """
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    return dealt(_items(spark, sf_dir), table(spark, sf_dir, "lineitem").count(), "net", each=30_000)  # an item is some 15 vertices
+    return dealt(_items(spark, sf_dir), table(spark, sf_dir, "lineitem").count(), "net", each=each)
 
 
 def grid_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``net``, ``route``, ``edge``, ``seq``, ``x``, ``y``, ``is_node``: from item to item of an order, along x and then y, on a grid of 16 pixels."""
     w = Window.partitionBy("net", "route").orderBy("seq")  # an order is one city's
-    i = _by_net(spark, sf_dir).withColumn("x", F.col("part") % 12 * 16.0).withColumn("y", F.col("supp") % 9 * 16.0)
+    i = _by_net(spark, sf_dir, 100_000).withColumn("x", F.col("part") % 12 * 16.0).withColumn("y", F.col("supp") % 9 * 16.0)
     i = i.withColumn("x2", F.lead("x").over(w)).withColumn("y2", F.lead("y").over(w)).filter("x2 IS NOT NULL")
     corner = lambda k, x, y: F.struct(F.lit(k).cast("long").alias("seq"), F.col(x).alias("x"), F.col(y).alias("y"))
     corners = F.explode(F.array(corner(0, "x", "y"), corner(1, "x2", "y"), corner(2, "x2", "y2")))
@@ -97,7 +97,7 @@ def grid_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def crossing_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``net``, ``edge``, ``seq``, ``x``, ``y``: an order's items as one polyline, straight from place to place."""
-    i = _by_net(spark, sf_dir)
+    i = _by_net(spark, sf_dir, 30_000)  # pairs, cuts and parts are many rows for each item
     return i.select("net", F.col("route").alias("edge"), "seq", (F.col("part") % 199 * 3.0).alias("x"), (F.col("supp") % 97 * 5.0).alias("y"))
 
 
