@@ -63,10 +63,7 @@ turned AS (SELECT s.net, s.line, s.step, CASE WHEN back THEN -pos ELSE pos END A
 kept AS (SELECT * FROM (SELECT *, lag({'e': run_edge, 'r': run, 'v': reversed}) OVER (PARTITION BY net, line ORDER BY step, o) AS p FROM turned) WHERE p IS NULL OR p <> {'e': run_edge, 'r': run, 'v': reversed})
 SELECT net, line, row_number() OVER (PARTITION BY net, line ORDER BY step, o) AS place, run_edge, run::BIGINT AS run, reversed FROM kept""", "item", "gridpath")
 def remapped_traversals(spark, d):
-    paths = grid(spark, d)
-    steps = paths.select("net", "line", F.col("edge").alias("step"), "edge", "reversed").distinct()
-    chains = P.run_chains(paths, P.coincident_runs(paths, paths.filter(NODE).select("net", "x", "y"), STEP), STEP)
-    return P.remapped_traversals(steps, chains)
+    return D.remapped_traversals(grid(spark, d), NODE, STEP)
 
 
 @query("WITH " + RUN + """ SELECT DISTINCT net, edge, run::BIGINT AS run, line FROM (SELECT net, edge, run, unnest(string_split(owners, ',')) AS owner FROM owned)
