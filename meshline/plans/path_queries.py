@@ -48,10 +48,7 @@ RUN = RUN.replace(" QUALIFY own)", "), owned AS (SELECT * FROM run WHERE own)")
 @query("WITH " + RUN + """ SELECT net, edge, run::BIGINT AS run, count(*) AS segments, any_value(owners) AS owners, arg_min(a, pos).x AS start_x, arg_min(a, pos).y AS start_y,
  arg_max(b, pos).x AS end_x, arg_max(b, pos).y AS end_y FROM owned GROUP BY ALL""", "item", "gridpath")
 def coincident_runs(spark, d):
-    paths = grid(spark, d)
-    ends = P.run_ends(P.coincident_runs(paths, paths.filter(NODE).select("net", "x", "y"), STEP))
-    corners = [F.col(f"{e}.v{k}").alias(f"{e}_{k}") for e in ("start", "end") for k in "xy"]
-    return ends.select("net", "edge", "run", "segments", "owners", *corners)
+    return D.run_ends(grid(spark, d), NODE, STEP)
 
 
 CHAIN = RUN + """, met AS (SELECT u.net, u.edge, u.pos, r.edge AS run_edge, r.run, u.a <> r.a AS reversed FROM unit u JOIN owned r USING (net, low, high)),

@@ -72,7 +72,7 @@ def test_nothing_and_places_that_are_null(spark):
     assert [(r.segments, r.end_x, r.end_y) for r in got] == [(1, None, 0)]
 
 
-@pytest.mark.parametrize("name", ["run_lines", "remapped_traversals"])
+@pytest.mark.parametrize("name", ["coincident_runs", "run_lines", "remapped_traversals"])
 def test_segments_are_not_joined(spark, name):
     """One join, of items and orders; unit segments are neither sorted nor met by Spark."""
     plan = re.sub(r"#\d+L?", "", QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString())
